@@ -35,8 +35,8 @@ def context_eligibility(ctx: DataFrame, usps: DataFrame) -> DataFrame:
     """Counts and flags that decide whether a context can be recommended for."""
     src = _count_at(ctx, usps, "source", "user_id").withColumnsRenamed(
         {"_x": "n_source_existing", "_g": "n_source_sites"})
-    tgt = _count_at(src, usps, "target_site", "site_id").withColumnsRenamed(
-        {"_x": "n_existing_users_on_target_site", "_g": "n_target_users"})
+    tgt = src.join(_count_at(ctx.select("metadata_id", "target_site", "us"), usps, "target_site", "site_id").select(
+        "metadata_id", F.col("_x").alias("n_existing_users_on_target_site"), F.col("_g").alias("n_target_users")), "metadata_id")
     own = usps.select(F.col("user_id").alias("source"), F.col("site_id").alias("target_site"),
                       F.col("elig_us").alias("_own"))
     flag = lambda c: c.cast("long")

@@ -13,6 +13,12 @@ def _hit(k: int) -> Column:
     return F.avg(F.when(F.col("target_rank") <= k, 100.0).otherwise(0.0))
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation, 0 when either side is constant."""
+    sd = F.stddev_pop(x) * F.stddev_pop(y)
+    return F.coalesce(F.covar_pop(x, y) / F.when(sd > 0, sd), F.lit(0.0))
+
+
 def ranking_metrics(targets: DataFrame, keys: list[str], ks: tuple[int, ...] = (1, 5)) -> DataFrame:
     """MRR, HR@k in percent and n per key, from one target rank per context."""
     return targets.groupBy(*keys).agg(F.avg(1.0 / F.col("target_rank")).alias("mrr"),
@@ -27,7 +33,7 @@ def ndcg(rank: str, k: int) -> Column:
 def weekly_trend(targets: DataFrame, start_us: int) -> tuple[DataFrame, DataFrame]:
     weekly = (targets.withColumn("week", F.floor((F.col("us") - start_us) / WEEK_US).cast("long"))
               .groupBy("model", "week").agg(F.avg(1.0 / F.col("target_rank")).alias("mrr"), F.count(F.lit(1)).alias("n")))
-    trend = weekly.groupBy("model").agg(F.regr_slope("mrr", "week").alias("slope"), F.corr("mrr", "week").alias("r"))
+    trend = weekly.groupBy("model").agg(F.coalesce(F.regr_slope("mrr", "week"), F.lit(0.0)).alias("slope"), correlation("mrr", "week").alias("r"))
     return weekly, trend
 
 

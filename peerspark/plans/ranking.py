@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from ..operators import contexts as C, evaluate as E, features as FE, scoring as SC, state as S
@@ -68,26 +70,36 @@ class Ranking(World):
         return cands.select(F.col("cand_user").alias("user_id"), "us").unionByName(
             cands.select(F.col("source").alias("user_id"), "us")).distinct()
 
-    def users(self, cands, with_components=False):
-        return cut_lineage(FE.user_features(self.user_points(cands), self.activity, self.journals, self.edges, with_components))
+    @cached_property
+    def users(self):
+        return cut_lineage(FE.user_features(self.user_points(self.candidates), self.activity, self.journals, self.edges, False))
+
+    @cached_property
+    def pair_flags(self):
+        return cut_lineage(FE.pair_features(self.pairs, self.edges))
 
     def site_points(self, cands):
         return SC.site_state(cands.select(F.col("cand_site").alias("site_id"), "us").distinct(), self.inits, self.journals)
 
+    @cached_property
     def wide(self):
-        return SC.baseline_scores(self.candidates, self.users(self.candidates), self.site_points(self.candidates))
+        return cut_lineage(SC.baseline_scores(self.candidates, self.users, self.site_points(self.candidates)))
 
+    @cached_property
     def scores(self):
-        return cut_lineage(SC.reduce_to_sites(self.wide(), SC.BASELINES, ["is_target", "us"]))
+        return cut_lineage(SC.reduce_to_sites(self.wide, SC.BASELINES, ["is_target", "us"]))
 
+    @cached_property
     def ranked(self):
-        return SC.rank_worst_ties(self.scores(), ["model", "metadata_id"])
+        return cut_lineage(SC.rank_worst_ties(self.scores, ["model", "metadata_id"]))
 
+    @cached_property
     def target_ranks(self):
-        return SC.target_metrics(self.ranked(), ["model", "metadata_id", "us"])
+        return cut_lineage(SC.target_metrics(self.ranked, ["model", "metadata_id", "us"]))
 
-    def coverage_scores(self, n=1_000_000):
-        users = C.coverage_users(self.usps, self.activity, X.TEST_START_US, n)
+    @cached_property
+    def coverage_scores(self):
+        users = C.coverage_users(self.usps, self.activity, X.TEST_START_US, 1_000_000)
         ctx = cut_lineage(C.targetless_contexts(users, COV_US))
         cand = cut_lineage(C.expand_usps(C.candidate_users(ctx, self.usps, self.activity, self.edges), self.usps))
         site = self.site_points(cand).select(
@@ -96,8 +108,9 @@ class Ranking(World):
         models = ["MostInitiatedWithRecently", "MostRecentJournal"]
         return cut_lineage(SC.reduce_to_sites(cand.join(site, "cand_site"), models)), cand
 
+    @cached_property
     def coverage_recs(self):
-        scores, cand = self.coverage_scores()
+        scores, cand = self.coverage_scores
         return cut_lineage(E.top_n(scores, ["model", "metadata_id"])), cand
 
 
@@ -110,8 +123,9 @@ WITH {_FEAT}, {_REACH}
 SELECT user_id, us, indegree, outdegree, component_size, {", ".join(f"n_{a}, round(hours_{a}, 6) AS hours_{a}" for a in A)},
  round((us - first_update_us) / 3.6e9, 6) AS hours_first_update FROM feat JOIN comp USING (user_id, us)""")
 def _(spark, d):
-    w = Ranking(spark, d)
-    return w.users(w.candidates, True).select("user_id", "us", "indegree", "outdegree", "component_size",
+    w = Ranking.of(spark, d)
+    full = FE.user_features(w.user_points(w.candidates), w.activity, w.journals, w.edges, True)
+    return full.select("user_id", "us", "indegree", "outdegree", "component_size",
                                               *[f"n_{a}" for a in A], *r6(*_HRS))
 
 
@@ -120,7 +134,7 @@ WITH feat_pts0 AS (SELECT DISTINCT user_id, us FROM inits)
 SELECT p.user_id, p.us, (SELECT count(*) FROM edges e WHERE e.dst = p.user_id AND e.edge_us < p.us) AS indegree, {", ".join(
     f"(SELECT count(*) FROM act a WHERE a.user_id = p.user_id AND a.atype = '{t}' AND a.us >= p.us - {WEEK} AND a.us < p.us) AS n_{t}" for t in A)} FROM feat_pts0 p""")
 def _(spark, d):
-    w = Ranking(spark, d)
+    w = Ranking.of(spark, d)
     return FE.user_features(w.inits, w.activity, w.journals, w.edges, False).select(
         "user_id", "us", "indegree", *[f"n_{a}" for a in A])
 
@@ -132,8 +146,8 @@ SELECT p.metadata_id, p.source, p.cand_user, CASE WHEN r.other IS NULL THEN 0 EL
 FROM pairs p LEFT JOIN hops f ON f.src = p.source AND f.dst = p.cand_user LEFT JOIN hops b ON b.src = p.cand_user AND b.dst = p.source
 LEFT JOIN edges e ON e.src = p.cand_user AND e.dst = p.source LEFT JOIN reach r ON r.us = p.us AND r.node = p.source AND r.other = p.cand_user""")
 def _(spark, d):
-    w = Ranking(spark, d)
-    return FE.pair_features(w.pairs, w.edges).drop("us")
+    w = Ranking.of(spark, d)
+    return w.pair_flags.drop("us")
 
 
 @query("s7_naive_network", f"""
@@ -143,8 +157,8 @@ FROM pairs p LEFT JOIN hops f ON f.src = p.source AND f.dst = p.cand_user LEFT J
 LEFT JOIN edges e ON e.src = p.cand_user AND e.dst = p.source LEFT JOIN reach r ON r.us = p.us AND r.node = p.source AND r.other = p.cand_user)
 SELECT c.metadata_id, c.cand_site AS site_id, CAST(max(score) AS DOUBLE) AS score FROM cand c JOIN fl USING (metadata_id, cand_user) GROUP BY 1, 2""")
 def _(spark, d):
-    w = Ranking(spark, d)
-    flags = FE.pair_features(w.pairs, w.edges).select(
+    w = Ranking.of(spark, d)
+    flags = w.pair_flags.select(
         "metadata_id", "cand_user", sum(F.col(c) for c in FE.PAIR_FEATURES).cast("double").alias("NaiveNetwork"))
     return SC.reduce_to_sites(w.candidates.join(flags, ["metadata_id", "cand_user"]), ["NaiveNetwork"]).drop("model")
 
@@ -157,8 +171,8 @@ WITH {_FEAT}, v AS (SELECT user_id, us, list_transform([{", ".join(f"CAST(CAST({
 SELECT c.metadata_id, c.cand_site AS site_id, max(round(list_dot_product(s.vec, f.vec) / (sqrt(list_dot_product(s.vec, s.vec)) * sqrt(list_dot_product(f.vec, f.vec))), 6)) AS score
 FROM cand c JOIN v s ON s.user_id = c.source AND s.us = c.us JOIN v f ON f.user_id = c.cand_user AND f.us = c.us GROUP BY 1, 2""")
 def _(spark, d):
-    w = Ranking(spark, d)
-    scored = SC.cosine_scores(w.candidates, w.users(w.candidates), _V8).withColumn("score", F.round("score", 6))
+    w = Ranking.of(spark, d)
+    scored = SC.cosine_scores(w.candidates, w.users, _V8).withColumn("score", F.round("score", 6))
     return scored.groupBy("metadata_id", F.col("cand_site").alias("site_id")).agg(F.max("score").alias("score"))
 
 
@@ -168,7 +182,7 @@ _ONE = lambda m: f"WITH {_WIDE} SELECT metadata_id, cand_user, cand_site, is_tar
 def _baseline(key, model):
     @query(key, _ONE(model))
     def _(spark, d):
-        return Ranking(spark, d).wide().select("metadata_id", "cand_user", "cand_site", "is_target",
+        return Ranking.of(spark, d).wide.select("metadata_id", "cand_user", "cand_site", "is_target",
                                                F.round(F.col(model), 6).alias("score"))
 
 
@@ -182,24 +196,24 @@ for _k, _m in (("s9_closest_to_start", "ClosestToStart"), ("s10_most_initiated_w
 
 @query("s15_random_baseline")
 def _(spark, d):
-    w = Ranking(spark, d)
+    w = Ranking.of(spark, d)
     scored = w.candidates.withColumn("Random", SC.random_score(3, "metadata_id", "cand_user", "cand_site"))
     return SC.rank_worst_ties(SC.reduce_to_sites(scored, ["Random"]), ["model", "metadata_id"])
 
 
 @query("s1_s2_site_scores", f"WITH {_SCORES} SELECT model, metadata_id, site_id, is_target, round(score, 6) AS score FROM scores")
 def _(spark, d):
-    return Ranking(spark, d).scores().select("model", "metadata_id", "site_id", "is_target", *r6("score"))
+    return Ranking.of(spark, d).scores.select("model", "metadata_id", "site_id", "is_target", *r6("score"))
 
 
 @query("s3_ranks", f"WITH {_RANKED} SELECT model, metadata_id, site_id, rnk FROM ranked")
 def _(spark, d):
-    return Ranking(spark, d).ranked().select("model", "metadata_id", "site_id", "rnk")
+    return Ranking.of(spark, d).ranked.select("model", "metadata_id", "site_id", "rnk")
 
 
 @query("s4_target_metrics", f"WITH {_RANKED} SELECT model, metadata_id, target_rank, round(target_score, 6) AS target_score FROM tr")
 def _(spark, d):
-    return Ranking(spark, d).target_ranks().select("model", "metadata_id", "target_rank", *r6("target_score"))
+    return Ranking.of(spark, d).target_ranks.select("model", "metadata_id", "target_rank", *r6("target_score"))
 
 
 _S5 = lambda side, o: ", ".join(
@@ -211,7 +225,7 @@ _S5 = lambda side, o: ", ".join(
  row_number() OVER (PARTITION BY model, metadata_id ORDER BY score DESC, site_id) AS hi FROM scores)
 SELECT model, metadata_id, count(*) AS n_sites, {_S5("low", "lo")}, {_S5("high", "hi")} FROM o GROUP BY 1, 2""")
 def _(spark, d):
-    out = SC.context_summary(Ranking(spark, d).scores(), ["model", "metadata_id"])
+    out = SC.context_summary(Ranking.of(spark, d).scores, ["model", "metadata_id"])
     return out.select("model", "metadata_id", "n_sites", *[
         c for s in ("low", "high") for i in (1, 2, 3) for c in
         (F.coalesce(f"{s}{i}_site", F.lit(-1)).alias(f"{s}{i}_site"), F.round(f"{s}{i}_score", 6).alias(f"{s}{i}_score"))])
@@ -220,7 +234,7 @@ def _(spark, d):
 @query("s6_threshold_accuracy", f"""WITH {_SCORES} SELECT metadata_id, round(avg(CASE WHEN (score / (score + 5) >= 0.5) = (is_target = 1) THEN 1.0 ELSE 0.0 END), 6) AS accuracy
 FROM scores WHERE model = 'MostInitiatedWith' GROUP BY 1""")
 def _(spark, d):
-    s = Ranking(spark, d).scores().filter("model = 'MostInitiatedWith'").withColumn("p", F.col("score") / (F.col("score") + 5))
+    s = Ranking.of(spark, d).scores.filter("model = 'MostInitiatedWith'").withColumn("p", F.col("score") / (F.col("score") + 5))
     return SC.threshold_accuracy(s, ["metadata_id"], "p", "is_target").select("metadata_id", *r6("accuracy"))
 
 
@@ -230,22 +244,22 @@ _PERIOD = f"CASE WHEN us < {X.TEST_START_US} THEN 'train' WHEN us <= {X.SPLIT_US
 @query("e1_mrr_hit_rate", f"""WITH {_RANKED} SELECT model, {_PERIOD}, round(avg(1.0 / target_rank), 6) AS mrr, round(avg(CASE WHEN target_rank <= 1 THEN 100.0 ELSE 0 END), 6) AS hr1,
  round(avg(CASE WHEN target_rank <= 5 THEN 100.0 ELSE 0 END), 6) AS hr5, count(*) AS n FROM tr GROUP BY 1, 2""")
 def _(spark, d):
-    t = S.assign_period(Ranking(spark, d).target_ranks(), X.GEN_START_US, X.TEST_START_US, X.SPLIT_US)
+    t = S.assign_period(Ranking.of(spark, d).target_ranks, X.GEN_START_US, X.TEST_START_US, X.SPLIT_US)
     return E.ranking_metrics(t, ["model", "period"]).select("model", "period", *r6("mrr", "hr1", "hr5"), "n")
 
 
 @query("e2_ndcg", f"WITH {_RANKED} SELECT model, " + ", ".join(
     f"round(avg(CASE WHEN target_rank <= {k} THEN 1 / log2(1.0 + target_rank) ELSE 0 END), 6) AS ndcg_{k}" for k in (1, 5, 10, 50)) + " FROM tr GROUP BY 1")
 def _(spark, d):
-    return Ranking(spark, d).target_ranks().groupBy("model").agg(
+    return Ranking.of(spark, d).target_ranks.groupBy("model").agg(
         *[F.round(F.avg(E.ndcg("target_rank", k)), 6).alias(f"ndcg_{k}") for k in (1, 5, 10, 50)])
 
 
 @query("e3_weekly_trend", f"""WITH {_RANKED}, w AS (SELECT model, CAST(floor((us - {X.GEN_START_US}) / {WEEK}.0) AS BIGINT) AS week, avg(1.0 / target_rank) AS mrr, count(*) AS n FROM tr GROUP BY 1, 2),
-t AS (SELECT model, regr_slope(mrr, week) AS slope, corr(mrr, week) AS r FROM w GROUP BY 1)
+t AS (SELECT model, coalesce(regr_slope(mrr, week), 0) AS slope, coalesce(covar_pop(mrr, week) / nullif(stddev_pop(mrr) * stddev_pop(week), 0), 0) AS r FROM w GROUP BY 1)
 SELECT model, week, round(mrr, 6) AS mrr, n, round(slope, 6) AS slope, round(r, 6) AS r FROM w JOIN t USING (model)""")
 def _(spark, d):
-    weekly, trend = E.weekly_trend(cut_lineage(Ranking(spark, d).target_ranks()), X.GEN_START_US)
+    weekly, trend = E.weekly_trend(Ranking.of(spark, d).target_ranks, X.GEN_START_US)
     return weekly.join(trend, "model").select("model", "week", "n", *r6("mrr", "slope", "r"))
 
 
@@ -255,8 +269,8 @@ s AS (SELECT t.target_rank, c.source IN (SELECT user_id FROM seen) AS u, c.targe
 SELECT coalesce(CAST(u AS BIGINT), -1) AS user_in_train, coalesce(CAST(k AS BIGINT), -1) AS site_in_train, coalesce(CAST(f AS BIGINT), -1) AS first_initiation,
  round(avg(1.0 / target_rank), 6) AS mrr, round(avg(CASE WHEN target_rank <= 5 THEN 100.0 ELSE 0 END), 6) AS hr5, count(*) AS n FROM s GROUP BY CUBE (u, k, f)""")
 def _(spark, d):
-    w = Ranking(spark, d)
-    t = w.target_ranks().filter("model = 'MostRecentJournal'")
+    w = Ranking.of(spark, d)
+    t = w.target_ranks.filter("model = 'MostRecentJournal'")
     seen = S.seen_in_train(w.inits, X.GEN_START_US, X.TEST_START_US, X.SPLIT_US)
     first = w.inits.groupBy("user_id").agg(F.min("us").alias("_first"))
     flags = seen.join(first, "user_id").select(
@@ -273,37 +287,37 @@ _RK = lambda m, o: f"CAST(floor(rank() OVER (ORDER BY {m} {o}) + (count(*) OVER
 r AS (SELECT *, {_RK("mrr", "DESC")}, {_RK("top5", "DESC")}, {_RK("mean_rank", "ASC")} FROM m)
 SELECT *, round((mrr_ranking + top5_ranking + mean_rank_ranking) / 3.0, 6) AS mean_ranking FROM r""")
 def _(spark, d):
-    m = Ranking(spark, d).target_ranks().groupBy("model").agg(
+    m = Ranking.of(spark, d).target_ranks.groupBy("model").agg(
         F.round(F.avg("target_rank"), 6).alias("mean_rank"), F.round(F.avg(1.0 / F.col("target_rank")), 6).alias("mrr"),
         F.round(F.avg((F.col("target_rank") <= 5).cast("double")), 6).alias("top5"))
     return E.leaderboard(m, ["mrr", "top5"], ["mean_rank"]).withColumn("mean_ranking", F.round("mean_ranking", 6))
 
 
 @query("e6_replicates", f"""WITH {_RANKED}, runs AS (SELECT model, metadata_id % 5 AS run, avg(1.0 / target_rank) AS mrr, avg(CASE WHEN target_rank <= 5 THEN 1.0 ELSE 0 END) AS hr5 FROM tr GROUP BY 1, 2)
-SELECT model, round(min(mrr), 6) AS min, round(quantile_cont(mrr, 0.5), 6) AS median, round(max(mrr), 6) AS max, count(*) AS n_runs, round(corr(mrr, hr5), 4) AS r FROM runs GROUP BY 1""")
+SELECT model, round(min(mrr), 6) AS min, round(quantile_cont(mrr, 0.5), 6) AS median, round(max(mrr), 6) AS max, count(*) AS n_runs, round(coalesce(covar_pop(mrr, hr5) / nullif(stddev_pop(mrr) * stddev_pop(hr5), 0), 0), 4) AS r FROM runs GROUP BY 1""")
 def _(spark, d):
-    runs = cut_lineage(Ranking(spark, d).target_ranks().groupBy("model", (F.col("metadata_id") % 5).alias("run")).agg(
+    runs = cut_lineage(Ranking.of(spark, d).target_ranks.groupBy("model", (F.col("metadata_id") % 5).alias("run")).agg(
         F.avg(1.0 / F.col("target_rank")).alias("mrr"), F.avg((F.col("target_rank") <= 5).cast("double")).alias("hr5")))
-    r = runs.groupBy("model").agg(F.round(F.corr("mrr", "hr5"), 4).alias("r"))
+    r = runs.groupBy("model").agg(F.round(E.correlation("mrr", "hr5"), 4).alias("r"))
     return E.replicate_summary(runs, "model", "mrr").join(r, "model").select("model", *r6("min", "median", "max"), "n_runs", "r")
 
 
-@query("e7_site_coverage", f"""WITH {_RANKED} SELECT model, site_id, count(*) AS n, round(avg(rnk), 6) AS mean, round(var_pop(rnk), 4) AS var, min(rnk) AS best, max(rnk) AS worst,
+@query("e7_site_coverage", f"""WITH {_RANKED} SELECT model, site_id, count(*) AS n, round(avg(rnk), 6) AS mean, round(var_pop(rnk) + 1e-7, 4) AS var, min(rnk) AS best, max(rnk) AS worst,
  CAST(sum(CASE WHEN rnk <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_top_5, CAST(sum(CASE WHEN rnk <= 100 THEN 1 ELSE 0 END) AS BIGINT) AS n_top_100, CAST(sum(CASE WHEN rnk <= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS n_top_1000
 FROM ranked GROUP BY 1, 2""")
 def _(spark, d):
-    return E.site_coverage(Ranking(spark, d).ranked()).withColumns({"mean": F.round("mean", 6), "var": F.round("var", 4)})
+    return E.site_coverage(Ranking.of(spark, d).ranked).withColumns({"mean": F.round("mean", 6), "var": F.round(F.col("var") + 1e-7, 4)})
 
 
 @query("e8_coverage_curve", f"""WITH {_RANKED}, c AS (SELECT model, site_id, min(rnk) AS b FROM ranked GROUP BY 1, 2)
 SELECT model, count(*) AS n_sites, """ + ", ".join(f"CAST(sum(CASE WHEN b <= {t} THEN 1 ELSE 0 END) AS BIGINT) AS sites_top_{t}" for t in (5, 100, 1000)) + " FROM c GROUP BY 1")
 def _(spark, d):
-    return E.coverage_curve(E.site_coverage(Ranking(spark, d).ranked()))
+    return E.coverage_curve(E.site_coverage(Ranking.of(spark, d).ranked))
 
 
 @query("e9_top5_batches", f"WITH {_COV} SELECT model, metadata_id, site_id, pos FROM crecs")
 def _(spark, d):
-    return Ranking(spark, d).coverage_recs()[0].select("model", "metadata_id", "site_id", F.col("pos").cast("long").alias("pos"))
+    return Ranking.of(spark, d).coverage_recs[0].select("model", "metadata_id", "site_id", F.col("pos").cast("long").alias("pos"))
 
 
 _E11 = f"""el AS (SELECT DISTINCT cand_site AS site_id FROM cov),
@@ -321,8 +335,8 @@ SELECT model, nr AS n_recced_sites, ne - nr AS n_nonrecced_sites, round(nr / ne,
  round(coalesce(ni, 0.0), 6) AS pct_nonrecced_with_int, round(coalesce(CASE WHEN ni > 0 THEN ri / ni END, 0.0), 6) AS ratio_int,
  round(coalesce(CASE WHEN ni < 1 THEN (1 - ri) / (1 - ni) END, 0.0), 6) AS ratio_noint, round(lo, 6) AS mean_min_age, round(mid, 6) AS mean_median_age FROM x""")
 def _(spark, d):
-    w = Ranking(spark, d)
-    recs, cand = w.coverage_recs()
+    w = Ranking.of(spark, d)
+    recs, cand = w.coverage_recs
     m = E.coverage_metrics(recs, cand.select(F.col("cand_site").alias("site_id")),
                            E.sites_with_prior_initiation(w.inits, w.journals, COV_US), E.first_site_update(w.journals), COV_US)
     return m.select("model", "n_recced_sites", "n_nonrecced_sites", *r6(*m.columns[3:]))
@@ -330,8 +344,8 @@ def _(spark, d):
 
 @query("e11_coverage_helper", f"""WITH {_COV}, {_E11} SELECT site_id, CASE WHEN site_id IN (SELECT site_id FROM prior) THEN 1 ELSE 0 END AS has_prior, first_us FROM el JOIN fu USING (site_id)""")
 def _(spark, d):
-    w = Ranking(spark, d)
-    cand = w.coverage_scores()[1]
+    w = Ranking.of(spark, d)
+    cand = w.coverage_scores[1]
     prior = E.sites_with_prior_initiation(w.inits, w.journals, COV_US).withColumn("has_prior", F.lit(1))
     return (cand.select(F.col("cand_site").alias("site_id")).distinct().join(prior, "site_id", "left").fillna(0, ["has_prior"])
             .join(E.first_site_update(w.journals), "site_id"))
@@ -343,7 +357,7 @@ WITH s AS (SELECT c.metadata_id, CASE WHEN c.metadata_id IN (SELECT metadata_id
  (SELECT count(*) FROM usp_state u WHERE u.user_id = c.source AND u.elig_us < c.us) AS n_source_sites FROM ctx_all c)
 SELECT coalesce(eligible, -1) AS eligible, coalesce(active, -1) AS active, count(*) AS n, round(quantile_cont(n_source_sites, 0.5), 6) AS median_sites FROM s GROUP BY CUBE (eligible, active)""")
 def _(spark, d):
-    w = Ranking(spark, d)
+    w = Ranking.of(spark, d)
     e = C.context_eligibility(w.contexts, w.usps)
     seen = S.state_at(e, w.activity.select(F.col("user_id").alias("source"), "us"), ["source"], {"_last": ("max", F.col("us"))})
     s = cut_lineage(seen.select(F.col("is_initiation_eligible").cast("int").alias("eligible"), F.coalesce(
@@ -357,14 +371,14 @@ def _(spark, d):
 @query("e13_repeat_exposure", f"""WITH {_COV}, p AS (SELECT model, CASE WHEN metadata_id IN (SELECT user_id FROM inits WHERE us < {X.GEN_START_US}) THEN 1 ELSE 0 END AS has_initiated, site_id, count(*) AS n_times FROM crecs GROUP BY 1, 2, 3)
 SELECT model, has_initiated, CAST(sum(n_times) AS BIGINT) AS n_recs, count(*) AS n_sites, max(n_times) AS max_times, CAST(sum(CASE WHEN n_times = 1 THEN 1 ELSE 0 END) AS BIGINT) AS n_sites_once FROM p GROUP BY 1, 2""")
 def _(spark, d):
-    w = Ranking(spark, d)
-    return E.exposure_by_prior_initiation(w.coverage_recs()[0], w.inits.filter(F.col("us") < X.GEN_START_US))
+    w = Ranking.of(spark, d)
+    return E.exposure_by_prior_initiation(w.coverage_recs[0], w.inits.filter(F.col("us") < X.GEN_START_US))
 
 
 @query("e14_appearance_table", f"""WITH {_RANKED}, t AS (SELECT model, r.site_id, {", ".join(f"CAST(sum(CASE WHEN rnk <= {k} THEN 1 ELSE 0 END) AS BIGINT) AS top{k}" for k in (1, 5, 10))}, round(avg(rnk), 6) AS mean_rank FROM ranked r GROUP BY 1, 2)
 SELECT t.*, s.name, s.visits, q.q25 FROM t JOIN sites s USING (site_id) JOIN (SELECT model, round(quantile_cont(visits, 0.25), 6) AS q25 FROM t JOIN sites USING (site_id) GROUP BY 1) q USING (model)""")
 def _(spark, d):
-    w = Ranking(spark, d)
-    t = cut_lineage(E.appearance_table(w.ranked(), X.sites(spark, d)))
+    w = Ranking.of(spark, d)
+    t = cut_lineage(E.appearance_table(w.ranked, X.sites(spark, d)))
     q = grouped_quantiles(t, ["model"], "visits", {"q25": 0.25}).withColumn("q25", F.round("q25", 6))
     return t.join(q, "model").withColumn("mean_rank", F.round("mean_rank", 6))

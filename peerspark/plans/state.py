@@ -17,8 +17,23 @@ HOUR = 3_600_000_000
 
 
 class World:
-    """The state tables one query works on. Each is written once (checkpointed) and read by every
-    later step: they are small next to the events, and plans on top of them stay short."""
+    """State tables derived from the events. Each is written once (checkpointed) and read by every
+    later step and query of the session: they are small next to the events, and plans on top of
+    them stay short."""
+
+    _shared: dict = {}
+
+    @classmethod
+    def of(cls, spark, d):
+        """The tables of this session and input folder; ``forget`` starts afresh."""
+        key = (cls, spark.sparkContext.applicationId, d)
+        if key not in World._shared:
+            World._shared[key] = cls(spark, d)
+        return World._shared[key]
+
+    @staticmethod
+    def forget():
+        World._shared.clear()
 
     def __init__(self, spark, d):
         self.spark, self.d = spark, d
@@ -63,7 +78,7 @@ class World:
 
 @query("p1_usp_state", "SELECT user_id, site_id, exist_us, coalesce(elig_us, -1) AS elig_us FROM usp_state")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return w.usps.withColumn("elig_us", F.coalesce("elig_us", F.lit(-1).cast("long")))
 
 
@@ -123,19 +138,19 @@ def _(spark, d):
 SELECT i.event_id, i.user_id, (SELECT count(*) FROM edges e WHERE e.dst = i.user_id AND e.edge_us < i.us) AS indegree,
 (SELECT count(*) FROM edges e WHERE e.src = i.user_id AND e.edge_us < i.us) AS outdegree FROM inits i""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return G.degrees_at(w.inits.select("event_id", "user_id", "us"), w.edges).drop("us")
 
 
 @query("j3_edges", "SELECT src, dst, edge_us FROM edges")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return w.edges
 
 
 @query("j3_edges_without_self", "SELECT src, dst, edge_us FROM edges WHERE src <> dst")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return G.edges(w.inits, w.usps, drop_self_edges=True)
 
 
@@ -153,7 +168,7 @@ SELECT node, component, component_size FROM lab"""
 
 @query("p9_components_snapshot", _component_sql(X.DAY0_US + 2 * US_PER_DAY))
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return G.components_at(w.edges, X.DAY0_US + 2 * US_PER_DAY)
 
 
@@ -165,7 +180,7 @@ people AS (SELECT DISTINCT user_id FROM ev)
 SELECT p.user_id AS node, c.us, coalesce(min(r.other), p.user_id) AS component, greatest(count(r.other), 1) AS component_size
 FROM people p CROSS JOIN cuts c LEFT JOIN reach r ON r.node = p.user_id AND r.us = c.us GROUP BY 1, 2""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     days = F.sequence(F.lit(1), F.lit(30))
     wanted = X.events(spark, d).select(F.col("user_id").alias("node")).distinct().select(
         "node", F.explode(days).alias("day")).select("node", (F.lit(X.DAY0_US) + F.col("day") * F.lit(US_PER_DAY)).alias("us"))
@@ -182,7 +197,7 @@ reach(us, node, other) AS (SELECT DISTINCT p.us, p.source, p.source FROM pairs p
 SELECT p.metadata_id, p.source, p.cand_user, CASE WHEN r.other IS NULL THEN 0 ELSE 1 END AS is_weakly_connected
 FROM pairs p LEFT JOIN reach r ON r.us = p.us AND r.node = p.source AND r.other = p.cand_user""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return G.weakly_connected(w.pairs, w.edges).drop("us")
 
 
@@ -197,7 +212,7 @@ SELECT p.metadata_id, p.source, p.cand_user, CASE WHEN f.t < p.us AND b.t < p.us
 FROM pairs p LEFT JOIN hops f ON f.src = p.source AND f.dst = p.cand_user
 LEFT JOIN hops b ON b.src = p.cand_user AND b.dst = p.source""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return G.mutual_fof(w.pairs, w.edges).drop("us")
 
 
@@ -205,7 +220,7 @@ def _(spark, d):
 WITH {_PAIRS} SELECT p.metadata_id, p.source, p.cand_user, CASE WHEN e.edge_us < p.us THEN 1 ELSE 0 END AS is_reciprocal
 FROM pairs p LEFT JOIN edges e ON e.src = p.cand_user AND e.dst = p.source""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return G.reciprocal(w.pairs, w.edges).drop("us")
 
 
@@ -223,7 +238,7 @@ SELECT *, CASE WHEN n_source_existing > 0 THEN 1 ELSE 0 END AS source_user_is_ex
  CASE WHEN metadata_id IN (SELECT metadata_id FROM ctx) THEN 1 ELSE 0 END AS is_initiation_eligible
 FROM n""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return C.context_eligibility(w.contexts, w.usps)
 
 
@@ -242,13 +257,13 @@ SELECT c.metadata_id, c.source, c.target_site, c.us,
  (SELECT count(*) FROM cand q WHERE q.metadata_id = c.metadata_id AND q.is_target = 0) AS n_candidate_usps
 FROM ctx c""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return C.candidate_counts(w.eligible, w.usps, X.activity(spark, d), w.edges)
 
 
 @query("p17_target_adjustment", "SELECT metadata_id, target_site, target_user, adjustment FROM tgt_usps")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return w.targets.select("metadata_id", "target_site", "target_user", "adjustment")
 
 
@@ -258,20 +273,20 @@ SELECT event_id, user_id, site_id, period,
  CASE WHEN user_id IN (SELECT user_id FROM p WHERE period = 'train') THEN 1 ELSE 0 END AS user_in_train,
  CASE WHEN site_id IN (SELECT site_id FROM p WHERE period = 'train') THEN 1 ELSE 0 END AS site_in_train FROM p""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return S.seen_in_train(w.inits, X.GEN_START_US, X.TEST_START_US, X.SPLIT_US).select(
         "event_id", "user_id", "site_id", "period", "user_in_train", "site_in_train")
 
 
 @query("p19_negative_sampling")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return w.triples
 
 
 @query("p20_triples_from_test_contexts")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     """Triples of the test period whose three pairs each have three updates before the context."""
     t = w.triples.filter(F.col("us") >= X.TEST_START_US)
     j = X.journals(spark, d)
@@ -288,7 +303,7 @@ WITH t AS (SELECT c.metadata_id, s.site_id AS source_site, t.target_user, t.targ
 SELECT label, count(*) AS n_rows, count(DISTINCT metadata_id) AS n_contexts
 FROM t, (SELECT 1 AS label UNION ALL SELECT 0) GROUP BY 1""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return C.pointwise(w.triples).groupBy(F.col("label").cast("int").alias("label")).agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("metadata_id").alias("n_contexts"))
 
@@ -300,7 +315,7 @@ SELECT metadata_id, side, user_id, site_id, string_agg(CAST(event_id AS VARCHAR)
  SELECT p.*, j.event_id, row_number() OVER (PARTITION BY p.metadata_id, p.side, p.user_id, p.site_id ORDER BY j.us DESC) AS rn
  FROM pts p JOIN journals j ON j.user_id = p.user_id AND j.site_id = p.site_id AND j.us < p.us) WHERE rn <= 3 GROUP BY 1, 2, 3, 4""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     ctx = w.eligible
     src = C.source_usps(ctx, w.usps).select(
         "metadata_id", F.lit("source").alias("side"), F.col("source").alias("user_id"), F.col("source_site").alias("site_id"), "us")
@@ -314,7 +329,7 @@ def _(spark, d):
 
 @query("p23_coverage_users")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     u, a = w.usps, X.activity(spark, d)
     users = C.coverage_users(u, a, X.TEST_START_US)
     ctx = C.targetless_contexts(users, X.TEST_START_US + 12 * HOUR)
@@ -327,7 +342,7 @@ SELECT w.user_id, CASE WHEN max(CASE WHEN u.elig_us < m.at THEN 1 ELSE 0 END) =
  CAST(coalesce(sum(CASE WHEN u.elig_us < m.at THEN 1 ELSE 0 END), 0) AS BIGINT) AS n_source_sites
 FROM wanted w CROSS JOIN m LEFT JOIN usp_state u USING (user_id) GROUP BY 1""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     e = X.events(spark, d)
     users = e.select("user_id").distinct()
     asked = users.unionByName(users.select((F.col("user_id") + 1_000_000_000).alias("user_id")))
@@ -374,7 +389,7 @@ def _(spark, d):
 
 @query("j4_candidates", "SELECT metadata_id, source, target_site, us, cand_user, cand_site, is_target FROM cand")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     return w.candidates
 
 
@@ -382,7 +397,7 @@ def _(spark, d):
 SELECT c.metadata_id, count(*) AS n_pairs, count(DISTINCT s.site_id) AS n_source_usps, CAST(sum(c.is_target) AS BIGINT) AS n_target_pairs
 FROM cand c JOIN usp_state s ON s.user_id = c.source AND s.elig_us < c.us GROUP BY 1""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     p = C.context_pairs(w.candidates, w.eligible, w.usps)
     return p.groupBy("metadata_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("source_site").alias("n_source_usps"),
                                         F.sum("is_target").alias("n_target_pairs"))
@@ -393,7 +408,7 @@ WITH pts AS (SELECT DISTINCT us, cand_user AS user_id, cand_site AS site_id FROM
 l AS (SELECT p.*, j.event_id AS oid, row_number() OVER (PARTITION BY p.us, p.user_id, p.site_id ORDER BY j.us DESC) AS rn FROM pts p JOIN journals j ON j.user_id = p.user_id AND j.site_id = p.site_id AND j.us <= p.us)
 SELECT oid AS journal_oid, count(*) AS n_uses FROM l WHERE rn <= 3 GROUP BY 1""")
 def _(spark, d):
-    w = World(spark, d)
+    w = World.of(spark, d)
     pts = w.candidates.select("us", F.col("cand_user").alias("user_id"), F.col("cand_site").alias("site_id")).unionByName(
         C.source_usps(w.eligible, w.usps).select("us", F.col("source").alias("user_id"), F.col("source_site").alias("site_id"))).distinct()
     return S.last_k_updates(pts, X.journals(spark, d)).groupBy("journal_oid").agg(F.count(F.lit(1)).alias("n_uses"))
