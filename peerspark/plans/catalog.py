@@ -1,4 +1,4 @@
 """Imports every plan module so that the registry is complete."""
 
-from . import ranking, state  # noqa: F401
+from . import ranking, state, study  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

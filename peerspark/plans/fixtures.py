@@ -80,7 +80,7 @@ def rec_batches(spark: SparkSession, d: str) -> DataFrame:
     home = F.floor(F.col("user_id") / 10) * 20
     site = lambda i: (home + (F.col("user_id") * 3 + F.col("batch_id") * 5 + i) % 20).cast("long")
     return (events(spark, d).select("user_id").distinct()
-            .withColumn("batch_id", F.explode(F.sequence(F.lit(0), F.lit(3))).cast("long"))
+            .withColumn("batch_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))))
             .select(F.col("user_id").alias("participant_id"), "batch_id",
                     (F.lit(DAY0_US) + F.col("batch_id") * F.lit(7 * US_PER_DAY)).alias("sent_us"),
                     F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct(
