@@ -105,7 +105,7 @@ FIRST = "Welcome to my page. I write here to keep family and friends informed in
 _D = lambda t: f"""CASE doc_id % 12 WHEN 0 THEN NULL WHEN 1 THEN '{DEFAULT}' WHEN 2 THEN ' &nbsp; ' WHEN 3 THEN '{DEFAULT.replace(".", "!")}' WHEN 4 THEN '{FIRST}' WHEN 5 THEN '***  ?? 12' WHEN 6 THEN '{DEFAULT} Hello'
  WHEN 7 THEN '{DEFAULT.replace("family", "people")}' WHEN 8 THEN '{DEFAULT} See you all soon' WHEN 9 THEN '{DEFAULT.replace("Thank you", "Bye")}' WHEN 10 THEN '{DEFAULT} ' || {t} ELSE {t} END"""
 _WORDS = DEFAULT.replace(".", "").split()
-_LET = {w: chr(0x4E00 + i) for i, w in enumerate(dict.fromkeys(_WORDS))}
+_LET = {w: chr(ord("A") + i) for i, w in enumerate(dict.fromkeys(_WORDS))}
 
 
 @query("t8_description_categories", f"""WITH a AS (SELECT doc_id, {_D('text')} AS x FROM documents), b AS (SELECT *, trim(regexp_replace(replace(x, '&nbsp;', ' '), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS s FROM a),
