@@ -53,7 +53,8 @@ def prefix_aggregate(df: DataFrame, keys: Sequence[str], bucket: Column, order:
         for name, (kind, _) in aggs.items()])
     inner = W.partitionBy(*keys, "_bucket").orderBy(*order)
     inner = (inner.rowsBetween if frame[0] == "rows" else inner.rangeBetween)(W.unboundedPreceding, frame[1])
-    joined = src.join(carry, [*keys, "_bucket"])
+    # one row per (key, bucket): hashing it saves sorting the big side for the join
+    joined = src.join(carry.hint("shuffle_hash"), [*keys, "_bucket"])
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_combine(kind, F.col(f"_c_{name}"), _AGG[kind](expr).over(inner)).alias(name)

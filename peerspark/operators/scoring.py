@@ -64,13 +64,28 @@ def cosine_scores(cands: DataFrame, users: DataFrame, cols: list[str] = USER_FEA
 
 
 def reduce_to_sites(scored: DataFrame, models: list[str], extra: list[str] | None = None) -> DataFrame:
-    """Best score over source pairs and authors per (context, site), for all models in one
-    aggregation (the rows are combined before the shuffle), then one row per model."""
-    keep = extra or []
-    wide = scored.groupBy("metadata_id", F.col("cand_site").alias("site_id")).agg(
-        *[F.max(m).alias(m) for m in models], *[F.max(c).alias(c) for c in keep])
+    """Best score over source pairs and authors per (context, site): one column per model, all in
+    one aggregation whose rows are combined before the shuffle."""
+    return scored.groupBy("metadata_id", F.col("cand_site").alias("site_id")).agg(
+        *[F.max(m).alias(m) for m in models], *[F.max(c).alias(c) for c in extra or []])
+
+
+def by_model(sites: DataFrame, models: list[str]) -> DataFrame:
+    """One row per model from one column per model."""
     items = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])
-    return wide.select("metadata_id", "site_id", *keep, F.inline(items))
+    return sites.select(*[c for c in sites.columns if c not in models], F.inline(items))
+
+
+def target_ranks(sites: DataFrame, models: list[str], keys: list[str]) -> DataFrame:
+    """Rank and score of each context's best target for every model, without ranking the rest: the
+    worst-tie rank is the number of sites scoring at least as high. One aggregation, no sort."""
+    hit = F.col("is_target") == 1
+    tgt = sites.filter(hit).groupBy(*keys).agg(*[F.max(m).alias(f"_t_{m}") for m in models])
+    n = sites.join(tgt, keys).groupBy(*keys).agg(
+        *[F.sum((F.col(m) >= F.col(f"_t_{m}")).cast("long")).alias(f"_n_{m}") for m in models],
+        *[F.max(f"_t_{m}").alias(f"_t_{m}") for m in models])
+    return n.select(*keys, F.inline(F.array(*[F.struct(
+        F.lit(m).alias("model"), F.col(f"_n_{m}").alias("target_rank"), F.col(f"_t_{m}").alias("target_score")) for m in models])))
 
 
 def rank_worst_ties(scored: DataFrame, keys: list[str], score: str = "score", name: str = "rnk") -> DataFrame:

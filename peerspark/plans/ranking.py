@@ -81,21 +81,29 @@ class Ranking(World):
     def site_points(self, cands):
         return SC.site_state(cands.select(F.col("cand_site").alias("site_id"), "us").distinct(), self.inits, self.journals)
 
-    @cached_property
+    @property
     def wide(self):
-        return cut_lineage(SC.baseline_scores(self.candidates, self.users, self.site_points(self.candidates)))
+        return SC.baseline_scores(self.candidates, self.users, self.sites)
 
     @cached_property
-    def scores(self):
-        return cut_lineage(SC.reduce_to_sites(self.wide, SC.BASELINES, ["is_target", "us"]))
+    def sites(self):
+        return cut_lineage(self.site_points(self.candidates))
 
     @cached_property
+    def site_scores(self):
+        return cut_lineage(SC.reduce_to_sites(self.wide, SC.BASELINES, ["is_target", "us"]))
+
+    @property
+    def scores(self):
+        return SC.by_model(self.site_scores, SC.BASELINES)
+
+    @property
     def ranked(self):
-        return cut_lineage(SC.rank_worst_ties(self.scores, ["model", "metadata_id"]))
+        return SC.rank_worst_ties(self.scores, ["model", "metadata_id"])
 
     @cached_property
     def target_ranks(self):
-        return cut_lineage(SC.target_metrics(self.ranked, ["model", "metadata_id", "us"]))
+        return cut_lineage(SC.target_ranks(self.site_scores, SC.BASELINES, ["metadata_id", "us"]))
 
     @cached_property
     def coverage_scores(self):
@@ -106,7 +114,7 @@ class Ranking(World):
             F.col("site_id").alias("cand_site"), F.col("n_site_inits").cast("double").alias("MostInitiatedWithRecently"),
             SC._recency("last_site_journal_us").alias("MostRecentJournal"))
         models = ["MostInitiatedWithRecently", "MostRecentJournal"]
-        return cut_lineage(SC.reduce_to_sites(cand.join(site, "cand_site"), models)), cand
+        return cut_lineage(SC.by_model(SC.reduce_to_sites(cand.join(site, "cand_site"), models), models)), cand
 
     @cached_property
     def coverage_recs(self):
@@ -160,7 +168,7 @@ def _(spark, d):
     w = Ranking.of(spark, d)
     flags = w.pair_flags.select(
         "metadata_id", "cand_user", sum(F.col(c) for c in FE.PAIR_FEATURES).cast("double").alias("NaiveNetwork"))
-    return SC.reduce_to_sites(w.candidates.join(flags, ["metadata_id", "cand_user"]), ["NaiveNetwork"]).drop("model")
+    return SC.reduce_to_sites(w.candidates.join(flags, ["metadata_id", "cand_user"]), ["NaiveNetwork"]).withColumnRenamed("NaiveNetwork", "score")
 
 
 _V8 = [c for c in _UF if c != "component_size"]
@@ -198,7 +206,7 @@ for _k, _m in (("s9_closest_to_start", "ClosestToStart"), ("s10_most_initiated_w
 def _(spark, d):
     w = Ranking.of(spark, d)
     scored = w.candidates.withColumn("Random", SC.random_score(3, "metadata_id", "cand_user", "cand_site"))
-    return SC.rank_worst_ties(SC.reduce_to_sites(scored, ["Random"]), ["model", "metadata_id"])
+    return SC.rank_worst_ties(SC.by_model(SC.reduce_to_sites(scored, ["Random"]), ["Random"]), ["model", "metadata_id"])
 
 
 @query("s1_s2_site_scores", f"WITH {_SCORES} SELECT model, metadata_id, site_id, is_target, round(score, 6) AS score FROM scores")

@@ -277,7 +277,7 @@ def _(spark, d):
     picked = C.pointwise(w.triples.filter(F.col("us") < X.TEST_START_US)).select("metadata_id", F.col("user_id").alias("cand_user"), F.col("site_id").alias("cand_site"))
     model = MO.fit_pointwise(rows.join(picked, ["metadata_id", "cand_user", "cand_site"]))
     scored = MO.score_pointwise(model, rows.filter(F.col("us") >= X.TEST_START_US), "Pointwise")
-    site = cut_lineage(SC.reduce_to_sites(scored, ["Pointwise"], ["is_target"]))
+    site = cut_lineage(SC.by_model(SC.reduce_to_sites(scored, ["Pointwise"], ["is_target"]), ["Pointwise"]))
     return SC.target_metrics(SC.rank_worst_ties(site, ["model", "metadata_id"]), ["model", "metadata_id"])
 
 
