@@ -38,19 +38,28 @@ def _combine(kind: str, carry: Column, inner: Column) -> Column:
 
 
 def prefix_aggregate(df: DataFrame, keys: Sequence[str], bucket: Column, order: Sequence[Column | str],
-                     aggs: dict[str, tuple[str, Column]], frame: tuple[str, int] = ("rows", -1)) -> DataFrame:
+                     aggs: dict[str, tuple[str, Column]], frame: tuple[str, int] = ("rows", -1),
+                     top_level: bool = True) -> DataFrame:
     """Running aggregate per key up to ``frame`` = ("rows"|"range", end offset).
 
     ``bucket`` must be non-decreasing along ``order``. Adds one column per entry of ``aggs``.
+    Without keys the bucket totals themselves are many, so their running totals are taken the same
+    way over groups of 1024 buckets.
     """
     keys = list(keys)
     src = df.withColumn("_bucket", bucket)
     totals = src.groupBy(*keys, "_bucket").agg(
         *[_AGG[kind](expr).alias(f"_t_{name}") for name, (kind, expr) in aggs.items()])
-    over_buckets = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    carry = totals.select(*keys, "_bucket", *[
-        _AGG[kind](F.col(f"_t_{name}")).over(over_buckets).alias(f"_c_{name}")
-        for name, (kind, _) in aggs.items()])
+    if keys or not top_level:
+        over_buckets = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+        carry = totals.select(*keys, "_bucket", *[
+            _AGG[kind](F.col(f"_t_{name}")).over(over_buckets).alias(f"_c_{name}")
+            for name, (kind, _) in aggs.items()])
+    else:
+        coarse = totals.withColumnRenamed("_bucket", "_fine")
+        carry = prefix_aggregate(coarse, [], F.floor(F.col("_fine") / 1024).cast("long"), ["_fine"], {
+            f"_c_{name}": (kind, F.col(f"_t_{name}")) for name, (kind, _) in aggs.items()}, ("rows", -1), False).select(
+            F.col("_fine").alias("_bucket"), *[f"_c_{name}" for name in aggs])
     inner = W.partitionBy(*keys, "_bucket").orderBy(*order)
     inner = (inner.rowsBetween if frame[0] == "rows" else inner.rangeBetween)(W.unboundedPreceding, frame[1])
     # one row per (key, bucket): hashing it saves sorting the big side for the join
