@@ -129,10 +129,10 @@ def _(spark, d):
     return m.join(dic.select("feature_id", "n_uses"), "feature_id")
 
 
-@query("io8_orphan_cleanup", f"""WITH c AS (SELECT event_id % {_NV} AS a, event_type FROM ev WHERE event_id % 5 < 2) SELECT vec_id AS feature_id FROM embeddings WHERE vec_id IN (SELECT a FROM c WHERE event_type <> 'click')""")
+@query("io8_orphan_cleanup", f"""WITH c AS (SELECT user_id % {_NV} AS a, event_type FROM ev) SELECT vec_id AS feature_id FROM embeddings WHERE vec_id IN (SELECT a FROM c WHERE event_type <> 'click')""")
 def _(spark, d):
     v = vectors(spark, d)
-    c = with_vec_count(X.events(spark, d).filter(F.col("event_id") % 5 < 2), v).select(F.pmod("event_id", "_nv").alias("a"), F.col("event_type").alias("type"))
+    c = with_vec_count(X.events(spark, d), v).select(F.pmod("user_id", "_nv").alias("a"), F.col("event_type").alias("type"))
     return sinks.drop_orphans(c, v, ["a"], "click")[1].select("feature_id")
 
 

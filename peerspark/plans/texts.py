@@ -146,7 +146,7 @@ def _(spark, d):
 
 
 _ANN = """ann AS (SELECT doc_id, 'a1' AS annotator, CASE WHEN quality = 1 THEN 'p' ELSE 'cg' END AS label FROM labels UNION ALL SELECT doc_id, 'a2', CASE WHEN doc_id % 4 = 0 THEN 'pc' WHEN quality = 1 THEN 'p' ELSE 'cg' END FROM labels
- UNION ALL SELECT doc_id, 'a3', CASE WHEN doc_id % 7 = 0 THEN 'cg' WHEN toxic = 1 THEN 'pc' ELSE 'p' END FROM labels WHERE doc_id % 3 = 0)"""
+ UNION ALL SELECT doc_id, 'a3', CASE WHEN doc_id % 7 = 0 THEN 'cg' WHEN toxic = 1 THEN 'pc' ELSE 'p' END FROM labels WHERE quality = 0)"""
 
 
 @query("t12_resolved_annotations", f"""WITH {_ANN}, g AS (SELECT doc_id, count(DISTINCT label) AS k, bool_or(label = 'p') AND bool_or(label = 'cg') AS sk, min(CASE WHEN annotator = 'a2' THEN label END) AS pref, min(label) AS lo FROM ann GROUP BY 1)
@@ -156,7 +156,7 @@ def _(spark, d):
     q = F.when(F.col("quality") == 1, "p").otherwise("cg")
     a = lambda name, lab, df=l: df.select("doc_id", F.lit(name).alias("annotator"), lab.alias("label"))
     ann = (a("a1", q).unionByName(a("a2", F.when(F.col("doc_id") % 4 == 0, "pc").otherwise(q)))
-           .unionByName(a("a3", F.when(F.col("doc_id") % 7 == 0, "cg").when(F.col("toxic") == 1, "pc").otherwise("p"), l.filter("doc_id % 3 = 0"))))
+           .unionByName(a("a3", F.when(F.col("doc_id") % 7 == 0, "cg").when(F.col("toxic") == 1, "pc").otherwise("p"), l.filter("quality = 0"))))
     return T.resolve_annotations(ann, "a2")
 
 
@@ -169,11 +169,11 @@ def _(spark, d):
     return T.kappa(one("quality", 6).unionByName(one("toxic", 10)), ["code"], "a", "b").withColumns({c: F.round(c, 6) for c in ("agreement", "kappa")})
 
 
-@query("t14_annotation_sample", """WITH r AS (SELECT DISTINCT site_id % 1000 AS text_id, participant_id FROM recs WHERE site_id % 1000 NOT IN (SELECT doc_id FROM labels WHERE doc_id % 2 = 0))
+@query("t14_annotation_sample", """WITH r AS (SELECT DISTINCT site_id % 1000 AS text_id, participant_id FROM recs WHERE site_id % 1000 NOT IN (SELECT doc_id FROM labels WHERE quality = 1))
 SELECT text_id, participant_id, count(*) OVER (PARTITION BY text_id) AS n_recipients FROM r""")
 def _(spark, d):
     recs = X.recommendations(spark, d).withColumn("text_id", F.col("site_id") % 1000)
-    return T.annotation_sample(recs, X.table(spark, d, "labels").filter("doc_id % 2 = 0").withColumnRenamed("doc_id", "text_id"))
+    return T.annotation_sample(recs, X.table(spark, d, "labels").filter("quality = 1").withColumnRenamed("doc_id", "text_id"))
 
 
 @query("t15_code_explosion", "SELECT doc_id, trim(code) AS code FROM (SELECT doc_id, unnest(string_split(lang || '; ' || source || ';;' || CASE WHEN n_chars > 500 THEN ' long ' ELSE ' ' END, ';')) AS code FROM documents) WHERE trim(code) <> ''")
