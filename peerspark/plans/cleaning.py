@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -45,15 +45,14 @@ def valid_ids(spark, d):
 def _(spark, d):
     """The customer table through a positional tab-separated copy and back."""
     src = tables.load_table(spark, f"{d}/customer.parquet")
-    path = tempfile.mkdtemp(prefix="io1-", dir=_scratch(spark))
+    path = _scratch(spark, "io1")
     src.write.mode("overwrite").csv(path, sep="\t")
     return tables.load_table(spark, path, "tsv", src.schema, header=False).withColumn("c_acctbal", F.round("c_acctbal", 2))
 
 
-def _scratch(spark):
-    """Shared folder for intermediate tables: next to the checkpoints."""
-    base = ensure_checkpoint_dir(spark)
-    return base[len("file:"):] if base.startswith("file:") else base
+def _scratch(spark, prefix):
+    """Fresh path for an intermediate table in the shared folder that holds the checkpoints."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
 
 
 @query("io2_json_lines", """
@@ -113,7 +112,7 @@ def _(spark, d):
 
 @query("io6_append_with_ids", "SELECT row_number() OVER (ORDER BY CASE event_type WHEN 'view' THEN 0 ELSE 1 END, event_id) - 1 AS metadata_id, event_id FROM ev WHERE event_type IN ('view', 'error')")
 def _(spark, d):
-    path = tempfile.mkdtemp(prefix="io6-", dir=_scratch(spark)) + "/t"
+    path = _scratch(spark, "io6")
     e = X.events(spark, d).select("event_id", "event_type")
     for i, kind in enumerate(("view", "error")):
         sinks.append_batch(e.filter(F.col("event_type") == kind), path, "event_id", "metadata_id", i)
