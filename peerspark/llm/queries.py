@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .exact import exact_dedup
+from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .registry import query, table, vocabulary
 
@@ -35,3 +36,9 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return best_fit_packing(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op3_near_dedup")
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at 75 % of shared five-word shingles."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
