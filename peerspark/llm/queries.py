@@ -8,6 +8,7 @@ from .bpe import bpe_decode, bpe_encode
 from .exact import exact_dedup
 from .minhash import near_duplicates
 from .packing import best_fit_packing
+from .recompression import remove_repeats
 from .registry import query, table, vocabulary
 
 
@@ -42,3 +43,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at 75 % of shared five-word shingles."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op6_substring_dedup")
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without their repeated windows of 35 words."""
+    cut = remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
