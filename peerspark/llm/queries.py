@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe import bpe_decode, bpe_encode
 from .exact import exact_dedup
+from .langid import held_out, identify, learn
 from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .recompression import remove_repeats
@@ -50,3 +51,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without their repeated windows of 35 words."""
     cut = remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op8_language_id")
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learnt from four fifths of them."""
+    docs, vocab = table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")
+    langs, probs = learn(docs.filter(~held_out()), vocab)
+    told = identify(docs, vocab, langs, probs)
+    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
