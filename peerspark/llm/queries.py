@@ -9,6 +9,7 @@ from .exact import exact_dedup
 from .langid import held_out, identify, learn
 from .minhash import near_duplicates
 from .packing import best_fit_packing
+from .quality import fit, judge
 from .recompression import remove_repeats
 from .registry import query, table, vocabulary
 
@@ -60,3 +61,10 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     langs, probs = learn(docs.filter(~held_out()), vocab)
     told = identify(docs, vocab, langs, probs)
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every document, the classifier fitted to the quality labels."""
+    docs = table(spark, sf_dir, "documents")
+    return judge(docs, fit(docs, table(spark, sf_dir, "labels")))

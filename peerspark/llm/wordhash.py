@@ -16,8 +16,8 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # 5 modulo 8: its powers differ in low bits as soon as any odd number can
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -105,7 +105,7 @@ def word_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[Words]:
         own = bounds[row:last + 1] - bounds[row]
         space = np.empty(len(data) + 2, bool)
         space[0] = space[-1] = True
-        space[1:-1] = _SPACE[data]
+        space[1:-1] = SPACE[data]
         begins = ~space[1:-1] & space[:-2]
         stops = ~space[1:-1] & space[2:]
         edges = own[1:-1]

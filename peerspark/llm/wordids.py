@@ -27,6 +27,24 @@ class WordIds:
         self.keep = keep
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        # U+0100 on: how byte-level vocabularies write the bytes that are no printable Latin-1
+        plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+        self.written = {b: 0x100 + k for k, b in enumerate(b for b in range(256) if b not in plain)}
+        self.direct = all(self._letters(p.encode()) == array("I", self.tokenizer.encode(p, add_special_tokens=False).ids).tobytes()
+                          for p in ("word", "Wörter", "élan", "straße", "niño"))
+
+    def _letters(self, stem: bytes) -> bytes | None:
+        """Ids of a stem of Latin letters below U+0240 straight from the merges: such a stem is one piece for
+        the tokenizer, and its normal form is its lower case. None for other stems."""
+        if max(stem) >= 0xC9:
+            return None
+        text = stem.decode().lower()
+        if not text.isalpha():
+            return None
+        if not text.isascii():
+            text = text.encode().decode("latin-1").translate(self.written)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _parts(self, word: bytes) -> tuple[bytes, bytes]:
         """The word as a stem and a run of punctuation, each encoded alone: no token spans a change
@@ -59,7 +77,13 @@ class WordIds:
                         fresh.add(x)
                     else:
                         young[x] = have
-        ask = list(fresh)
+        ask = []
+        for x in fresh:
+            have = self._letters(x) if self.direct else None
+            if have is None:
+                ask.append(x)
+            else:
+                young[x] = have
         for x, e in zip(ask, self.tokenizer.encode_batch_fast([x.decode() for x in ask], add_special_tokens=False)):
             young[x] = array("I", e.ids).tobytes()
         for w, (stem, tail) in parts.items():

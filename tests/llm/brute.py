@@ -56,3 +56,19 @@ def repeated_windows(texts, width=35):
             for d, i in places:
                 out[d][i:i + width] = [False] * width
     return [(w, [x for x, k in zip(w, keep) if k]) for w, keep in zip(words, out)]
+
+
+def base_measures(text):
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
+    text = text or ""
+    words = WORD.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORD.search(line):
+            dup += line in seen
+            seen.add(line)
+    where = {}
+    for i in range(len(words) - 4):
+        where.setdefault(tuple(words[i:i + 5]), []).append(i)
+    hit = {j for at in where.values() if len(at) > 1 for i in at for j in range(i, i + 5)}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, len(hit)
