@@ -12,6 +12,7 @@ from .packing import best_fit_packing
 from .quality import fit, judge
 from .recompression import remove_repeats
 from .registry import query, table, vocabulary
+from .warc import archived_pages
 
 
 @query("op1_bpe_round_trip")
@@ -68,3 +69,22 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base measures and verdict of every document, the classifier fitted to the quality labels."""
     docs = table(spark, sf_dir, "documents")
     return judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_warc_revisits", """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
+q AS (SELECT *, n >= 100 AND page_id <> min(page_id) OVER (PARTITION BY digest) AS again, min(page_id) OVER (PARTITION BY digest) AS first FROM p)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM q
+""")
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived and read back; payloads of responses are measured again, revisits tell from their header."""
+    found = archived_pages(table(spark, sf_dir, "pages"))
+    number = lambda c: F.regexp_extract(c, "<urn:page:(-?[0-9]+)>", 1)
+    whole = F.col("payload").isNotNull()
+    return found.select(
+        number("record_id").cast("long").alias("page_id"),
+        F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
+        F.when(whole, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
+        "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to").cast("long")).alias("refers_to"))
