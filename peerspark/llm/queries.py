@@ -9,9 +9,11 @@ from .exact import exact_dedup
 from .langid import held_out, identify, learn
 from .minhash import near_duplicates
 from .packing import best_fit_packing
+from .preference import preference_segments, swapped_replies
 from .quality import fit, judge
 from .recompression import remove_repeats
 from .registry import query, table, vocabulary
+from .tokencount import token_counts
 from .warc import archived_pages
 
 
@@ -88,3 +90,45 @@ def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(whole, F.octet_length("payload").cast("long")).otherwise(F.col("payload_length")).alias("payload_bytes"),
         F.when(whole, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"),
         "record_type", F.when(F.col("refers_to").isNotNull(), number("refers_to").cast("long")).alias("refers_to"))
+
+
+@query("op7_token_counts")
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by field, the text's first line apart; a crossing token counts where most of it is."""
+    import public_tokenizers
+    return token_counts(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query("op9_preference_format", """
+WITH turns AS (SELECT conv_id AS pair_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+last AS (SELECT pair_id, max(turn) AS last_turn, arg_max(coalesce(text, ''), turn) AS reply FROM turns
+         WHERE role = 'assistant' AND turn IS NOT NULL GROUP BY pair_id),
+rejected AS (
+  SELECT t.pair_id, t.turn, t.role, t.text FROM turns t LEFT JOIN last l ON t.pair_id = l.pair_id WHERE l.last_turn IS NULL OR t.turn < l.last_turn
+  UNION ALL
+  SELECT a.pair_id, a.last_turn, 'assistant', b.reply FROM last a JOIN last b ON b.pair_id = xor(a.pair_id, 1)),
+both_sides AS (SELECT *, 1 AS c, 0 AS r FROM turns UNION ALL SELECT *, 0, 1 FROM rejected),
+counted AS (SELECT pair_id, coalesce(turn, 9223372036854775807) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text, sum(c) AS c, sum(r) AS r
+            FROM both_sides GROUP BY 1, 2, 3, 4),
+cuts AS (SELECT pair_id, min(CASE WHEN c <> r THEN turn END) AS cut FROM counted GROUP BY pair_id),
+placed AS (
+  SELECT pair_id, turn, role, text, 'prompt' AS part, c AS n FROM counted JOIN cuts USING (pair_id) WHERE cut IS NULL OR turn < cut
+  UNION ALL
+  SELECT pair_id, turn, role, text, 'chosen', c FROM counted JOIN cuts USING (pair_id) WHERE turn >= cut
+  UNION ALL
+  SELECT pair_id, turn, role, text, 'rejected', r FROM counted JOIN cuts USING (pair_id) WHERE turn >= cut),
+shown AS (SELECT pair_id, part, turn, copy, role, text, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
+          FROM placed, range(1, 100) AS k(copy) WHERE copy <= n),
+spans AS (SELECT *, coalesce(sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY turn, role, text, copy
+                                                          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                 + CASE WHEN part = 'prompt' THEN 0 ELSE coalesce(sum(CASE WHEN part = 'prompt' THEN length(rendered) END) OVER (PARTITION BY pair_id), 0) END AS start
+          FROM shown)
+SELECT pair_id, part, turn, CAST(copy AS BIGINT) AS copy, role, rendered, CAST(start AS BIGINT) AS start,
+       CAST(start + length(rendered) AS BIGINT) AS "end",
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + 13 + length(role) END AS BIGINT) AS mask_start,
+       CAST(CASE WHEN part <> 'prompt' AND role = 'assistant' THEN start + length(rendered) END AS BIGINT) AS mask_end
+FROM spans
+""")
+def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against the same one with its neighbour's last reply."""
+    return preference_segments(*swapped_replies(table(spark, sf_dir, "conversations")))
