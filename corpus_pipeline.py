@@ -2,30 +2,61 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from peerspark.llm.exact import exact_dedup, kept_documents
+from peerspark.llm.langid import UNKNOWN, held_out, identify, learn
+from peerspark.llm.minhash import near_duplicates
 from peerspark.llm.packing import best_fit_packing
+from peerspark.llm.recompression import remove_repeats
 from peerspark.llm.registry import table, vocabulary
 from peerspark.llm.staging import staged
 
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is told with a score of at least LEAST_LANGUAGE_SCORE. Texts without a
+    letter and null texts go. Without any labelled language nothing can be told and nothing is rejected for it."""
+    vocab = vocabulary("piece_bpe_32k.model")
+    langs, probs = learn(docs.filter(~held_out()), vocab)
+    told = identify(docs, vocab, langs, probs, carry=tuple(docs.columns))
+    if not langs:
+        return docs
+    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of equal texts."""
     return kept_documents(docs, exact_dedup(docs))
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest id of each component of near-duplicates."""
+    return kept_documents(docs, near_duplicates(docs))
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes repeated windows out of the texts. Untouched texts stay as they are; documents of which nothing is left go."""
+    cut = remove_repeats(docs, carry=docs.columns, rejoin=False)
+    left = cut.filter((F.col("n_removed") == 0) | (F.col("n_removed") < F.col("n_words")))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars"))
+                           .cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their place in 2048-token sequences."""
     return best_fit_packing(docs, vocabulary("word_bpe_49k.json"))
 
 
-STAGES = [("exact dedup", exact_stage), ("packing", packing_stage)]
+STAGES = [("language", language_stage), ("exact dedup", exact_stage), ("near dedup", near_stage),
+          ("substring dedup", substring_stage), ("packing", packing_stage)]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # models, signatures and token ids have no SQL; tests hold run() against plain Python
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -114,10 +114,11 @@ def _longs(table: pa.Table, name: str) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, rounds: int = 3,
-                   carry: Sequence[str] = ()) -> DataFrame:
+                   carry: Sequence[str] = (), rejoin: bool = True) -> DataFrame:
     """Take out every word covered by a window of ``width`` words whose sequence also starts anywhere else,
     same document included. One row per input row: ``id_col``, the ``carry`` columns, ``text_col`` (kept
-    words joined by one space), n_words, n_removed.
+    words joined by one space), n_words, n_removed. Without ``rejoin``, a text that loses nothing keeps its
+    white space.
 
     Recompression names runs and pairs of symbols, round by round. A name is a fingerprint of what it
     stands for, so all tasks give equal content the same name and a round needs no exchange. Interior
@@ -200,7 +201,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 n_out = int(mask.sum())
                 if n_out:
                     words = [w for w, m in zip(words, mask.tolist()) if not m]
-                texts.append(b" ".join(words).decode())
+                texts.append((b" ".join(words) if rejoin or n_out else raw[part.bounds[i]:part.bounds[i + 1]]).decode())
                 total.append(int(y - x))
                 gone.append(n_out)
         own = _single(left, "own") if left.num_rows else pa.array([], left.schema.field("own").type)
