@@ -3,7 +3,8 @@
 ``df.write.format("warc").save(path)`` and ``spark.read.format("warc").load(path)`` after ``register(spark)``.
 Each record is a gzip member of its own whose extra field holds the member's size, so that a reader inflates
 a record's header, decides, and jumps over a payload that nobody asked for. Archives written elsewhere, plain
-or gzipped per record, are read too.
+or gzipped per record, are read too. Spark keeps pushed predicates with the loaded DataFrame, so load anew for each
+different filter.
 """
 
 from __future__ import annotations
