@@ -20,6 +20,7 @@ BATCH = 16
 MISS = 1e-7
 PERCENT = 75
 WIDTH = 5
+BLOCK = 2048  # members of a bucket that are compared in one piece, on either side
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -76,22 +77,36 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), HASHES)
 
 
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """One 64-bit key per row and band of the signature."""
+    values = sig.astype(U64).reshape(len(sig), HASHES // ROWS, ROWS)
+    key = np.broadcast_to(mix(np.arange(1, HASHES // ROWS + 1, dtype=U64)), values.shape[:2])
+    for k in range(ROWS):
+        key = mix(key * U64(0xD6E8FEB86659FD93) + values[:, :, k])
+    return key
+
+
 def _bands(classes: DataFrame) -> DataFrame:
-    """(cls, bucket): one 64-bit bucket per band of the signature."""
+    """(cls, band, bucket): one bucket per band of the signature."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n_bands = HASHES // ROWS
-        salt = mix(np.arange(1, n_bands + 1, dtype=U64))
         for batch in batches:
-            sig = _matrix(batch.column(1)).astype(U64).reshape(batch.num_rows, n_bands, ROWS)
-            key = np.broadcast_to(salt, (batch.num_rows, n_bands))
-            for k in range(ROWS):
-                key = mix(key * U64(0xD6E8FEB86659FD93) + sig[:, :, k])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), n_bands))),
-                 pa.array(key.reshape(-1).view(np.int64))], names=["cls", "bucket"])
+            key = _band_keys(_matrix(batch.column(1)))
+            row, band = np.indices(key.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(band.astype(np.int8)),
+                                              pa.array(key.reshape(-1).view(np.int64))], names=["cls", "band", "bucket"])
 
     rows = classes.select("cls", "sig")
-    return rows.mapInArrow(run, f"cls {rows.schema['cls'].dataType.simpleString()}, bucket long")
+    return rows.mapInArrow(run, f"cls {rows.schema['cls'].dataType.simpleString()}, band tinyint, bucket long")
+
+
+def _sequential(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, need: dict[int, int]) -> np.ndarray:
+    """Which pairs (left[x], right[y]) survive: signatures are compared batch by batch, and a pair is dropped as
+    soon as its matches make the threshold too improbable."""
+    alive, matches, seen = np.arange(len(x)), np.zeros(len(x), np.int16), 0
+    for n, least in need.items():
+        matches[alive] += (left[x[alive], seen:n] == right[y[alive], seen:n]).sum(axis=1, dtype=np.int16)
+        alive, seen = alive[matches[alive] >= least], n
+    return alive
 
 
 def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
@@ -100,11 +115,8 @@ def _plausible(pairs: DataFrame, classes: DataFrame, percent: int, miss: float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = _matrix(batch.column(2)), _matrix(batch.column(3))
-            alive, matches, seen = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), 0
-            for n, least in need.items():
-                matches[alive] += (left[alive, seen:n] == right[alive, seen:n]).sum(axis=1)
-                alive, seen = alive[matches[alive] >= least], n
+            every = np.arange(batch.num_rows)
+            alive = _sequential(_matrix(batch.column(2)), _matrix(batch.column(3)), every, every, need)
             yield pa.RecordBatch.from_arrays([c.take(pa.array(alive)) for c in batch.columns[:2]], names=["a", "b"])
 
     side = lambda name: classes.select(F.col("cls").alias(name), F.col("n").alias(f"n_{name}"), F.col("sig").alias(f"sig_{name}"))
@@ -135,17 +147,105 @@ def _exact(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
+def _blocks(mixed: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
+    """Members of buckets with several components, in blocks, that have a plausible partner.
+
+    ``mixed`` has (bucket, band, cls, comp, main, n_x, n_y): every member, the bucket's largest component and the
+    numbers of members outside it and in all. Members outside are compared with all. Both sides are cut into
+    pieces of about BLOCK members, and a block of two pieces is one group whatever the bucket's size. A pair
+    is looked at in the first band that it shares. Rows: block, cls, comp and, for members that look for
+    partners, the partners that no signature batch ruled out.
+    """
+    need = least_matches(percent, miss)
+    pieces = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("cls", "bucket"), pieces(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), pieces(n) - 1))
+    head = ["bucket", "band", "cls", "comp", "main"]
+    sides = (mixed.filter("comp <> main").select(*head, F.lit(True).alias("asks"), own("n_x").alias("i"), each("n_y").alias("j"))
+             .unionByName(mixed.select(*head, F.lit(False).alias("asks"), each("n_x").alias("i"), own("n_y").alias("j"))))
+    rows = sides.join(classes.select("cls", "n", "sig"), "cls")
+    kind = rows.schema["cls"].dataType.simpleString()
+
+    def compare(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").to_numpy()
+        cls, comp, size = (table.column(c).to_numpy() for c in ("cls", "comp", "n"))
+        band, main = table.column("band")[0].as_py(), table.column("main")[0].as_py()
+        sig = _matrix(table.column("sig").combine_chunks())
+        keys = _band_keys(sig)
+        out: dict[str, list] = {"cls": [], "comp": [], "partners": []}
+        xs, ys = np.flatnonzero(asks), np.flatnonzero(~asks)
+        wanted = np.zeros(len(cls), bool)
+        for at in range(0, len(xs), 256):
+            x = xs[at:at + 256]
+            a, b = size[x][:, None] * 100, size[ys][None] * 100
+            fit = (np.minimum(a, b) * 100 >= np.maximum(a, b) * percent) & (comp[x][:, None] != comp[ys][None])
+            fit &= (comp[ys] == main)[None] | (cls[x][:, None] < cls[ys][None])
+            for earlier in range(band):
+                fit &= keys[x, earlier][:, None] != keys[ys, earlier][None]
+            p, q = np.nonzero(fit)
+            alive = _sequential(sig, sig, x[p], ys[q], need)
+            p, q = p[alive], q[alive]
+            wanted[ys[q]] = True
+            for k in np.unique(p):
+                out["cls"].append(cls[x[k]])
+                out["comp"].append(comp[x[k]])
+                out["partners"].append(cls[ys[q[p == k]]])
+        for k in np.flatnonzero(wanted):
+            out["cls"].append(cls[k])
+            out["comp"].append(comp[k])
+            out["partners"].append(None)
+        n = len(out["cls"])
+        same = {c: pa.array([table.column(c)[0].as_py()] * n, table.schema.field(c).type) for c in ("bucket", "i", "j")}
+        return pa.table(same | {"cls": pa.array(out["cls"], table.schema.field("cls").type), "comp": pa.array(out["comp"], table.schema.field("comp").type),
+                                "partners": pa.array(out["partners"], pa.list_(table.schema.field("cls").type))})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(
+        compare, f"bucket long, i int, j int, cls {kind}, comp {kind}, partners array<{kind}>")
+
+
+def _linked(blocks: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Links (a, b) confirmed on full sets: for each asking member one partner of each component it links with."""
+    rows = blocks.join(texts, "cls")
+    kind = rows.schema["cls"].dataType.simpleString()
+
+    def verify(table: pa.Table) -> pa.Table:
+        cls, comp = table.column("cls").to_numpy(), table.column("comp").to_numpy()
+        partners = table.column("partners").to_pylist()
+        sets = list(shingle_sets(table.column("text"), width))
+        size = np.array([len(x) for x in sets])
+        words, code = np.unique(np.concatenate(sets), return_inverse=True)
+        bounds = np.append(0, np.cumsum(size))
+        mark = np.zeros(len(words), bool)
+        left, right = [], []
+        for k, found in enumerate(partners):
+            if found is None:
+                continue
+            own = code[bounds[k]:bounds[k + 1]]
+            mark[own] = True
+            to = np.flatnonzero(np.isin(cls, found) & (size > 0))
+            shared = np.array([mark[code[bounds[t]:bounds[t + 1]]].sum() for t in to])
+            mark[own] = False
+            near = to[100 * shared >= percent * (size[k] + size[to] - shared)]
+            for t in near[np.unique(comp[near], return_index=True)[1]]:
+                left.append(cls[k])
+                right.append(cls[t])
+        kinds = table.schema.field("cls").type
+        return pa.table({"a": pa.array(left, kinds), "b": pa.array(right, kinds)})
+
+    return rows.groupBy("bucket", "i", "j").applyInArrow(verify, f"a {kind}, b {kind}")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT,
                     width: int = WIDTH, miss: float = MISS) -> DataFrame:
     """One row per input row: ``id_col``, n_shingles, component_id, kept.
 
     Texts with the same shingle set form a class, named by its smallest id. Classes that share a band
-    meet in a bucket. First every member is compared with the bucket's smallest class, so a bucket of any
-    size costs as many pairs as it has members; verified links are contracted to components. Members of a
-    bucket that are still in different components are then compared with each other, each pair once.
-    Nothing is capped: after the second pass every banded pair is verified or already connected. A pair is
-    pruned when the probability that it reaches the threshold, given the matches in the signature batches
-    compared so far, is below ``miss``; survivors are confirmed on the full sets.
+    meet in a bucket. First every class is compared with one other, the smallest that any of its buckets
+    has: one pair per class, however large the buckets. Verified links are contracted to components. Then
+    the members of a bucket outside its largest component are compared with all its members, in blocks of
+    bounded size. Nothing is capped: after the second pass every banded pair is verified or already
+    connected. A pair is pruned when the probability that it reaches the threshold, given the matches in
+    the signature batches compared so far, is below ``miss``; survivors are confirmed on the full sets.
 
     Null and empty texts, and texts without words, have no shingles and link with nothing. A class of null
     ids only links with nothing and has component_id null. Rows that share an id are one node. An empty table
@@ -158,39 +258,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     banded = _bands(named)
     heads = banded.groupBy("bucket").agg(F.min("cls").alias("head"), F.count(F.lit(1)).alias("members")).filter("members > 1")
     members = staged(banded.join(heads.select("bucket", "head"), "bucket"), "bucket-members")
-    active = members.select("cls").distinct()
-    signed = staged(named.select("cls", "n", "sig").join(active, "cls", "left_semi"), "active-signatures")
-
-    stars = staged(members.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b")).distinct(), "star-pairs")
-    likely = staged(_plausible(stars, signed, percent, miss), "likely-star-pairs")
-
-    def residual(comp: DataFrame) -> DataFrame:
-        """Pairs of one bucket in different components, without those compared before."""
-        placed = (members.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
-                  .select("bucket", "cls", F.coalesce("component", "cls").alias("comp")))
-        mixed = (placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("n"))
-                 .groupBy("bucket").agg(F.count(F.lit(1)).alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-                 .filter("comps > 1").select("bucket", "main"))
-        inside = staged(placed.join(mixed, "bucket"), "mixed-buckets")
-        one = inside.filter("comp <> main").select("bucket", F.col("cls").alias("x"), F.col("comp").alias("comp_x"))
-        other = inside.select("bucket", F.col("cls").alias("y"), F.col("comp").alias("comp_y"), "main")
-        pairs = (one.join(other, "bucket").filter("comp_x <> comp_y and (comp_y = main or x < y)")
-                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        return pairs.join(stars, ["a", "b"], "left_anti")
-
-    wanted = likely.select(F.col("a").alias("cls")).union(likely.select("b")).distinct()
-
-    def texts_of(ids: DataFrame) -> DataFrame:
-        found = docs.select(F.col(id_col).alias("cls"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        return staged(found.join(ids, "cls", "left_semi"), "candidate-texts")
-
-    links = staged(_exact(likely, texts_of(wanted), percent, width), "star-links")
+    active = staged(members.groupBy("cls").agg(F.min("head").alias("head")), "active")
+    # the same join at every size: what moves grows with the input
+    ids = active.select("cls").hint("merge")
+    signed = staged(named.select("cls", "n", "sig").join(ids, "cls", "left_semi"), "active-signatures")
+    found = docs.select(F.col(id_col).alias("cls"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = staged(found.join(ids, "cls", "left_semi"), "active-texts")
+
+    stars = active.filter("cls <> head").select(F.col("head").alias("a"), F.col("cls").alias("b"))
+    likely = staged(_plausible(stars, signed, percent, miss), "likely-stars")
+    links = staged(_exact(likely, texts, percent, width), "star-links")
     comp = staged(components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "star-components")
-    rest = staged(_plausible(residual(comp), signed, percent, miss), "likely-rest-pairs")
-    if not rest.isEmpty():
-        more = _exact(rest, texts_of(rest.select(F.col("a").alias("cls")).union(rest.select("b")).distinct()), percent, width)
-        comp = staged(components(staged(comp.select(F.col("node").alias("src"), F.col("component").alias("dst"))
-                                        .unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst"))), "all-links")), "components")
+
+    placed = (members.join(comp.withColumnRenamed("node", "cls"), "cls", "left")
+              .select("bucket", "band", "cls", F.coalesce("component", "cls").alias("comp")))
+    mixed = (placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
+             .groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("n_y")).filter("n_y > top.k")
+             .select("bucket", F.col("top.comp").alias("main"), (F.col("n_y") - F.col("top.k")).alias("n_x"), "n_y"))
+    blocks = staged(_blocks(placed.join(mixed, "bucket"), signed, percent, miss), "blocks")
+    more = staged(_linked(blocks, texts, percent, width), "block-links")
+    if not more.isEmpty():
+        comp = staged(components(comp.select(F.col("node").alias("src"), F.col("component").alias("dst"))
+                                 .unionByName(more.select(F.col("a").alias("src"), F.col("b").alias("dst")))), "components")
     of_class = (named.select("digest", "cls").join(comp.withColumnRenamed("node", "cls"), "cls", "left")
                 .select("digest", F.coalesce("component", "cls").alias("component_id")))
     told = (rows.select("id", "n", "digest").join(of_class, "digest", "left")

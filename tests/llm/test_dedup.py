@@ -89,9 +89,8 @@ def test_near_duplicates_of_a_large_group_and_a_chain(spark):
     assert got == brute.near_components(docs)
 
 
-def test_members_compared_after_the_first_pass_are_linked(spark, monkeypatch):
-    """One band of one row puts texts together that their head does not link."""
-    monkeypatch.setattr(minhash, "ROWS", 1)
+def test_members_compared_after_the_first_pass_are_linked(spark):
+    """Members share buckets with a head that does not link with them."""
     a, b = prose(60, 60, 900).split(), prose(61, 60, 900).split()
     docs = {1: " ".join(a[:40] + b[:40]), 2: " ".join(b), 3: " ".join([*b[:-1], "end"]), 4: " ".join([*b[:-1], "stop"]), 5: " ".join(a)}
     got = {r[0]: (r[1], r[2]) for r in near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
