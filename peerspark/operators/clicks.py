@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.draws import draw
 from .prefix import (US_PER_DAY, US_PER_HOUR, content_bucket, first_k_per_key, prefix_aggregate, running_number,
                      time_bucket)
 
@@ -234,15 +235,17 @@ def collapse_sites(attributed: DataFrame) -> DataFrame:
         F.max("was_clicked").alias("was_clicked"))
 
 
-def impute_click_times(sites: DataFrame, attributed: DataFrame, salt: int = 7919) -> DataFrame:
-    """A site without a click gets a clicked time of its batch, picked by a fixed rule."""
+def impute_click_times(sites: DataFrame, attributed: DataFrame, seed: int = 23) -> DataFrame:
+    """A site without a click gets a clicked time of its batch, drawn by a seeded hash. ``status`` is
+    clicked (own time), filled, or unfilled where nobody clicked in the batch (time -1); no site is lost."""
     times = attributed.filter("was_clicked = 1").select("batch_id", "first_click_us").distinct()
     n = times.groupBy("batch_id").agg(F.count(_ONE).alias("_n"))
-    numbered = running_number(times, ["batch_id"], time_bucket("first_click_us"), ["first_click_us"], "_i")
-    need = sites.join(n, "batch_id").withColumn("_i", F.pmod(F.col("site_id") * salt, F.col("_n")) + 1)
-    drawn = need.join(numbered.withColumnRenamed("first_click_us", "_t"), ["batch_id", "_i"])
-    return drawn.select("site_id", "batch_id", F.when(F.col("was_clicked") == 1, F.col("first_click_us"))
-                        .otherwise(F.col("_t")).alias("first_click_us"), "was_clicked")
+    numbered = running_number(times, ["batch_id"], time_bucket("first_click_us", US_PER_HOUR), ["first_click_us"], "_i")
+    need = sites.join(n, "batch_id", "left").withColumn("_i", draw(seed, "site_id") % F.col("_n") + 1)
+    drawn = need.join(numbered.withColumnRenamed("first_click_us", "_t"), ["batch_id", "_i"], "left")
+    own = F.col("was_clicked") == 1
+    return drawn.select("site_id", "batch_id", F.when(own, F.col("first_click_us")).otherwise(F.coalesce("_t", F.lit(-1))).alias("first_click_us"),
+                        "was_clicked", F.when(own, "clicked").when(F.col("_t").isNull(), "unfilled").otherwise("filled").alias("status"))
 
 
 def weekly_rates(visits: DataFrame, interactions: DataFrame, recs: DataFrame, end_us: int) -> DataFrame:

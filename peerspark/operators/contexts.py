@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .prefix import ACTIVE_WINDOW_US, running_number, state_at, time_bucket
+from ..functions.draws import draw
+from .prefix import ACTIVE_WINDOW_US, bucket_width, running_number, state_at, time_bucket
 from .state import active_predicate, activity_days, first_update
 
 SALTS = 16
@@ -159,8 +160,7 @@ def candidate_counts(ctx: DataFrame, usps: DataFrame, activity: DataFrame, edge:
     """Per context: eligible, co-author, active, candidate and connected counts."""
     el = usps.filter(F.col("elig_us").isNotNull()).groupBy("user_id").agg(F.min("elig_us").alias("us"))
     one = {"_n": ("sum", F.lit(1).cast("long"))}
-    base = ctx.withColumn("_k", F.lit(0))
-    n_el = state_at(base, el.withColumn("_k", F.lit(0)), ["_k"], one).drop("_k").withColumnRenamed("_n", "n_all_eligible")
+    n_el = state_at(ctx, el.select("us"), [], one, bucket_us=bucket_width(ctx, "us")).withColumnRenamed("_n", "n_all_eligible")
     n_ed = state_at(n_el, edge.select(F.col("src").alias("source"), F.col("edge_us").alias("us")), ["source"], one
                     ).withColumnRenamed("_n", "n_existing_initiations")
     tgt = target_users(ctx, usps).select("metadata_id", F.col("target_user").alias("u"), F.lit(1).alias("t"), F.lit(0).alias("c"))
@@ -198,7 +198,7 @@ def sample_alternatives(pairs: DataFrame, cands: DataFrame, seed: int = 7) -> Da
     n = alt.groupBy("metadata_id").agg(F.count(F.lit(1)).alias("_n"))
     key = ["metadata_id", "source_site", "target_user", "target_site"]
     drawn = pairs.join(n, "metadata_id").withColumn(
-        "_i", F.pmod(F.xxhash64(F.lit(seed), *key), F.col("_n")) + 1)
+        "_i", draw(seed, *key) % F.col("_n") + 1)
     return drawn.join(numbered, ["metadata_id", "_i"]).select(*pairs.columns, "alt_user", "alt_site")
 
 
@@ -216,12 +216,12 @@ def pointwise(triple: DataFrame) -> DataFrame:
     ).select("metadata_id", "source", "source_site", "us", "r.*")
 
 
-def coverage_users(usps: DataFrame, activity: DataFrame, at_us: int, n: int = 1000, seed: int = 11) -> DataFrame:
-    """Seeded sample of n users eligible and active at ``at_us``."""
+def coverage_users(usps: DataFrame, activity: DataFrame, at_us: int, n: int | None = 1000, seed: int = 11) -> DataFrame:
+    """Users eligible and active at ``at_us``: a seeded sample of n, or all without n."""
     el = usps.filter(F.col("elig_us") < at_us).select("user_id").distinct()
     ac = activity.filter((F.col("us") >= at_us - ACTIVE_WINDOW_US) & (F.col("us") < at_us)).select("user_id")
-    return (el.join(ac, "user_id", "left_semi")
-            .orderBy(F.xxhash64(F.lit(seed), F.col("user_id")), "user_id").limit(n))
+    users = el.join(ac, "user_id", "left_semi")
+    return users if n is None else users.orderBy(draw(seed, "user_id"), "user_id").limit(n)
 
 
 def prediction_contexts(users: DataFrame, usps: DataFrame, at: DataFrame) -> DataFrame:

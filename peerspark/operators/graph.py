@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .prefix import running_number, state_at, time_bucket
+from .prefix import bucket_width, running_number, state_at, time_bucket
 
 
 def edges(inits: DataFrame, usps: DataFrame, drop_self_edges: bool = False) -> DataFrame:
@@ -28,11 +28,11 @@ def degrees_at(points: DataFrame, edge: DataFrame, user: str = "user_id") -> Dat
                                            "outdegree": ("sum", F.col("o").cast("long"))})
 
 
-def components(edge: DataFrame, layer: list[str] | None = None, max_rounds: int = 60) -> DataFrame:
+def components(edge: DataFrame, layer: list[str] | None = None) -> DataFrame:
     """Weakly connected components by alternating large-star and small-star contraction.
 
     ``edge`` has src, dst and optional ``layer`` columns; each layer is its own graph, solved in
-    the same rounds. Converges in O(log^2 n) rounds; a hub's neighbour list is never gathered,
+    the same rounds. It ends after O(log^2 n) rounds, whatever n; a hub's neighbour list is never gathered,
     only its minimum (combined map-side). Returns (layer, node, component = smallest id).
     """
     layer = layer or []
@@ -41,7 +41,7 @@ def components(edge: DataFrame, layer: list[str] | None = None, max_rounds: int
     cur = cut_lineage(edge.filter(F.col("src") != F.col("dst"))
                       .select(*layer, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
     stamp = None
-    for _ in range(max_rounds):
+    while True:
         both = cur.unionByName(cur.select(*layer, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(*layer, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # large star: neighbours above u point to the smallest id around u
@@ -57,8 +57,6 @@ def components(edge: DataFrame, layer: list[str] | None = None, max_rounds: int
         if now == stamp:
             break
         stamp = now
-    else:
-        raise RuntimeError("component contraction did not converge")
     parent = cur.groupBy(*layer, F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.join(parent, [*layer, "node"], "left").withColumn(
         "component", F.coalesce("component", "node"))
@@ -83,12 +81,13 @@ def components_at_times(edge: DataFrame, wanted: DataFrame) -> DataFrame:
     a level are layers of one ``components`` call, so each of the log2(#times) levels is one pass
     over the edges; a wanted row follows its own interval only. Sizes travel on edge endpoints.
     """
-    cuts = cut_lineage(running_number(wanted.select("us").distinct(), [], time_bucket("us"), ["us"], "cut"))
+    times = cut_lineage(wanted.select("us").distinct())
+    width = bucket_width(times, "us")
+    cuts = cut_lineage(running_number(times, [], time_bucket("us", width), ["us"], "cut"))
     n_cuts = cuts.count()
     # an edge is first visible at the first time after it
-    slot = state_at(edge.select("src", "dst", "edge_us", F.lit(0).alias("_k")),
-                    cuts.select(F.lit(0).alias("_k"), "us"), ["_k"],
-                    {"before": ("sum", F.lit(1).cast("long"))}, point_us="edge_us", inclusive=True)
+    slot = state_at(edge.select("src", "dst", "edge_us"), cuts.select("us"), [], {"before": ("sum", F.lit(1).cast("long"))},
+                    point_us="edge_us", bucket_us=bucket_width(edge, "edge_us"), inclusive=True)
     one = F.lit(1).cast("long")
     here = cut_lineage(slot.filter((F.col("src") != F.col("dst")) & (F.col("before") < n_cuts)).select(
         F.lit(0).cast("long").alias("part"), "src", "dst", F.col("before").alias("slot"),

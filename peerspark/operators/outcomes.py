@@ -14,13 +14,13 @@ USER_MEASURES = ["n_updates", "n_sites_interactedwith", "n_self_sites", "n_sites
                  "n_self_interactions", "n_text_interactions", "n_first_visits", "n_days_visited", "n_sites_repeat_visited"]
 
 
-def in_windows(targets: DataFrame, events: DataFrame, on: str, days: list[int]) -> DataFrame:
-    """Events around each target's time ``t0``: one row per window length and side containing it."""
-    widest = max(days) * US_PER_DAY
+def in_windows(targets: DataFrame, events: DataFrame, on: str, days: list[int], back: int | None = None) -> DataFrame:
+    """Events around each target's time ``t0``: one row per window length and side containing it. The pre
+    side reaches ``back`` days for every window, or as far as the post side if it is not given."""
     gap = F.col("us") - F.col("t0")
-    near = targets.select(on, "t0").join(events, on).filter(gap.between(-widest, widest))
+    near = targets.select(on, "t0").join(events, on).filter(gap.between(-(back or max(days)) * US_PER_DAY, max(days) * US_PER_DAY))
     sides = F.array(*[F.when(cond, F.struct(F.lit(d).cast("long").alias("window_days"), F.lit(s).alias("side")))
-                      for d in days for s, cond in (("pre", gap.between(-d * US_PER_DAY, 0)), ("post", gap.between(0, d * US_PER_DAY)))])
+                      for d in days for s, cond in (("pre", gap.between(-(back or d) * US_PER_DAY, 0)), ("post", gap.between(0, d * US_PER_DAY)))])
     return near.withColumn("_w", F.explode(F.filter(sides, lambda x: x.isNotNull()))).select("_w.*", *near.columns)
 
 
@@ -38,7 +38,7 @@ def _assemble(targets: DataFrame, days: list[int], key: str, parts: list[tuple[D
 
 
 def site_outcomes(targets: DataFrame, journals: DataFrame, interactions: DataFrame, visits: DataFrame, days: list[int],
-                  exclude_pairs: DataFrame | None = None) -> DataFrame:
+                  exclude_pairs: DataFrame | None = None, back: int | None = None) -> DataFrame:
     """21 pre/post outcomes of each target site (site_id, t0): updates, authors, peer interactions
     and their users, site-wide activity of its authors, visits, and days since the first update.
 
@@ -49,11 +49,11 @@ def site_outcomes(targets: DataFrame, journals: DataFrame, interactions: DataFra
     if exclude_pairs is not None:
         ex = exclude_pairs.select("user_id", "site_id").distinct()
         interactions, visits = (df.join(ex, ["user_id", "site_id"], "left_anti") for df in (interactions, visits))
-    upd = in_windows(targets, journals.select("site_id", "user_id", "us"), "site_id", days)
+    upd = in_windows(targets, journals.select("site_id", "user_id", "us"), "site_id", days, back)
     # two-level: per author first, so a busy site is combined before its final row
     upd = upd.groupBy(*k, "user_id").agg(F.count(F.lit(1)).alias("_n")).groupBy(*k).agg(
         F.sum("_n").alias("n_updates"), F.count(F.lit(1)).alias("n_authors"))
-    ints = in_windows(targets, interactions.select("site_id", "user_id", "us"), "site_id", days)
+    ints = in_windows(targets, interactions.select("site_id", "user_id", "us"), "site_id", days, back)
     per_usp = ints.groupBy(*k, "user_id").agg(F.count(F.lit(1)).alias("_n"))
     peer = per_usp.join(authored, ["user_id", "site_id"], "left_anti").groupBy(*k).agg(
         F.sum("_n").alias("n_interactions"), F.count(F.lit(1)).alias("n_users_interactedwith"))
@@ -64,8 +64,8 @@ def site_outcomes(targets: DataFrame, journals: DataFrame, interactions: DataFra
         F.sum(F.when(~own, 1).otherwise(0)).alias("n_sitewide_sites"),
         F.sum(F.when(own, F.col("_n")).otherwise(0)).alias("n_sitewide_self")).withColumnRenamed("source_site", "site_id")
     first = visits.groupBy("user_id", "site_id").agg(F.min("us").alias("us"))
-    fv = in_windows(targets, first, "site_id", days).groupBy(*k).agg(F.count(F.lit(1)).alias("n_first_visits"))
-    vis = in_windows(targets, visits.select("site_id", "user_id", "us"), "site_id", days)
+    fv = in_windows(targets, first, "site_id", days, back).groupBy(*k).agg(F.count(F.lit(1)).alias("n_first_visits"))
+    vis = in_windows(targets, visits.select("site_id", "user_id", "us"), "site_id", days, back)
     dv = vis.groupBy(*k).agg(F.countDistinct(time_bucket("us")).alias("n_days_visited"))
     rv = vis.groupBy(*k, "user_id").agg(F.count(F.lit(1)).alias("_n")).groupBy(*k).agg(
         F.sum((F.col("_n") > 1).cast("long")).alias("n_users_repeat_visited"))
@@ -77,7 +77,7 @@ def site_outcomes(targets: DataFrame, journals: DataFrame, interactions: DataFra
 
 
 def user_outcomes(targets: DataFrame, journals: DataFrame, interactions: DataFrame, visits: DataFrame, days: list[int],
-                  exclude_pairs: DataFrame | None = None) -> DataFrame:
+                  exclude_pairs: DataFrame | None = None, back: int | None = None) -> DataFrame:
     """11 outcomes of each target user (user_id, t0): updates, peer / self / text interactions and
     their sites, visits, and days since the first update."""
     k = ["window_days", "side", "user_id"]
@@ -85,8 +85,8 @@ def user_outcomes(targets: DataFrame, journals: DataFrame, interactions: DataFra
     if exclude_pairs is not None:
         ex = exclude_pairs.select("user_id", "site_id").distinct()
         interactions, visits = (df.join(ex, ["user_id", "site_id"], "left_anti") for df in (interactions, visits))
-    upd = in_windows(targets, journals.select("user_id", "us"), "user_id", days).groupBy(*k).agg(F.count(F.lit(1)).alias("n_updates"))
-    per = (in_windows(targets, interactions.select("user_id", "site_id", "us", "itype"), "user_id", days)
+    upd = in_windows(targets, journals.select("user_id", "us"), "user_id", days, back).groupBy(*k).agg(F.count(F.lit(1)).alias("n_updates"))
+    per = (in_windows(targets, interactions.select("user_id", "site_id", "us", "itype"), "user_id", days, back)
            .groupBy(*k, "site_id").agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col("itype") != "amp").cast("long")).alias("_t"))
            .join(authored, ["user_id", "site_id"], "left"))
     own, s = F.col("_own").isNotNull(), lambda c, v: F.sum(F.when(c, v).otherwise(0)).cast("long")
@@ -94,8 +94,8 @@ def user_outcomes(targets: DataFrame, journals: DataFrame, interactions: DataFra
         s(~own, 1).alias("n_sites_interactedwith"), s(own, 1).alias("n_self_sites"), s(~own & (F.col("_t") > 0), 1).alias("n_sites_text"),
         s(~own, F.col("_n")).alias("n_interactions"), s(own, F.col("_n")).alias("n_self_interactions"), s(~own, F.col("_t")).alias("n_text_interactions"))
     first = visits.groupBy("user_id", "site_id").agg(F.min("us").alias("us"))
-    fv = in_windows(targets, first, "user_id", days).groupBy(*k).agg(F.count(F.lit(1)).alias("n_first_visits"))
-    vis = in_windows(targets, visits.select("user_id", "site_id", "us"), "user_id", days)
+    fv = in_windows(targets, first, "user_id", days, back).groupBy(*k).agg(F.count(F.lit(1)).alias("n_first_visits"))
+    vis = in_windows(targets, visits.select("user_id", "site_id", "us"), "user_id", days, back)
     dv = vis.groupBy(*k).agg(F.countDistinct(time_bucket("us")).alias("n_days_visited"))
     rv = vis.groupBy(*k, "site_id").agg(F.count(F.lit(1)).alias("_n")).groupBy(*k).agg(s(F.col("_n") > 1, 1).alias("n_sites_repeat_visited"))
     t = targets.join(journals.groupBy("user_id").agg(F.min("us").alias("_f")), "user_id", "left")

@@ -31,6 +31,12 @@ def value_bucket(value: Column, resolution: int = 64) -> Column:
     return (F.signum(v) * F.floor(F.log2(F.lit(1.0) + F.abs(v)) * resolution)).cast("long")
 
 
+def bucket_width(df: DataFrame, us: str, rows: int = 65_536) -> int:
+    """Bucket width that gives about ``rows`` rows per bucket if times are spread evenly."""
+    s = df.agg(F.count(us).alias("n"), F.min(us).alias("a"), F.max(us).alias("b")).first()
+    return max(1, -(-(s["b"] - s["a"] + 1) * rows // s["n"])) if s["n"] else 1
+
+
 def _combine(kind: str, carry: Column, inner: Column) -> Column:
     if kind == "sum":
         return F.coalesce(carry, F.lit(0)) + F.coalesce(inner, F.lit(0))
@@ -62,8 +68,7 @@ def prefix_aggregate(df: DataFrame, keys: Sequence[str], bucket: Column, order:
             F.col("_fine").alias("_bucket"), *[f"_c_{name}" for name in aggs])
     inner = W.partitionBy(*keys, "_bucket").orderBy(*order)
     inner = (inner.rowsBetween if frame[0] == "rows" else inner.rangeBetween)(W.unboundedPreceding, frame[1])
-    # one row per (key, bucket): hashing it saves sorting the big side for the join
-    joined = src.join(carry.hint("shuffle_hash"), [*keys, "_bucket"])
+    joined = src.join(carry, [*keys, "_bucket"])
     return joined.select(
         *[F.col(c) for c in df.columns],
         *[_combine(kind, F.col(f"_c_{name}"), _AGG[kind](expr).over(inner)).alias(name)

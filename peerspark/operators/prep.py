@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.draws import draw
 from .prefix import (US_PER_DAY, US_PER_HOUR, first_k_per_key, grouped_quantiles, running_number, state_at, time_bucket)
 
 
@@ -116,13 +117,13 @@ def keep_below_quantile(df: DataFrame, value: str, p: float = 0.9) -> DataFrame:
     return df.join(F.broadcast(q), F.lit(True)).filter(F.col(value) <= F.col("_q")).drop("_q")
 
 
-def jitter(rows: DataFrame, delays: DataFrame, multiplier: int = 7919) -> DataFrame:
-    """Add an empirical delay to each row: delays are numbered and a row picks one by a fixed rule
+def jitter(rows: DataFrame, delays: DataFrame, seed: int = 19) -> DataFrame:
+    """Add an empirical delay to each row: delays are numbered and a row draws one by a seeded hash
     of its id, so any run gives the same times."""
     d = delays.select("event_id", "delay_us")
     numbered = running_number(d, [], F.floor(F.col("event_id") / 1024).cast("long"), ["event_id"], "_i").select("_i", "delay_us")
     n = d.agg(F.count("*").alias("_n"))
-    picked = rows.join(F.broadcast(n), F.lit(True)).withColumn("_i", F.pmod(F.col("event_id") * multiplier, F.col("_n")) + 1)
+    picked = rows.join(F.broadcast(n), F.lit(True)).withColumn("_i", draw(seed, "event_id") % F.col("_n") + 1)
     return picked.join(numbered, "_i").withColumn("jittered_us", F.col("us") + F.col("delay_us")).drop("_i", "_n", "delay_us")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LinearSVC
-from pyspark.ml.feature import IDF, CountVectorizer, NGram
+from pyspark.ml.feature import IDF, HashingTF, NGram
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as TX
@@ -55,20 +55,23 @@ def describe(desc: Column, default: str, first_person: str) -> Column:
     dist = TX.word_distance(F.split(d, " "), base.split())
     starts = d.startswith(base)
     return (F.when(desc.isNull(), "undefined").when(desc == default, "default").when(d == "", "empty").when(d == base, "default_strip")
-            .when(d == strip(first_person), "first_person_strip").when(~d.rlike("[A-Za-z]"), "non_english")
+            .when(d == strip(first_person), "1st_person_default_strip").when(~d.rlike("[A-Za-z]"), "non_english")
             .when((dist <= 1) & starts, "default_add_1word").when(dist <= 1, "default_edited_1word")
             .when((dist <= 5) & starts, "default_add_5word").when(dist <= 5, "default_edited_5word")
             .when(starts, "added_to_default").otherwise("uncategorized"))
 
 
-def fit_role_classifier(labelled: DataFrame, min_df: int = 3, vocab: int = 1 << 16) -> PipelineModel:
-    """Linear hinge classifier on 1- and 2-gram TF-IDF; input has ``body`` and 0/1 ``label``."""
+def fit_role_classifier(labelled: DataFrame, min_df: int = 3, buckets: int = 1 << 16) -> PipelineModel:
+    """Linear hinge classifier on 1- and 2-gram TF-IDF; input has ``body`` and 0/1 ``label``.
+
+    Grams are hashed, so there is no vocabulary to gather or cut; those that share a bucket share a
+    weight. Buckets in fewer than ``min_df`` documents weigh nothing."""
     from pyspark.ml.feature import SQLTransformer
     stages = [SQLTransformer(statement="SELECT *, filter(split(lower(body), '\\\\s+'), w -> w <> '') AS _tok FROM __THIS__"),
               NGram(n=2, inputCol="_tok", outputCol="_bi"),
               SQLTransformer(statement="SELECT *, concat(_tok, _bi) AS _grams FROM __THIS__"),
-              CountVectorizer(minDF=min_df, vocabSize=vocab, inputCol="_grams", outputCol="_tf"),
-              IDF(inputCol="_tf", outputCol="features"), LinearSVC(maxIter=20, regParam=0.01)]
+              HashingTF(numFeatures=buckets, inputCol="_grams", outputCol="_tf"),
+              IDF(inputCol="_tf", outputCol="features", minDocFreq=min_df), LinearSVC(maxIter=100, regParam=0.01)]
     return Pipeline(stages=stages).fit(labelled)
 
 

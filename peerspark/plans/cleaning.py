@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql
 from ..operators import prep as P, reshape as R
 from ..operators.prefix import US_PER_DAY, running_number
 from ..session import cut_lineage, ensure_checkpoint_dir
@@ -246,7 +247,7 @@ def _(spark, d):
 
 
 @query("f16_jitter", f"""WITH {_DEL}, n AS (SELECT delay_us, row_number() OVER (ORDER BY event_id) AS i, count(*) OVER () AS c FROM dq)
-SELECT g.event_id, g.us + n.delay_us AS jittered_us FROM ints g JOIN n ON n.i = g.event_id * 7919 % n.c + 1 WHERE g.itype = 'guestbook'""")
+SELECT g.event_id, g.us + n.delay_us AS jittered_us FROM ints g JOIN n ON n.i = {draw_sql(19, 'g.event_id')} % n.c + 1 WHERE g.itype = 'guestbook'""")
 def _(spark, d):
     rows = X.interactions(spark, d).filter("itype = 'guestbook'").select("event_id", "us")
     return P.jitter(rows, cut_lineage(delays(spark, d))).select("event_id", "jittered_us")

@@ -107,7 +107,7 @@ class Ranking(World):
 
     @cached_property
     def coverage_scores(self):
-        users = C.coverage_users(self.usps, self.activity, X.TEST_START_US, 1_000_000)
+        users = C.coverage_users(self.usps, self.activity, X.TEST_START_US, None)
         ctx = cut_lineage(C.targetless_contexts(users, COV_US))
         cand = cut_lineage(C.expand_usps(C.candidate_users(ctx, self.usps, self.activity, self.edges), self.usps))
         site = self.site_points(cand).select(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql
 from ..operators import clicks as K, outcomes as O
 from ..operators.prefix import US_PER_DAY, grouped_quantiles
 from ..session import cut_lineage
@@ -21,7 +22,8 @@ _ATT = f"""{_CLK}, {_VIS}, att0 AS (SELECT r.*, (SELECT min(us) FROM clk c WHERE
 att AS (SELECT participant_id, batch_id, sent_us, rank, site_id, coalesce(c, v, -1) AS first_click_us, CASE WHEN coalesce(c, v) IS NULL THEN 0 ELSE 1 END AS was_clicked FROM att0)"""
 _COLL = f"""{_ATT}, coll AS (SELECT site_id, min(batch_id) AS batch_id, coalesce(min(CASE WHEN was_clicked = 1 THEN first_click_us END), -1) AS first_click_us, max(was_clicked) AS was_clicked FROM att GROUP BY 1),
 ct AS (SELECT batch_id, first_click_us AS t, row_number() OVER (PARTITION BY batch_id ORDER BY first_click_us) AS i, count(*) OVER (PARTITION BY batch_id) AS n FROM (SELECT DISTINCT batch_id, first_click_us FROM att WHERE was_clicked = 1)),
-imp AS (SELECT c.site_id, c.batch_id, CASE WHEN was_clicked = 1 THEN first_click_us ELSE t END AS first_click_us, was_clicked FROM coll c JOIN ct ON ct.batch_id = c.batch_id AND ct.i = c.site_id * 7919 % ct.n + 1)"""
+imp AS (SELECT c.site_id, c.batch_id, CASE WHEN was_clicked = 1 THEN first_click_us ELSE coalesce(t, -1) END AS first_click_us, was_clicked,
+ CASE WHEN was_clicked = 1 THEN 'clicked' WHEN t IS NULL THEN 'unfilled' ELSE 'filled' END AS status FROM coll c LEFT JOIN ct ON ct.batch_id = c.batch_id AND ct.i = {draw_sql(23, "c.site_id")} % ct.n + 1)"""
 _PROF = """prof AS (SELECT user_id, site_id, min(us) AS created_us, max(us) AS updated_us, CASE WHEN (user_id + site_id) % 9 = 0 THEN 'Organizer' ELSE 'Visitor' END AS role,
  CASE WHEN (user_id * 3 + site_id) % 13 = 0 THEN '1' END AS is_creator, CASE WHEN (user_id + site_id * 5) % 17 = 0 THEN '1' ELSE '0' END AS is_primary, max(k) % 3 AS nset FROM ev GROUP BY 1, 2)"""
 
@@ -277,17 +279,17 @@ def _(spark, d):
     return K.collapse_sites(Study(spark, d).attributed())
 
 
-@query("k20_imputed_click_times", f"WITH {_COLL} SELECT site_id, batch_id, first_click_us, was_clicked FROM imp")
+@query("k20_imputed_click_times", f"WITH {_COLL} SELECT site_id, batch_id, first_click_us, was_clicked, status FROM imp")
 def _(spark, d):
     return Study(spark, d).collapsed()
 
 
-def _k21(days):
+def _k21(days, back=None):
     w = ", ".join(f"({x})" for x in days)
-    inw = lambda us: f"(({us} - t0 BETWEEN -w * {US_PER_DAY} AND 0) AND side = 'pre' OR ({us} - t0 BETWEEN 0 AND w * {US_PER_DAY}) AND side = 'post')"
+    inw = lambda us: f"(({us} - t0 BETWEEN -{back or "w"} * {US_PER_DAY} AND 0) AND side = 'pre' OR ({us} - t0 BETWEEN 0 AND w * {US_PER_DAY}) AND side = 'post')"
     x = lambda c: f"NOT EXISTS (SELECT 1 FROM recs r WHERE r.participant_id = {c}.user_id AND r.site_id = {c}.site_id)"
     cols = ["n_updates", "n_authors", "n_interactions", "n_users_interactedwith", "n_sitewide_interactions", "n_sitewide_sites", "n_sitewide_self", "n_first_visits", "n_days_visited", "n_users_repeat_visited"]
-    return f"""WITH {_COLL}, win(w) AS (VALUES {w}), sd(side) AS (VALUES ('pre'), ('post')), g AS (SELECT site_id, first_click_us AS t0, w, side FROM imp, win, sd),
+    return f"""WITH {_COLL}, win(w) AS (VALUES {w}), sd(side) AS (VALUES ('pre'), ('post')), g AS (SELECT site_id, first_click_us AS t0, w, side FROM imp, win, sd WHERE status <> 'unfilled'),
 u AS (SELECT g.site_id, w, side, count(*) AS n_updates, count(DISTINCT j.user_id) AS n_authors FROM g JOIN journals j USING (site_id) WHERE {inw('j.us')} GROUP BY 1, 2, 3),
 iw AS (SELECT g.site_id, w, side, i.user_id, count(*) AS n FROM g JOIN ints i USING (site_id) WHERE {inw('i.us')} AND {x('i')} GROUP BY 1, 2, 3, 4),
 p AS (SELECT site_id, w, side, CAST(sum(n) AS BIGINT) AS n_interactions, count(*) AS n_users_interactedwith FROM iw WHERE NOT EXISTS (SELECT 1 FROM usp_state a WHERE a.user_id = iw.user_id AND a.site_id = iw.site_id) GROUP BY 1, 2, 3),
@@ -304,17 +306,18 @@ SELECT CAST(w AS BIGINT) AS window_days, al.site_id, imp.was_clicked, round(coal
  {", ".join(f"CAST(max(CASE WHEN side = '{s}' THEN {c} END) AS BIGINT) AS {c}_{s}" for c in cols for s in ("pre", "post"))} FROM al JOIN imp USING (site_id) GROUP BY al.w, al.site_id, imp.was_clicked, al.t0"""
 
 
-def site_outcomes(spark, d, days):
+def site_outcomes(spark, d, days, back=None):
     s = Study(spark, d)
-    targets = cut_lineage(s.collapsed().select("site_id", F.col("first_click_us").alias("t0"), "was_clicked"))
+    targets = cut_lineage(s.collapsed().filter("status <> 'unfilled'").select("site_id", F.col("first_click_us").alias("t0"), "was_clicked"))
     pairs = s.recs.select(F.col("participant_id").alias("user_id"), "site_id")
-    return O.site_outcomes(targets, s.journals, s.ints, s.visits, days, pairs)
+    return O.site_outcomes(targets, s.journals, s.ints, s.visits, days, pairs, back)
 
 
-for _key, _days in (("k21_site_outcomes", [7]), ("k23_site_outcome_sweep", [7, 14, 21, 28])):
-    @query(_key, _k21(_days))
-    def _(spark, d, _days=_days):
-        return site_outcomes(spark, d, _days).drop("t0").withColumn("days_since_first_update", F.round("days_since_first_update", 6))
+BACK, FRONTS = 35, list(range(7, 92, 7))  # days before, and days after in the sweep
+for _key, _days, _back in (("k21_site_outcomes", [7], None), ("k23_site_outcome_sweep", FRONTS, BACK)):
+    @query(_key, _k21(_days, _back))
+    def _(spark, d, _days=_days, _back=_back):
+        return site_outcomes(spark, d, _days, _back).drop("t0").withColumn("days_since_first_update", F.round("days_since_first_update", 6))
 
 
 _UM = {"n_updates": "(SELECT count(*) FROM journals j WHERE j.user_id = g.user_id AND j.us BETWEEN lo AND hi)"}

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as TX
 from ..operators import batches as B, contexts as C, features as FE, models as MO, prep as P, preprocess as M, scoring as SC, text as T
-from ..operators.prefix import US_PER_DAY
+from ..operators.prefix import bucket_width
 from ..session import cut_lineage
 from . import fixtures as X
 from .cleaning import _NV
@@ -110,7 +110,7 @@ _LET = {w: chr(ord("A") + i) for i, w in enumerate(dict.fromkeys(_WORDS))}
 
 @query("t8_description_categories", f"""WITH a AS (SELECT doc_id, {_D('text')} AS x FROM documents), b AS (SELECT *, trim(regexp_replace(replace(x, '&nbsp;', ' '), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) AS s FROM a),
 c AS (SELECT *, levenshtein(array_to_string(list_transform(string_split(s, ' '), lambda w: coalesce(MAP {{{", ".join(f"'{w}': '{c}'" for w, c in _LET.items())}}}[w], '#')), ''), '{"".join(_LET[w] for w in _WORDS)}') AS dist, starts_with(s, '{" ".join(_WORDS)}') AS st FROM b)
-SELECT doc_id, CASE WHEN x IS NULL THEN 'undefined' WHEN x = '{DEFAULT}' THEN 'default' WHEN s = '' THEN 'empty' WHEN s = '{" ".join(_WORDS)}' THEN 'default_strip' WHEN s = '{FIRST.replace(".", "")}' THEN 'first_person_strip'
+SELECT doc_id, CASE WHEN x IS NULL THEN 'undefined' WHEN x = '{DEFAULT}' THEN 'default' WHEN s = '' THEN 'empty' WHEN s = '{" ".join(_WORDS)}' THEN 'default_strip' WHEN s = '{FIRST.replace(".", "")}' THEN '1st_person_default_strip'
  WHEN NOT regexp_matches(s, '[A-Za-z]') THEN 'non_english' WHEN dist <= 1 AND st THEN 'default_add_1word' WHEN dist <= 1 THEN 'default_edited_1word' WHEN dist <= 5 AND st THEN 'default_add_5word' WHEN dist <= 5 THEN 'default_edited_5word'
  WHEN st THEN 'added_to_default' ELSE 'uncategorized' END AS category FROM c""")
 def _(spark, d):
@@ -246,7 +246,7 @@ def _(spark, d):
 
 @query("m6_ordered_split", "WITH r AS (SELECT event_id, row_number() OVER (ORDER BY us, event_id) AS rn, count(*) OVER () AS n FROM ev) SELECT event_id, CASE WHEN rn <= floor(n * 0.99) THEN 1 ELSE 0 END AS is_train FROM r")
 def _(spark, d):
-    return M.ordered_split(X.events(spark, d).select("event_id", "us"), F.floor(F.col("us") / US_PER_DAY).cast("long"), ["us", "event_id"]).select("event_id", "is_train")
+    return M.ordered_split((e := X.events(spark, d).select("event_id", "us")), F.floor(F.col("us") / bucket_width(e, "us")).cast("long"), ["us", "event_id"]).select("event_id", "is_train")
 
 
 @query("m7_id_index", """WITH n AS (SELECT o_custkey, row_number() OVER (ORDER BY md5(CAST(o_custkey AS VARCHAR)), o_custkey) AS i FROM orders GROUP BY 1 HAVING count(*) > 10)
