@@ -30,20 +30,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives no rows; other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("_id"), normalised(F.col(text_col)).alias("_norm"))
-    rows = rows.withColumn("_digest", digest(F.col("_norm")))
+    rows = rows.select("_id", "_norm", digest(F.col("_norm")).alias("_digest"), F.sha2("_norm", 256).alias("_sha"))
     local = (rows.withColumn("_salt", F.spark_partition_id() % salts).groupBy("_digest", "_salt", "_norm")
              .agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_n")))
     groups = local.groupBy("_digest", "_norm").agg(F.min("_keep").alias("keep_id"), F.sum("_n").alias("group_size"))
     verdicts = staged(groups.select("_digest", "keep_id", "group_size"), "exact-groups")
     shared = verdicts.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("_digest")
     if shared.isEmpty():
-        told = rows.join(verdicts, "_digest")
+        told = rows.select("_id", "_digest", "_sha").join(verdicts, "_digest")
     else:
-        told = (rows.join(shared, "_digest", "left_anti").join(verdicts, "_digest").select("_id", "_norm", "keep_id", "group_size")
+        told = (rows.join(shared, "_digest", "left_anti").join(verdicts, "_digest").select("_id", "_sha", "keep_id", "group_size")
                 .unionByName(rows.join(shared, "_digest", "left_semi").join(groups, ["_digest", "_norm"])
-                             .select("_id", "_norm", "keep_id", "group_size")))
+                             .select("_id", "_sha", "keep_id", "group_size")))
     return told.select(F.col("_id").alias(id_col), "keep_id", F.col("group_size").cast("long"),
-                       F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2("_norm", 256).alias("text_sha256"))
+                       F.col("_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("_sha").alias("text_sha256"))
 
 
 def kept_documents(docs: DataFrame, verdicts: DataFrame, id_col: str = "doc_id") -> DataFrame:
