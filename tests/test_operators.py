@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from peerspark.functions.draws import draw
 from peerspark.functions import text as TX
 from peerspark.operators import (batches as B, clicks as K, contexts as C, effects as E, evaluate as EV, graph as G, prep as P, preprocess as M,
                                  reshape as R, scoring as SC, state as S, survival as V, text as T)
@@ -100,10 +101,10 @@ def test_draft_equals_serial_picking(spark, seed):
     people, sites = 14, 9
     prefs = [(p, s, float(rnd.randrange(12))) for p in range(people) for s in range(sites) if rnd.random() < 0.8]
     df = spark.createDataFrame(prefs, "participant_id long, site_id long, score double")
-    got = B.draft(df, capacity=3, picks=2, seed=seed).collect()
+    got = B.draft(df, capacity=3, picks=2, seed=seed, turn_block=1 + 4 * seed).collect()
     order = {}
     for r in (1, 2):
-        h = spark.range(people).select("id", F.xxhash64(F.lit(seed), F.lit(r), F.col("id")).alias("h")).collect()
+        h = spark.range(people).select("id", draw(f"{seed}-{r}", "id").alias("h")).collect()
         order[r] = [x.id for x in sorted(h, key=lambda x: (x.h, x.id))]
     room, mine, want = {s: 3 for s in range(sites)}, {p: set() for p in range(people)}, set()
     for r in (1, 2):
@@ -118,6 +119,15 @@ def test_draft_equals_serial_picking(spark, seed):
     assert {(x.participant_id, x["round"], x.site_id, round(x.incurred_loss, 9)) for x in got} == want
 
 
+def test_draft_of_equal_preferences_ends_after_its_blocks(spark):
+    """20 000 participants who all rank the sites alike: the first take the best site, and so on."""
+    n, sites, room = 20_000, 25, 900
+    df = spark.range(n).select(F.col("id").alias("participant_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sites - 1).cast("long"))).alias("site_id"))
+    limits = spark.createDataFrame([(s, room) for s in range(sites - 1)] + [(3, None)], "site_id long, capacity int").filter("site_id <> 3 or capacity is null")
+    got = B.draft(df.withColumn("score", -F.col("site_id").cast("double")), capacity=limits, picks=1, turn_block=8000).groupBy("site_id").count().collect()
+    assert {r["site_id"]: r["count"] for r in got} == {0: room, 1: room, 2: room, 3: n - 3 * room}
+
+
 def test_right_closed_bins_and_unknown_ids(spark):
     df = spark.createDataFrame([(1.0,), (1.5,), (24.0,), (30.0,)], "x double")
     out = [tuple(r) for r in M.one_hot(df, "x", [1, 24]).collect()]
