@@ -13,7 +13,7 @@ from .wordhash import SPACE, U64, Words, mix, spans_hash, word_slices
 
 BITS = 17  # features are hashed to 2**17 weights
 WORD_GRAMS, CHAR_GRAMS = (1, 2), (3, 5)
-SAMPLE = 4096  # labelled rows of each class that the fit uses at most
+SAMPLE = 1000  # labelled rows of each class that the fit uses at most
 LEAST_PROBABILITY = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WIDTH = 10, 20, 5
 _LINE = 0xDA942042E4DD58B5
@@ -96,8 +96,8 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * total + self.shift, -50, 50)))
 
 
-def _descend(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, weight: np.ndarray, tolerance: float = 1e-4,
-             ridge: float = 1e-6, most: int = 400) -> np.ndarray:
+def _descend(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, weight: np.ndarray, tolerance: float = 1e-3,
+             ridge: float = 1e-5, most: int = 200) -> np.ndarray:
     """Logistic regression by accelerated gradient steps until the loss settles."""
     size, n = 1 << BITS, len(y)
     w, ahead, pace, before = np.zeros(size), np.zeros(size), 1.0, np.inf
