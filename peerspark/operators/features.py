@@ -21,7 +21,8 @@ def _hours(us: Column) -> Column:
 
 def user_features(points: DataFrame, activity: DataFrame, journals: DataFrame, edge: DataFrame,
                   with_components: bool = True) -> DataFrame:
-    """Network, recent-activity and tenure columns for each distinct (user_id, us)."""
+    """Network, recent-activity and tenure columns for each distinct (user_id, us); component_size is left
+    out without ``with_components``."""
     pts = cut_lineage(points.select("user_id", "us").distinct())
     rolled = rolling_activity(pts, activity, ["user_id"])
     deg = graph.degrees_at(pts, edge)
@@ -29,10 +30,8 @@ def user_features(points: DataFrame, activity: DataFrame, journals: DataFrame, e
     if with_components:
         comp = graph.components_at_times(edge, pts.withColumnRenamed("user_id", "node"))
         out = out.join(comp.withColumnRenamed("node", "user_id"), ["user_id", "us"])
-    else:
-        out = out.withColumn("component_size", F.lit(1).cast("long"))
     return out.select(
-        "user_id", "us", "indegree", "outdegree", "component_size",
+        "user_id", "us", "indegree", "outdegree", *["component_size"] * with_components,
         *[c for a in ACTIVITY_TYPES for c in (F.col(f"n_{a}"), _hours(F.col(f"last_{a}_us")).alias(f"hours_{a}"))],
         _hours(F.col("first_update_us")).alias("hours_first_update"), "first_update_us")
 

@@ -6,7 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
-from ..operators import contexts as C, evaluate as E, features as FE, scoring as SC, state as S
+from ..operators import contexts as C, evaluate as E, features as FE, graph as G, scoring as SC, state as S
 from ..operators.prefix import US_PER_DAY, grouped_quantiles
 from ..session import cut_lineage
 from . import fixtures as X
@@ -74,6 +74,12 @@ class Ranking(World):
     def users(self):
         return cut_lineage(FE.user_features(self.user_points(self.candidates), self.activity, self.journals, self.edges, False))
 
+    @cached_property
+    def full_users(self):
+        """The same with component sizes, which only some models use."""
+        comp = G.components_at_times(self.edges, self.users.select(F.col("user_id").alias("node"), "us"))
+        return cut_lineage(self.users.join(comp.select(F.col("node").alias("user_id"), "us", "component_size"), ["user_id", "us"]))
+
     @cached_property
     def pair_flags(self):
         return cut_lineage(FE.pair_features(self.pairs, self.edges))
@@ -171,16 +177,15 @@ def _(spark, d):
     return SC.reduce_to_sites(w.candidates.join(flags, ["metadata_id", "cand_user"]), ["NaiveNetwork"]).withColumnRenamed("NaiveNetwork", "score")
 
 
-_V8 = [c for c in _UF if c != "component_size"]
 
 
 @query("s8_cosine_similarity", f"""
-WITH {_FEAT}, v AS (SELECT user_id, us, list_transform([{", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE)" for c in _V8[:-1])}, CAST(CAST((us - first_update_us) / 3.6e9 AS FLOAT) AS DOUBLE)], lambda x: x) AS vec FROM feat)
+WITH {_FEAT}, {_REACH}, v AS (SELECT user_id, us, list_transform([{", ".join(f"CAST(CAST({c} AS FLOAT) AS DOUBLE)" for c in _UF[:-1])}, CAST(CAST((us - first_update_us) / 3.6e9 AS FLOAT) AS DOUBLE)], lambda x: x) AS vec FROM feat JOIN comp USING (user_id, us))
 SELECT c.metadata_id, c.cand_site AS site_id, max(round(list_dot_product(s.vec, f.vec) / (sqrt(list_dot_product(s.vec, s.vec)) * sqrt(list_dot_product(f.vec, f.vec))), 6)) AS score
 FROM cand c JOIN v s ON s.user_id = c.source AND s.us = c.us JOIN v f ON f.user_id = c.cand_user AND f.us = c.us GROUP BY 1, 2""")
 def _(spark, d):
     w = Ranking.of(spark, d)
-    scored = SC.cosine_scores(w.candidates, w.users, _V8).withColumn("score", F.round("score", 6))
+    scored = SC.cosine_scores(w.candidates, w.full_users, _UF).withColumn("score", F.round("score", 6))
     return scored.groupBy("metadata_id", F.col("cand_site").alias("site_id")).agg(F.max("score").alias("score"))
 
 

@@ -80,7 +80,7 @@ def _(spark, d):
 
 def pair_rows(w):
     """Candidate rows times source pairs with the three vectors a model needs."""
-    u = w.users.select("user_id", "us", FE.vector(FE.USER_FEATURES).alias("v"))
+    u = w.full_users.select("user_id", "us", FE.vector(FE.USER_FEATURES).alias("v"))
     p = w.pair_flags.select("metadata_id", "cand_user", FE.vector(FE.PAIR_FEATURES).alias("pair_vec"))
     return (w.candidates.join(u.select(F.col("user_id").alias("source"), "us", F.col("v").alias("source_vec")), ["source", "us"])
             .join(u.select(F.col("user_id").alias("cand_user"), "us", F.col("v").alias("cand_vec")), ["cand_user", "us"])
@@ -95,7 +95,7 @@ def _(spark, d):
     pts = pairs.select(F.col("cand_user").alias("user_id"), F.col("cand_site").alias("site_id"), "us").unionByName(
         pairs.select(F.col("source").alias("user_id"), F.col("source_site").alias("site_id"), "us")).distinct()
     texts = cut_lineage(T.pool_recent(pts, w.journals, journal_embeddings(spark, d), "mean", strict=False))
-    rows = FE.model_rows(pairs, w.users, w.pair_flags, texts)
+    rows = FE.model_rows(pairs, w.full_users, w.pair_flags, texts)
     return rows.select("metadata_id", "source_site", "cand_user", "cand_site", "is_target", F.size("features").alias("n_features"),
                        F.round(F.aggregate("features", F.lit(0.0), lambda a, x: a + x), 3).alias("checksum"))
 
@@ -198,7 +198,7 @@ _MF = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 def named_features(spark, d):
     """Candidate and source user features under their model names."""
     w = Ranking.of(spark, d)
-    side = lambda t: w.users.select("user_id", "us", *[F.col(c).alias(f"{t}_{c}") for c in FE.USER_FEATURES])
+    side = lambda t: w.full_users.select("user_id", "us", *[F.col(c).alias(f"{t}_{c}") for c in FE.USER_FEATURES])
     return (w.candidates.select("metadata_id", "source", "cand_user", "us").distinct()
             .join(side("source").withColumnRenamed("user_id", "source"), ["source", "us"])
             .join(side("candidate").withColumnRenamed("user_id", "cand_user"), ["cand_user", "us"])

@@ -211,7 +211,7 @@ def test_effects_equal_numpy_and_recover_the_truth(spark):
     assert e.ols == pytest.approx(np.linalg.lstsq(X, y, rcond=None)[0][1], abs=1e-8)
     assert e.raw == pytest.approx(y[a == 1].mean() - y[a == 0].mean(), abs=1e-9)
     assert abs(e.raw - 2) > 0.5 and abs(e.ols - 2) < 0.1 and abs(e.ipw - 2) < 0.2 and abs(e.dr - 2) < 0.15 and e.status == "ok"
-    b = E.bootstrap_effects(df, ["g"], "id", "y", "a", ["x"], replicates=20).first()
+    b = E.bootstrap_effects(df, ["g"], ["id"], "y", "a", ["x"], replicates=20).first()
     assert b.n_bootstraps == 20 and b.ols_lower < e.ols < b.ols_upper
 
 
@@ -223,7 +223,25 @@ def test_poisson_fit_and_separated_data(spark):
     fit = {r.term: r for r in E.poisson_rates(df, ["g"], "y", ["x"]).collect()}
     assert fit["x"].coef == pytest.approx(0.5, abs=0.05) and 0 < fit["x"].se < 0.05
     sep = spark.createDataFrame([("g", float(i), int(i >= 5), float(i)) for i in range(10)], "g string, x double, a int, y double")
-    assert E.effect_estimates(sep, ["g"], "y", "a", ["x"], steps=40).first().status in ("failed", "ok")
+    assert E.effect_estimates(sep, ["g"], "y", "a", ["x"], steps=5).first().status == "not_converged"
+    assert E.fit_glm(df, ["g"], "y", ["x"], "poisson", steps=1).first()["_fit"] == "not_converged"
+
+
+def test_skewed_poisson_fit_runs_until_it_converges(spark):
+    rng = np.random.default_rng(5)
+    x = np.append(rng.normal(size=200), [40.0, 60.0])
+    y = np.append(rng.poisson(0.3, size=200), [400, 90_000])
+    fit = E.fit_glm(spark.createDataFrame([("g", float(p), int(q)) for p, q in zip(x, y)], "g string, x double, y int"), ["g"], "y", ["x"], "poisson").first()
+    design = np.column_stack([np.ones(len(x)), x])
+    score = design.T @ (y - np.exp(design @ np.array(fit["_beta"])))
+    assert fit["_fit"] == "ok" and np.abs(score).max() < 1e-3 * y.sum()
+
+
+def test_sites_of_batches_without_clicks_stay(spark):
+    att = spark.createDataFrame([(1, 1, 10, 0, 5, 100, 1), (1, 1, 11, 0, 5, -1, 0), (2, 2, 12, 0, 5, -1, 0), (3, 2, 13, 0, 5, -1, 0), (3, 3, 13, 0, 5, 300, 1)],
+                                "participant_id long, batch_id long, site_id long, rank long, sent_us long, first_click_us long, was_clicked int")
+    got = {r["site_id"]: (r["batch_id"], r["first_click_us"], r["status"]) for r in K.impute_click_times(K.collapse_sites(att), att).collect()}
+    assert got == {10: (1, 100, "clicked"), 11: (1, 100, "filled"), 12: (2, -1, "unfilled"), 13: (2, 300, "clicked")}
 
 
 def test_poisson_weights_have_mean_and_variance_one(spark):
