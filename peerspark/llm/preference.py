@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.prefix import prefix_aggregate
+from .staging import staged
 
 LAST = (1 << 63) - 1
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
@@ -39,6 +40,7 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame, pair_col: str =
 
     turns = (side(chosen, 1, 0).unionByName(side(rejected, 0, 1)).groupBy("pair_id", "turn", "role", "text")
              .agg(F.sum("in_chosen").alias("c"), F.sum("in_rejected").alias("r")))
+    turns = staged(turns, "turns")
     cut = turns.groupBy("pair_id").agg(F.min(F.when(F.col("c") != F.col("r"), F.col("turn"))).alias("cut"))
     common = F.col("cut").isNull() | (F.col("turn") < F.col("cut"))
     part = lambda name, n: F.struct(F.lit(name).alias("part"), n.alias("n"))
@@ -49,6 +51,7 @@ def preference_segments(chosen: DataFrame, rejected: DataFrame, pair_col: str =
               .filter("p.n > 0").select("pair_id", "turn", "role", "text", "p.part", F.explode(F.sequence(F.lit(1).cast("long"), F.col("p.n"))).alias("copy")))
     shown = placed.select("pair_id", "part", "turn", "copy", "role", "text",
                           F.concat(header(F.col("role")), F.col("text"), F.lit(CLOSE)).alias("rendered"))
+    shown = staged(shown, "shown-turns")
     run = prefix_aggregate(shown, ["pair_id", "part"], F.floor(F.col("turn") / 256).cast("long"), ["turn", "role", "text", "copy"],
                            {"before": ("sum", F.length("rendered").cast("long"))})
     prompts = shown.filter("part = 'prompt'").groupBy("pair_id").agg(F.sum(F.length("rendered").cast("long")).alias("prompt_length"))
