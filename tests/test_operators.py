@@ -223,7 +223,7 @@ def test_poisson_fit_and_separated_data(spark):
     fit = {r.term: r for r in E.poisson_rates(df, ["g"], "y", ["x"]).collect()}
     assert fit["x"].coef == pytest.approx(0.5, abs=0.05) and 0 < fit["x"].se < 0.05
     sep = spark.createDataFrame([("g", float(i), int(i >= 5), float(i)) for i in range(10)], "g string, x double, a int, y double")
-    assert E.effect_estimates(sep, ["g"], "y", "a", ["x"], steps=5).first().status == "not_converged"
+    assert E.effect_estimates(sep, ["g"], "y", "a", ["x"]).first().status == "failed"
     assert E.fit_glm(df, ["g"], "y", ["x"], "poisson", steps=1).first()["_fit"] == "not_converged"
 
 
