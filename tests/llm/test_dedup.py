@@ -7,7 +7,7 @@ from collections import Counter
 
 import brute
 import pytest
-from conftest import odd_rows, prose
+from samples import odd_rows, prose
 from pyspark.sql import functions as F
 
 from peerspark.llm import minhash

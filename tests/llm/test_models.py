@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
-from conftest import odd_rows, prose
+from samples import odd_rows, prose
 from pyspark.sql import functions as F
 
 from peerspark.llm import langid, quality

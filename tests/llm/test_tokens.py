@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import odd_rows
+from samples import odd_rows
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
