@@ -4,6 +4,7 @@ concatenating vocabulary strings."""
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 
@@ -31,6 +32,18 @@ def byte_names() -> dict[str, int]:
     return names
 
 
+class _Recent(dict):
+    """Ids of words; a word not seen lately is encoded when it is asked for."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: bytes) -> bytes | None:
+        have = self[word] = self.find(word)
+        return have
+
+
 class Bpe:
     """Encoder and decoder of one vocabulary file. The ids of recent words are kept, a bounded number."""
 
@@ -45,6 +58,7 @@ class Bpe:
         for token, i in special.items():
             self.strings[i] = token.encode()
         self.special = special
+        self.in_angles = all("<" in t for t in special)
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         self.of_byte = [0] * 256
         for c, b in names.items():
@@ -55,8 +69,7 @@ class Bpe:
         self.pieces = regex.compile(PATTERN)
         self.keep = keep
         self.recent: dict[bytes, list[int]] = {}
-        self.young: dict[bytes, bytes | None] = {}
-        self.old: dict[bytes, bytes | None] = {}
+        self.young, self.old = _Recent(self._known), _Recent(self._known)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one piece. Merges are taken by (rank, place); an entry whose pair has changed since it was
@@ -98,7 +111,7 @@ class Bpe:
         return [s for s in symbol if s >= 0]
 
     def may_be_special(self, text: str) -> bool:
-        return any(t in text for t in self.special)
+        return "<" in text and any(t in text for t in self.special) if self.in_angles else any(t in text for t in self.special)
 
     def _ids(self, text: str) -> bytes:
         ids: list[int] = []
@@ -108,7 +121,7 @@ class Bpe:
             else:
                 for piece in self.pieces.findall(part):
                     ids += self._piece(piece.encode())
-        return np.array(ids, "<i4").tobytes()
+        return array("i", ids).tobytes()
 
     def _piece(self, piece: bytes) -> list[int]:
         if len(piece) > 64:
@@ -122,28 +135,26 @@ class Bpe:
 
     def _word(self, word: bytes) -> bytes | None:
         """Ids of a space and the word. None if white space at an end would let a piece cross it."""
+        if not word:
+            return None
         text = word.decode()
-        if not text or _BLANK.match(text[0]) or _BLANK.match(text[-1]):
+        if max(word) < 0xC9 and text.isalpha():  # Latin letters alone are one piece
+            return array("i", self._piece(b" " + word)).tobytes()
+        if not (32 < word[0] < 127 and 32 < word[-1] < 127) and (_BLANK.match(text[0]) or _BLANK.match(text[-1])):
             return None
         return self._ids(" " + text)
 
     def _known(self, word: bytes) -> bytes | None:
-        have = self.old[word] if word in self.old else self._word(word)
-        self.young[word] = have
-        return have
+        return self.old[word] if word in self.old else self._word(word)
 
     def encode(self, texts: Iterable[bytes]) -> list[bytes]:
         """Ids of whole texts as little-endian 32-bit bytes."""
         out = []
         for text in texts:
             if len(self.young) > self.keep:
-                self.old, self.young = self.young, {}
+                self.old, self.young = self.young, _Recent(self._known)
             words = text.split(b" ")
-            young = self.young
-            try:
-                coded = [young[w] for w in words[1:]]
-            except KeyError:
-                coded = [young[w] if w in young else self._known(w) for w in words[1:]]
+            coded = [*map(self.young.__getitem__, words[1:])]
             head = words[0].decode()
             if None in coded or not head or _BLANK.match(head[-1]):
                 # double or foreign white space: cut only at spaces between two other characters
