@@ -134,7 +134,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"]
-    parts = dealt_width(spark, size, 8 << 20)
+    parts = dealt_width(spark, size, 4 << 20)
     keep = [id_col, *[c for c in carry if c not in (id_col, text_col)]]
     dealt = docs.select(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]).alias("own"), F.coalesce(text_col, F.lit("")).alias("text"),
                         F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(parts)).cast("int").alias("part"))

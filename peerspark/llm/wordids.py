@@ -11,7 +11,7 @@ from array import array
 from collections.abc import Iterable
 
 _TAIL = b".,;:!?$%&*#"
-_KEEP = 400_000
+_KEEP = 120_000
 
 
 class WordIds:
