@@ -227,6 +227,22 @@ def test_poisson_fit_and_separated_data(spark):
     assert E.fit_glm(df, ["g"], "y", ["x"], "poisson", steps=1).first()["_fit"] == "not_converged"
 
 
+def test_rare_arm_is_fitted_and_only_separated_data_fails(spark):
+    rare = spark.range(100000).select(F.lit("g").alias("g"), (F.col("id") % 7).cast("double").alias("x"), (F.col("id") % 25000 == 3).cast("int").alias("a"),
+                                      (F.col("id") % 11).cast("double").alias("y"))
+    e = E.effect_estimates(rare, ["g"], "y", "a", ["x"]).first()
+    assert e.status == "ok" and e.ipw is not None and e.dr is not None
+    fit = E.fit_glm(rare, ["g"], "a", ["x"], "logit").first()
+    x, a = (np.array(c) for c in zip(*[(r.x, r.a) for r in rare.select("x", "a").collect()]))
+    design = np.column_stack([np.ones(len(x)), x])
+    assert fit["_fit"] == "ok" and np.abs(design.T @ (a - 1 / (1 + np.exp(-design @ np.array(fit["_beta"]))))).max() < 1e-6
+    # folds without a fit stay as rows
+    sep = spark.createDataFrame([(i, float(i), int(i >= 30)) for i in range(60)], "id long, x double, a int")
+    folds = E.kfold_auc(sep, ["id"], "a", ["x"]).collect()
+    assert {r.fold for r in folds} == set(range(5)) and sum(r.n for r in folds) == 60
+    assert all(r.auc is None and r.status == "failed" for r in folds)
+
+
 def test_skewed_poisson_fit_runs_until_it_converges(spark):
     rng = np.random.default_rng(5)
     x = np.append(rng.normal(size=200), [40.0, 60.0])
