@@ -215,6 +215,44 @@ def test_effects_equal_numpy_and_recover_the_truth(spark):
     assert b.n_bootstraps == 20 and b.ols_lower < e.ols < b.ols_upper
 
 
+def test_replicates_equal_estimates_of_weighted_rows(spark):
+    """Each replicate is what the estimator gives on rows with that replicate's weights, in one batch or several."""
+    rng = np.random.default_rng(9)
+    rows = [(g, i, *(float(v) for v in rng.normal(size=2)), int(rng.random() < (0.4, 0.06)[g]), float(rng.normal())) for g in range(2) for i in range(60)]
+    df = spark.createDataFrame(rows, "g int, id long, x double, z double, a int, y double")
+    keys = {(0,): 0, (1,): 1}
+    base = df.select("g", F.col("g").alias("_group"), draw(5, "id", "g").alias("_seed"), F.col("a").cast("double").alias("_a"), F.col("y").alias("_y"),
+                     F.col("x").alias("_x0"), F.col("z").alias("_x1")).repartition(3).cache()
+    got = {(r.g, r.replicate): r for first, last in ((1, 2), (3, 6)) for r in E._replicate_effects(base, ["g"], ["x", "z"], keys, first, last).collect()}
+    seeds = {(r.g, r.id): r.s for r in df.select("g", "id", draw(5, "id", "g").alias("s")).collect()}
+    w = E.replicate_weights(np.array([seeds[r[:2]] for r in rows]), 1, 6)
+    weighted = spark.createDataFrame([(*r, k + 1, float(w[i, k])) for i, r in enumerate(rows) for k in range(6) if w[i, k]],
+                                     "g int, id long, x double, z double, a int, y double, replicate int, w double")
+    want = E.effect_estimates(weighted, ["g", "replicate"], "y", "a", ["x", "z"], "w").collect()
+    assert len(want) == len(got) == 12
+    for e in want:
+        r = got[e.g, e.replicate]
+        assert r.status == e.status
+        for m in ("raw", "ols", "ipw", "dr"):
+            if e.status == "ok":
+                assert r[m] == pytest.approx(e[m], rel=1e-6, abs=1e-9)
+    big = E.replicate_weights(np.arange(500, dtype=np.int64) * 7919, 1, 1000)
+    assert abs(big.mean() - 1) < 0.01 and abs(big.var() - 1) < 0.01 and abs(np.corrcoef(big[:, :40].T)[np.triu_indices(40, 1)]).max() < 0.25
+
+
+def test_effect_table_has_every_outcome_covariate_and_replicate(spark, monkeypatch):
+    from peerspark.plans import causal
+    asked = {}
+    monkeypatch.setattr(causal, "outcome_rows", lambda spark, d, fronts: fronts)
+    monkeypatch.setattr(causal, "long_rows", lambda wide, outcomes: (wide, outcomes))
+    monkeypatch.setattr(causal.E, "bootstrap_effects", lambda rows, groups, row_id, y, arm, covariates, replicates: asked.update({len(asked): (rows, covariates, replicates)}))
+    for name in ("q11_bootstrap_intervals", "q12_effect_table"):
+        causal.query.__globals__["QUERIES"][name](spark, "")
+    for (fronts, outcomes), covariates, replicates in asked.values():
+        assert outcomes == causal.OUTCOMES and covariates == causal.COVARIATES and replicates == 1000
+    assert asked[0][0][0] == [7] and asked[1][0][0] == [7, 14, 21, 28, 35]
+
+
 def test_poisson_fit_and_separated_data(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=3000)
