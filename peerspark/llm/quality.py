@@ -96,26 +96,58 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.scale * total + self.shift, -50, 50)))
 
 
-def _descend(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, weight: np.ndarray, tolerance: float = 1e-3,
-             ridge: float = 1e-5, most: int = 200) -> np.ndarray:
-    """Logistic regression by accelerated gradient steps until the loss settles."""
-    size, n = 1 << BITS, len(y)
-    w, ahead, pace, before = np.zeros(size), np.zeros(size), 1.0, np.inf
-    norm = np.bincount(row, val * val, n).max()
-    step = 4.0 / max(norm, 1e-12)
+def _inner_products(row: np.ndarray, col: np.ndarray, val: np.ndarray, n: int, width: int = 4096) -> np.ndarray:
+    """Inner products of all pairs of rows, over blocks of features."""
+    used, col = np.unique(col, return_inverse=True)
+    order = np.argsort(col, kind="stable")
+    row, col, val = row[order], col[order], val[order]
+    out = np.zeros((n, n))
+    for first in range(0, len(used), width):
+        a, b = np.searchsorted(col, [first, first + width])
+        block = np.bincount(row[a:b] * width + col[a:b] - first, val[a:b], n * width).reshape(n, width)
+        out += block @ block.T
+    return out
+
+
+def _settle(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray, weight: np.ndarray, tolerance: float = 1e-4,
+            ridge: float = 1e-6, most: int = 200) -> np.ndarray:
+    """Logistic regression by Newton steps until the loss settles; fails if ``most`` steps do not settle it.
+
+    The best weights are a sum of the rows that have a weight, so the steps are taken over one number a row and
+    no row's length limits them. A step that raises the loss is halved.
+    """
+    learn = np.flatnonzero(weight > 0)
+    place = np.full(len(y), -1)
+    place[learn] = np.arange(len(learn))
+    own = place[row] >= 0
+    row, col, val = place[row[own]], col[own], val[own]
+    y, weight = y[learn], weight[learn]
+    n, size = len(y), 1 << BITS
+    gram = _inner_products(row, col, val, n)
+
+    def loss(part: np.ndarray, z: np.ndarray) -> float:
+        return float((weight * np.logaddexp(0, -np.where(y > 0, z, -z))).sum()) + ridge * float(part @ z)
+
+    part, z = np.zeros(n), np.zeros(n)  # z = gram @ part
+    before = loss(part, z)
     for _ in range(most):
-        z = np.bincount(row, ahead[col] * val, n)
         p = 1 / (1 + np.exp(-np.clip(z, -50, 50)))
-        loss = float((weight * np.logaddexp(0, -np.where(y > 0, z, -z))).sum()) + ridge * float(ahead @ ahead)
-        if loss > before:
-            pace = 1.0
-        elif before - loss < tolerance * before:
+        curve = np.sqrt(np.maximum(weight * p * (1 - p), 1e-300))
+        # Newton's equations for part, made symmetric by the root of the curvature
+        target = curve * z - weight * (p - y) / curve
+        new = curve * np.linalg.solve(curve[:, None] * gram * curve + 2 * ridge * np.eye(n), target)
+        step, ahead = new - part, gram @ new - z
+        pace, after = 1.0, loss(new, z + ahead)
+        while not after <= before and pace > 1e-10:
+            pace /= 2
+            after = loss(part + pace * step, z + pace * ahead)
+        if not after <= before:
             break
-        before = loss
-        new = ahead - step * (np.bincount(col, (weight * (p - y))[row] * val, size) + 2 * ridge * ahead)
-        faster = (1 + np.sqrt(1 + 4 * pace * pace)) / 2
-        ahead, w, pace = new + (pace - 1) / faster * (new - w), new, faster
-    return w
+        done = pace == 1.0 and before - after <= tolerance * before
+        part, z, before = part + pace * step, z + pace * ahead, after
+        if done:
+            return np.bincount(col, part[row] * val, size)
+    raise RuntimeError(f"the fit of the quality classifier did not settle: loss {before:.6g}, {most} steps at most")
 
 
 def _calibrate(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
@@ -181,7 +213,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             test[:] = True
         learn = ~test if not test.all() else test
         share = np.where(y > 0, 0.5 / max((y[learn] > 0).sum(), 1), 0.5 / max((y[learn] == 0).sum(), 1)) * learn
-        w = _descend(row, col, val.astype(float), y, share)
+        w = _settle(row, col, val.astype(float), y, share)
         z = np.bincount(row, w[col] * val, len(y))
         true = np.where(y > 0, many[1] / max((y > 0).sum(), 1), many[0] / max((y == 0).sum(), 1))
         true = true * len(y) / (many[0] + many[1])

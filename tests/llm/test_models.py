@@ -124,6 +124,29 @@ def test_quality_verdicts_and_calibration(spark):
     assert abs(quality.judge(docs, model).agg(F.avg("probability")).first()[0] - share) < 0.2
 
 
+def test_fit_settles_whatever_the_length_of_rows():
+    """One very short text among long ones: its row is many times longer, and the fit still ends at the least loss."""
+    rng = np.random.default_rng(4)
+    n, each = 300, 200
+    y = (np.arange(n) % 2).astype(float)
+    row = np.append(np.repeat(np.arange(n), each), [n, n])
+    col = np.append(rng.integers(0, 3000, n * each) + 1500 * np.repeat(y, each).astype(int), [5, 9])
+    val = np.append(np.full(n * each, 0.01), [1.0, 1.0])
+    y, weight = np.append(y, 1.0), np.append(np.full(n, 1 / n), 1 / n)
+    w = quality._settle(row, col, val, y, weight, tolerance=1e-10)
+
+    def at(w):
+        z = np.bincount(row, w[col] * val, n + 1)
+        p = 1 / (1 + np.exp(-z))
+        slope = np.bincount(col, (weight * (p - y))[row] * val, len(w)) + 2e-6 * w
+        return (weight * np.logaddexp(0, -np.where(y > 0, z, -z))).sum() + 1e-6 * (w @ w), slope
+    best, slope = at(w)
+    assert np.abs(slope).max() < 1e-6
+    assert at(quality._settle(row, col, val, y, weight))[0] < best * 1.001
+    with pytest.raises(RuntimeError, match="did not settle"):
+        quality._settle(row, col, val, y, weight, most=1)
+
+
 def test_quality_of_odd_rows(odd, none, spark):
     _, labels = labelled(spark)
     assert quality.fit(odd, labels.filter("quality = 1")) is None and quality.fit(odd, none.withColumn("quality", F.lit(1))) is None
