@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .bpe import bpe_decode, bpe_encode
 from .exact import exact_dedup
 from .langid import held_out, identify, learn
+from .lexical import LOWER, TERM, UPPER, ranked_search
 from .minhash import near_duplicates
 from .packing import best_fit_packing
 from .preference import preference_segments, swapped_replies
@@ -132,3 +133,21 @@ FROM spans
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against the same one with its neighbour's last reply."""
     return preference_segments(*swapped_replies(table(spark, sf_dir, "conversations")))
+
+
+@query("op13_ranked_search", rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}') AS terms FROM documents),
+docs AS (SELECT row_number() OVER () AS row, doc_id, terms, len(terms) AS n FROM d WHERE len(terms) > 0),
+whole AS (SELECT count(*) AS n_all, CAST(sum(n) AS BIGINT) AS l_all FROM docs),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{TERM}')) AS term FROM benchmark),
+tfs AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(terms) AS term FROM docs) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, whole GROUP BY term, n_all),
+lengths AS (SELECT row, doc_id, 10 + (90 * n * n_all) // l_all AS m FROM docs, whole),
+scores AS (SELECT item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+           FROM items JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (row) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scores WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -96,8 +96,9 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0]:bounds[-1]], bounds - bounds[0]
 
 
-def word_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[Words]:
-    """The column in slices of whole rows with about ``limit`` bytes; a longer text is a slice of its own."""
+def word_slices(column: pa.Array, limit: int = 1 << 20, between: np.ndarray = SPACE) -> Iterator[Words]:
+    """The column in slices of whole rows with about ``limit`` bytes; a longer text is a slice of its own.
+    ``between`` tells the bytes that are in no word."""
     raw, bounds = column_bytes(column)
     row, rows = 0, len(bounds) - 1
     while row < rows:
@@ -106,7 +107,7 @@ def word_slices(column: pa.Array, limit: int = 1 << 20) -> Iterator[Words]:
         own = bounds[row:last + 1] - bounds[row]
         space = np.empty(len(data) + 2, bool)
         space[0] = space[-1] = True
-        space[1:-1] = SPACE[data]
+        space[1:-1] = between[data]
         begins = ~space[1:-1] & space[:-2]
         stops = ~space[1:-1] & space[2:]
         edges = own[1:-1]
