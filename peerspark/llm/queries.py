@@ -9,12 +9,14 @@ from .exact import exact_dedup
 from .langid import held_out, identify, learn
 from .lexical import LOWER, TERM, UPPER, ranked_search
 from .minhash import near_duplicates
+from .multiindex import nearest_neighbours
 from .packing import best_fit_packing
 from .preference import preference_segments, swapped_replies
 from .quality import fit, judge
 from .recompression import remove_repeats
 from .registry import query, table, vocabulary
 from .tokencount import token_counts
+from .trie import conversation_trie
 from .warc import archived_pages
 
 
@@ -151,3 +153,48 @@ SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op12_prefix_trie", r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(sha256(length(role) || ':' || role || text) ORDER BY place) AS marks,
+               list(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) ORDER BY place) AS words FROM t GROUP BY conv_id),
+bits AS (SELECT conv_id, flatten([[ord(c), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(conv_id AS VARCHAR), '')]) AS steps FROM own),
+heads AS (SELECT conv_id, xor(list_reduce(list_prepend(4294967295, [CAST(v AS BIGINT) FOR v IN steps]),
+                                          lambda x, v: xor(xor(x, v) >> 1, 3988292384 * (xor(x, v) & 1))), 4294967295) % 4 AS h FROM bits),
+rebuilt AS (
+  SELECT o.conv_id, list_concat(list_slice(coalesce(b.marks, []), 1, h), list_slice(o.marks, h + 1, len(o.marks))) AS marks,
+         list_concat(list_slice(coalesce(b.words, []), 1, h), list_slice(o.words, h + 1, len(o.words))) AS words
+  FROM own o JOIN heads USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 20),
+members AS (SELECT conv_id, d, list_slice(marks, 1, d) AS path, CASE WHEN d > 0 THEN words[d] ELSE 0 END AS last_words, len(marks) = d AS ends
+            FROM (SELECT *, unnest(range(0, len(marks) + 1)) AS d FROM rebuilt)),
+nodes AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(last_words) AS saved,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+          FROM members GROUP BY path, d),
+children AS (SELECT list_slice(path, 1, d - 1) AS path, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY 1),
+whole AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (path)),
+below AS (SELECT list_slice(path, 1, up) AS path, sum(saved) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+          FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM whole) GROUP BY 1)
+SELECT w.conv_id, w.d AS depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, w.ends_sha256
+FROM whole w JOIN below USING (path) LEFT JOIN nodes p ON w.d > 0 AND p.path = list_slice(w.path, 1, w.d - 1)
+""")
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every shared and own prefix of the rebuilt conversations."""
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_nearest_neighbours", """
+WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+             AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+w AS (SELECT * FROM v WHERE len(e) = (SELECT len(e) FROM v GROUP BY len(e) ORDER BY count(*) DESC, len(e) DESC LIMIT 1)),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) AS score FROM w a JOIN w b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+""")
+def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest vectors of every twentieth one."""
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)

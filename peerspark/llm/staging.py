@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import ensure_checkpoint_dir
 
+HEAVY_KEYS = 10_000
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the checkpoint folder that driver and executors share."""
@@ -28,3 +30,25 @@ def shuffle_width(spark: SparkSession) -> int:
 def dealt_width(spark: SparkSession, total_bytes: int, target: int = 16 << 20) -> int:
     """Partitions for ``total_bytes`` of text: as many as shuffles have, more where a part would pass ``target``."""
     return max(shuffle_width(spark), -(-int(total_bytes or 0) // target))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, least: int = 1 << 16) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, which has few rows per key, on a key that may hold a third of all rows.
+
+    Keys of more than ``least`` rows, and more than a HEAVY_KEYS-th of all, are dealt over salts in number with
+    their rows; their facts are repeated for each salt. There are fewer than HEAVY_KEYS such keys, so that they
+    can be broadcast. ``rows`` should be a written table: it is read twice.
+    """
+    spark = rows.sparkSession
+    limit = max(least, -(-rows.count() // HEAVY_KEYS))
+    heavy = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+             .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")).collect())
+    if not heavy:
+        return rows.join(facts, key)
+    kind = rows.schema[key].dataType.simpleString()
+    salts = F.broadcast(spark.createDataFrame([tuple(r) for r in heavy], f"{key} {kind}, _salts int"))
+    dealt = (rows.join(salts, key, "left")
+             .withColumn("_salt", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("_salts")).cast("int"), F.lit(0))).drop("_salts"))
+    copied = (facts.join(salts, key, "left")
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1))).drop("_salts"))
+    return dealt.join(copied, [key, "_salt"]).drop("_salt")
