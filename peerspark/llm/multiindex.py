@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from .staging import spread_join, staged
+from ..functions.vectors import dot
+from .staging import shuffle_width, spread_join, staged
 
 SAMPLE = 32_768      # rows to which centroids are fitted
 PER_CELL = 64        # distinct vectors aimed at in a cell
@@ -150,7 +151,7 @@ def _probes(queries: DataFrame, index: Index, width: int, first: int, look: int,
                 yield pa.RecordBatch.from_arrays([*own, pa.array(centroid, pa.int32()), pa.array(cells, pa.binary())],
                                                  names=["qcls", "vec", "floor", "i", "cells"])
 
-    chosen = queries.select("qcls", "vec", "floor")
+    chosen = queries.select("qcls", "vec", "floor").repartition(shuffle_width(queries.sparkSession), "qcls")
     return chosen.mapInArrow(run, f"qcls long, vec {chosen.schema['vec'].dataType.simpleString()}, floor double, i int, cells binary")
 
 
@@ -263,7 +264,7 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_col: s
     index = Index(centroids, counts, spread)
 
     members = valid.filter(is_query).select("id", "mark", "vec")
-    asked = staged(members.groupBy("mark", "vec").agg(F.min("id").alias("qcls")), "ann-queries")
+    asked = staged(members.select("mark", "vec").distinct().withColumn("qcls", F.monotonically_increasing_id()), "ann-queries")
     queries = asked.select("qcls", "vec", F.lit(None).cast("double").alias("floor"))
     found = staged(_reranked(entries, _probes(queries, index, width, first * want, 0, miss * k), index, width, want), "ann-first")
     floors = _leading(found, want).select("qcls", F.when(F.size("best") >= want, F.col("best")[want - 1]["score"])
@@ -273,8 +274,9 @@ def nearest_neighbours(rows: DataFrame, is_query: Column, k: int = 20, id_col: s
     best = staged(_leading(found.unionByName(more), want), "ann-best")
 
     of_query = asked.join(best, "qcls").select("mark", F.col("vec").alias("_vec"), "best")
-    lists = spread_join(members, of_query, "mark").filter(F.col("vec") == F.col("_vec")).select("id", "best")
-    at = F.array_position(F.transform("best", lambda x: x["id"]), F.col("id"))  # its own row, where it is among them
+    lists = spread_join(members, of_query, "mark").filter(F.col("vec") == F.col("_vec"))
+    own = F.struct(dot("vec", "vec").alias("score"), F.col("id"))
+    at = F.array_position("best", own)  # its own row, where it is among them
     others = F.slice(F.filter("best", lambda x, i: i != at - 1), 1, k)
     return (lists.select(F.col("id").alias("query_id"), F.posexplode(others).alias("r", "x"))
             .select(F.col("query_id").cast(kind), (F.col("r") + 1).cast("int").alias("rank"), F.col("x.id").cast(kind).alias(id_col), F.col("x.score").alias("score")))

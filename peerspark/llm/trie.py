@@ -225,8 +225,8 @@ def _restored(row: dict) -> Forest:
     return _named(Forest(row["first"], row["last"], read["shared"], deque(read["left_side"]), deque(read["right_side"])))
 
 
-def _merged(forests: DataFrame, last: bool) -> DataFrame:
-    """One level up: every FAN neighbouring forests become one; the last level leaves nothing open."""
+def _merged(forests: DataFrame, fan: int, last: bool) -> DataFrame:
+    """One level up: every ``fan`` neighbouring forests become one; the last level leaves nothing open."""
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: r["part"])
         trie = Trie()
@@ -234,9 +234,9 @@ def _merged(forests: DataFrame, last: bool) -> DataFrame:
         if last:
             trie.close_all(forest)
             forest = None
-        return pa.Table.from_batches(_batches(_rows(rows[0]["part"] // FAN, trie, forest)), _ARROW)
+        return pa.Table.from_batches(_batches(_rows(rows[0]["part"] // fan, trie, forest)), _ARROW)
 
-    return (forests.select("part", *[c.strip().split(" ")[0] for c in _FOREST.split(", ")]).withColumn("_group", F.floor(F.col("part") / FAN))
+    return (forests.select("part", *[c.strip().split(" ")[0] for c in _FOREST.split(", ")]).withColumn("_group", F.floor(F.col("part") / fan))
             .groupBy("_group").applyInArrow(run, _LEVEL))
 
 
@@ -297,14 +297,14 @@ def rebuilt(turns: DataFrame, family: int = 20, heads: int = 4) -> DataFrame:
                        spliced("words", F.array().cast("array<int>")).alias("words"))
 
 
-def prefix_trie(sequences: DataFrame, target: int = 4 << 20) -> DataFrame:
+def prefix_trie(sequences: DataFrame, target: int = 4 << 20, fan: int = FAN) -> DataFrame:
     """All prefixes of ``sequences`` (conv_id long, distinct and not null; marks array<binary>; words array<int>): one row
     per node with conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256.
 
     Sequences are sorted by range over all partitions, equal ones by id, so that a sequence that a third of all
     conversations have is spread too. Each partition joins neighbours by union-find over the edges of their
     common prefixes, deepest first, and reports the nodes that lie within it. Only the prefixes of its first and
-    last sequence stay open. These contracted forests are merged across partition boundaries, FAN at a time,
+    last sequence stay open. These contracted forests are merged across partition boundaries, ``fan`` at a time,
     level by level. End lists of open nodes travel as pieces of decimal ids and pass a digest in order; a hot
     node's pieces are one row per CHUNK ids. Nothing else of a node grows with its members.
 
@@ -322,8 +322,8 @@ def prefix_trie(sequences: DataFrame, target: int = 4 << 20) -> DataFrame:
     width = (level.agg(F.max("part")).first()[0] or 0) + 1
     levels = [level]
     while len(levels) == 1 or width > 1:
-        width = -(-width // FAN)
-        levels.append(staged(_merged(levels[-1].filter("kind = 'forest'"), width == 1), f"trie-{len(levels)}"))
+        width = -(-width // fan)
+        levels.append(staged(_merged(levels[-1].filter("kind = 'forest'"), fan, width == 1), f"trie-{len(levels)}"))
 
     ends = _end_digests(level.filter("kind = 'ends'"))
     nodes = [(one.filter("kind = 'node'").withColumn("_level", F.lit(i))) for i, one in enumerate(levels)]

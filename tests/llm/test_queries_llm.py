@@ -22,10 +22,11 @@ def documents(spark):
 
 def test_one_query_for_each_operator():
     numbers = sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit())
-    assert numbers == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert numbers == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_warc_revisits", "op9_preference_format"])
+@pytest.mark.parametrize("name", ["op2_exact_dedup", "op4_warc_revisits", "op9_preference_format",
+                                  "op11_nearest_neighbours", "op12_prefix_trie", "op13_ranked_search"])
 def test_query_equals_sql(spark, name):
     assert compare(spark, connect(SF), entry.queries()[name], entry.oracle_sql()[name], SF) == ""
 
