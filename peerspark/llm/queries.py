@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .bpe import bpe_decode, bpe_encode
+from .bpe import bpe_round_trip
 from .exact import exact_dedup
 from .langid import held_out, identify, learn
 from .lexical import LOWER, TERM, UPPER, ranked_search
@@ -23,8 +23,7 @@ from .warc import archived_pages
 @query("op1_bpe_round_trip")
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded, decoded again, with digests of both."""
-    vocab = vocabulary("byte_bpe_50k.json")
-    both = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), vocab), vocab)
+    both = bpe_round_trip(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
     return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
                        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
                        F.sha2("text", 256).alias("decoded_sha256"))

@@ -11,7 +11,7 @@ from samples import odd_rows
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from peerspark.llm.bpe import bpe_decode, bpe_encode, coder
+from peerspark.llm.bpe import bpe_decode, bpe_encode, bpe_round_trip, coder
 from peerspark.llm.packing import best_fit_packing, plan_slots
 from peerspark.llm.tokencount import attribute, token_counts
 from peerspark.llm.wordids import WordIds
@@ -39,11 +39,27 @@ def test_bpe_decodes_any_ids():
         assert coder(BYTES).decode(ids) == BYTE_LIBRARY.decode(ids, skip_special_tokens=False)
 
 
+def test_rows_decode_apart():
+    """Ids that end or start inside a character belong to their own rows."""
+    one = BYTE_LIBRARY.encode("é日", add_special_tokens=False).ids
+    rows = [one[:1], one[1:], [], one, one[2:]]
+    bounds = np.cumsum([0, *map(len, rows)])
+    got = coder(BYTES).decode_all(np.array(sum(rows, []), np.int64), bounds).to_pylist()
+    assert got == [BYTE_LIBRARY.decode(r, skip_special_tokens=False) for r in rows]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x2AF, exclude_categories=["Cs"]), max_size=60))
+def test_latin_pieces_equal_the_library(text):
+    assert array.array("i", coder(BYTES).encode([text.encode()])[0]).tolist() == BYTE_LIBRARY.encode(text, add_special_tokens=False).ids
+
+
 def test_bpe_on_odd_rows(spark, odd, none):
     both = bpe_decode(bpe_encode(odd, BYTES), BYTES)
     got = sorted((str(r["doc_id"]), tuple(r["ids"]), r["text"]) for r in both.collect())
     assert got == sorted((str(r[0]), tuple(BYTE_LIBRARY.encode(r[1] or "", add_special_tokens=False).ids), r[1] or "") for r in odd_rows())
-    assert bpe_encode(none, BYTES).count() == 0
+    assert sorted((str(r["doc_id"]), tuple(r["ids"]), r["text"]) for r in bpe_round_trip(odd, BYTES).collect()) == got
+    assert bpe_encode(none, BYTES).count() == 0 and bpe_round_trip(none, BYTES).count() == 0
     assert bpe_decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>"), BYTES).first()["text"] == ""
 
 
@@ -54,6 +70,18 @@ def test_word_ids_equal_the_library(text):
     assert array.array("I", OURS.encode([text.encode()])[0]).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.characters(max_codepoint=0x1FF, exclude_categories=["Cs"]), max_size=60))
+def test_latin_word_ids_equal_the_library(text):
+    assert array.array("I", OURS.encode([text.encode()])[0]).tolist() == WORD_LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_long_texts_are_encoded_in_parts():
+    text = "Ein Wort, zwei. " * 90_000 + "日本 " * 400_000
+    want = WORD_LIBRARY.encode(text, add_special_tokens=False).ids
+    assert array.array("I", OURS.encode([text.encode()])[0]).tolist() == want
+
+
 def filled(plan, counts, capacity):
     bins = {}
     for length, a, b, first, offset in plan:
