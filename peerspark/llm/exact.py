@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .staging import staged
+from .staging import spread_join, staged
 
 BLANKS = r"[\x20\x09-\x0D]+"
 
@@ -22,7 +22,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     leaves a task once. Its partial groups then meet under (digest, salt, text), where the salt is the
     task's number modulo ``salts``, and the at most ``salts`` winners of a text meet under (digest,
     text). The text itself is part of each grouping key: rows whose digests collide stay apart.
-    Rows learn their verdict over the narrow digest; digests shared by different texts, if there are
+    Rows learn their verdict over the narrow digest, those of a very frequent text over several salts; digests shared by different texts, if there are
     any, are resolved by joining on the text too.
 
     A null text is empty; empty texts equal each other. Null ids never win over other ids; a group of
@@ -37,7 +37,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     verdicts = staged(groups.select("_digest", "keep_id", "group_size"), "exact-groups")
     shared = verdicts.groupBy("_digest").agg(F.count(F.lit(1)).alias("_texts")).filter("_texts > 1").select("_digest")
     if shared.isEmpty():
-        told = rows.select("_id", "_digest", "_sha").join(verdicts, "_digest")
+        sizes = verdicts.select("_digest", F.col("group_size").alias("_n"))
+        told = spread_join(rows.select("_id", "_digest", "_sha"), verdicts, "_digest", counts=sizes)
     else:
         told = (rows.join(shared, "_digest", "left_anti").join(verdicts, "_digest").select("_id", "_sha", "keep_id", "group_size")
                 .unionByName(rows.join(shared, "_digest", "left_semi").join(groups, ["_digest", "_norm"])

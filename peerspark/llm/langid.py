@@ -11,7 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .wordhash import U64, mix, word_slices
 
 UNKNOWN = "und"
-SEGMENT = 32  # bytes; a longer word is scored in segments of this length
+LONGEST = 32       # bytes of the longest piece
+CELLS = 4096 * 32  # of a byte matrix of words
+PLAIN = 16         # bytes up to which no sum of a word can vanish
+TINY = 1e-40       # sums below it are scaled up, their logarithm kept
 _STEP = U64(0x9E3779B97F4A7C55)
 _TURN = [U64(x) for x in (1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -31,7 +34,7 @@ class Pieces:
                 spare[bytes([int(text[3:5], 16)])] = i
             elif not (model.is_control(i) or model.is_unknown(i)):
                 written = text.replace("▁", " ").encode()
-                if b" " not in written[1:] and len(written) <= SEGMENT:
+                if b" " not in written[1:] and len(written) <= LONGEST:
                     ids[written] = i
         for b, i in spare.items():
             ids.setdefault(b, i)
@@ -76,13 +79,13 @@ class Pieces:
             open_ = open_[~hit & (value >= 0)]
         return out
 
-    def arcs(self, text: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """All pieces in the rows of a byte matrix: (start, end, rows, ids), ordered by start."""
-        out = []
-        for i in range(text.shape[1]):
+    def arcs(self, text: np.ndarray, sizes: np.ndarray, first: int = 0, last: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Pieces in the rows of a byte matrix that start at positions first..last-1: (start, end, rows, ids), by start."""
+        width = text.shape[1]
+        for i in range(first, width if last is None else min(last, width)):
             rows = np.flatnonzero(sizes > i)
             h = np.zeros(len(rows), U64)
-            for j in range(i + 1, text.shape[1] + 1):
+            for j in range(i + 1, min(i + LONGEST, width) + 1):
                 fits = sizes[rows] >= j
                 rows, h = rows[fits], h[fits]
                 if not len(rows):
@@ -93,43 +96,95 @@ class Pieces:
                 rows, h, ids = rows[going], h[going], ids[going]
                 piece = ids < self.size
                 if piece.any():
-                    out.append((i, j, rows[piece], ids[piece]))
-        return out
-
+                    yield i, j, rows[piece], ids[piece]
 
-def forward(arcs, n: int, width: int, probs: np.ndarray) -> np.ndarray:
-    """alpha[position, row, model]: probability of the first bytes, summed over segmentations."""
-    alpha = np.zeros((width + 1, n, probs.shape[1]))
-    alpha[0] = 1
-    for i, j, rows, ids in arcs:
-        alpha[j, rows] += alpha[i, rows] * probs[ids]
-    return alpha
 
+def _scaled(window: np.ndarray, offset: np.ndarray, rows: np.ndarray) -> None:
+    """Scale the open sums of words that have become tiny; ``offset`` keeps the logarithm of what was taken out."""
+    top = window.max(axis=0)
+    small = (top < TINY) & (top > 0) & rows[:, None]
+    if small.any():
+        factor = np.where(small, top, 1)
+        window /= factor
+        offset += np.log(factor)
 
-def backward(arcs, n: int, sizes: np.ndarray, width: int, probs: np.ndarray) -> np.ndarray:
-    beta = np.zeros((width + 1, n, probs.shape[1]))
-    beta[sizes, np.arange(n)] = 1
-    for i, j, rows, ids in reversed(arcs):
-        beta[i, rows] += beta[j, rows] * probs[ids]
-    return beta
 
-
-def _segments(part, first_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Distinct words as byte matrices of similar length: (word numbers, matrix, sizes)."""
+def forward(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """alpha[position, row, model]: probability of the first bytes, summed over all segmentations, divided by the
+    exponential of offset[position, row, model]. A word of any length is summed as a whole."""
+    n, width = text.shape
+    alpha, offset = np.zeros((width + 1, n, probs.shape[1])), np.zeros((width + 1 if width > PLAIN else 1, n, probs.shape[1]))
+    alpha[0] = 1
+    done = 0
+    for i, j, rows, ids in pieces.arcs(text, sizes):
+        if i >= done + 8:  # every 8 positions: no piece is that improbable that sums vanish in between
+            done = i
+            if width > PLAIN:
+                _scaled(alpha[i:i + LONGEST + 1], moved := np.zeros(offset.shape[1:]), sizes >= i)
+                if moved.any():
+                    offset[i:] += moved
+        alpha[j, rows] += alpha[i, rows] * probs[ids]
+    return alpha, offset
+
+
+def log_probability(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """Of every word under every model, summed over all segmentations."""
+    alpha, offset = forward(pieces, text, sizes, probs)
+    own = np.arange(len(sizes))
+    return np.log(alpha[sizes, own]) + offset[sizes if len(offset) > 1 else 0, own]
+
+
+def expected(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, ids, shares[arc, model]): how probable each piece of each word is, over all segmentations. Goes backwards in
+    blocks of positions, so that a long word's pieces are never held all at once."""
+    n, width = text.shape
+    alpha, before = forward(pieces, text, sizes, probs)
+    own = np.arange(n)
+    whole, out = alpha[sizes, own], before[sizes if len(before) > 1 else 0, own]
+    beta, offset = np.zeros_like(alpha), np.zeros((n, probs.shape[1]))
+    beta[sizes, own] = 1
+    for first in range((width - 1) // 8 * 8, -1, -8):
+        block = list(pieces.arcs(text, sizes, first, first + 8))
+        for i, j, rows, ids in reversed(block):
+            beta[i, rows] += beta[j, rows] * probs[ids]
+        for i, j, rows, ids in block:
+            if width <= PLAIN:
+                yield rows, ids, alpha[i, rows] * probs[ids] * beta[j, rows] / whole[rows]
+                continue
+            with np.errstate(divide="ignore"):  # the logarithm of no probability
+                share = np.log(alpha[i, rows]) + np.log(probs[ids]) + np.log(beta[j, rows]) - np.log(whole[rows])
+            yield rows, ids, np.exp(share + before[i, rows] + offset[rows] - out[rows])
+        if width > PLAIN:
+            _scaled(beta[first:first + LONGEST + 1], offset, sizes >= first)
+
+
+def _gathered(arcs: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """Arcs put together, up to about ``most`` at a time."""
+    held, n = [], 0
+    for arc in arcs:
+        held.append(arc)
+        n += len(arc[0])
+        if n >= most:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _matrices(part, first_of: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Distinct words, a mark before each, as byte matrices of similar length: (word numbers, matrix, sizes)."""
     begin, size = part.starts[first_of], part.ends[first_of] - part.starts[first_of] + 1
-    pieces = -(-size // SEGMENT)
-    word = np.repeat(np.arange(len(size)), pieces)
-    nth = np.arange(len(word)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    at = begin[word] - 1 + nth * SEGMENT  # one byte early: the word's mark
-    sizes = np.minimum(size[word] - nth * SEGMENT, SEGMENT)
-    order = np.argsort(sizes, kind="stable")
-    data = np.append(part.data, np.zeros(SEGMENT, np.uint8))
-    for k in range(0, len(order), 4096):
-        chosen = order[k:k + 4096]
-        width = int(sizes[chosen].max())
-        matrix = data[np.maximum(at[chosen, None] + np.arange(width), 0)]
-        matrix[nth[chosen] == 0, 0] = 32
-        yield word[chosen], matrix, sizes[chosen]
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        chosen = order[at:at + 4096]
+        chosen = chosen[:max(1, int(np.searchsorted(size[chosen] * np.arange(1, len(chosen) + 1), CELLS, "right")))]
+        width = int(size[chosen].max())
+        place = begin[chosen, None] - 1 + np.arange(width)  # one byte early: the word's mark
+        matrix = part.data[np.clip(place, 0, len(part.data) - 1)]
+        matrix[:, 0] = 32
+        yield chosen, matrix, size[chosen]
+        at += len(chosen)
 
 
 _PIECES: dict[str, Pieces] = {}
@@ -175,17 +230,10 @@ def learn(docs: DataFrame, vocab: str, lang_col: str = "lang", text_col: str = "
                     _, first, nth = np.unique(part.hashes(), return_index=True, return_inverse=True)
                     spoken = lang[part.first:part.last][part.row_of_word()]
                     times = np.bincount(nth * len(langs) + spoken, minlength=len(first) * len(langs)).reshape(-1, len(langs))
-                    for word, matrix, sizes in _segments(part, first):
-                        n, width = matrix.shape
-                        arcs = pieces.arcs(matrix, sizes)
-                        alpha, beta = forward(arcs, n, width, p), backward(arcs, n, sizes, width, p)
-                        for column in range(p.shape[1]):
-                            every = beta[0, :, column]
-                            share = [alpha[i, r, column] * p[ids, column] * beta[j, r, column] / every[r] for i, j, r, ids in arcs]
-                            share, which = np.concatenate(share), np.concatenate([a[3] for a in arcs])
-                            who = np.concatenate([a[2] for a in arcs])
-                            for k in (range(len(langs)) if p.shape[1] == 1 else [column]):
-                                total[k] += np.bincount(which, share * times[word[who], k], size + 1)
+                    for word, matrix, sizes in _matrices(part, first):
+                        for who, which, share in _gathered(expected(pieces, matrix, sizes, p)):
+                            for k in range(len(langs)):
+                                total[k] += np.bincount(which, share[:, k if p.shape[1] > 1 else 0] * times[word[who], k], size + 1)
             for k, row in enumerate(total):
                 some = np.flatnonzero(row)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.astype(np.int32)),
@@ -201,33 +249,35 @@ def learn(docs: DataFrame, vocab: str, lang_col: str = "lang", text_col: str = "
 
 def identify(docs: DataFrame, vocab: str, langs: list[str], probs: np.ndarray, id_col: str = "doc_id",
              text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: ``id_col``, the ``carry`` columns, lang_pred, score.
+    """One row per input row: ``id_col``, the ``carry`` columns, lang_pred, score, per_byte.
 
     A text's probability under a language is the product over its words of the sum over all segmentations
-    into pieces. The score is the best language's share when all are equally likely beforehand. A text that
-    is null or has no letter is ``und`` with score 0, and so is every text if no language was learnt. Rows
-    are judged alone, so repeated rows and null ids change nothing; an empty table gives no rows.
+    into pieces. The score is the best language's share when all are equally likely beforehand; per_byte is the
+    logarithm of the probability under it, by bytes of words and their marks, whatever the length of the text.
+    A text that is null or has no letter is ``und`` with score 0 and per_byte null, and so is every text if no
+    language was learnt. Rows are judged alone, so repeated rows and null ids change nothing; an empty table
+    gives no rows.
     """
     model = docs.sparkSession.sparkContext.broadcast(probs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, p = vocabulary(vocab), model.value
         for batch in batches:
-            best, score = [], []
+            best, score, per_byte = [], [], []
             for part in word_slices(batch.column(1)):
                 sums = np.zeros((part.last - part.first, p.shape[1]))
                 if len(part.starts) and langs:
                     _, first, nth = np.unique(part.hashes(), return_index=True, return_inverse=True)
                     each = np.zeros((len(first), p.shape[1]))
-                    for word, matrix, sizes in _segments(part, first):
-                        n, width = matrix.shape
-                        alpha = forward(pieces.arcs(matrix, sizes), n, width, p)
-                        np.add.at(each, word, np.log(alpha[sizes, np.arange(n)]))
+                    for word, matrix, sizes in _matrices(part, first):
+                        each[word] = log_probability(pieces, matrix, sizes, p)
                     row = part.row_of_word()
                     for k in range(p.shape[1]):
                         sums[:, k] = np.bincount(row, each[nth, k], part.last - part.first)
                 top = sums.max(axis=1, keepdims=True)
                 share = 1 / np.exp(sums - top).sum(axis=1)
+                long = np.bincount(part.row_of_word(), part.ends - part.starts + 1, part.last - part.first)
+                mean = top[:, 0] / np.maximum(long, 1)
                 lower = part.data | 32
                 letters = np.append(0, np.cumsum((lower >= 97) & (lower <= 122)))[part.bounds]
                 for i, k in enumerate(sums.argmax(axis=1)):
@@ -235,10 +285,25 @@ def identify(docs: DataFrame, vocab: str, langs: list[str], probs: np.ndarray, i
                         c.isalpha() for c in part.data[part.bounds[i]:part.bounds[i + 1]].tobytes().decode())
                     best.append(langs[k] if lettered and langs else UNKNOWN)
                     score.append(float(share[i]) if lettered and langs else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64())],
-                                             names=["own", "lang_pred", "score"])
+                    per_byte.append(float(mean[i]) if lettered and langs else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()),
+                                              pa.array(per_byte, pa.float64())], names=["own", "lang_pred", "score", "per_byte"])
 
     keep = [id_col, *[c for c in carry if c != id_col]]
     rows = docs.select(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]).alias("own"), F.col(text_col).alias("text"))
-    told = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, lang_pred string, score double")
-    return told.select(*[F.col(f"own.c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score")
+    told = rows.mapInArrow(run, f"own {rows.schema['own'].dataType.simpleString()}, lang_pred string, score double, per_byte double")
+    return told.select(*[F.col(f"own.c{k}").alias(c) for k, c in enumerate(keep)], "lang_pred", "score", "per_byte")
+
+
+def plausible(told: DataFrame, learnt: Column, text: Column, margin: float = 0.5) -> DataFrame:
+    """Rows of ``identify`` that are not less probable by byte than every text that was learnt from, of at least half
+    their length, less ``margin``. Short texts vary more than long ones, so the bound follows from the length: one
+    number for each power of two. Without such a text the longest ones bound it; without any, all rows stay."""
+    size = F.floor(F.log2(F.coalesce(F.octet_length(text), F.lit(0)) + 1)).cast("int")
+    sized = told.withColumn("_size", size)
+    least = {r["_size"]: r["m"] for r in sized.filter(learnt & F.col("per_byte").isNotNull()).groupBy("_size").agg(F.min("per_byte").alias("m")).collect()}
+    if not least:
+        return told
+    floors = [min([m for s, m in least.items() if s >= min(k - 1, max(least))]) - margin for k in range(64)]
+    floor = F.element_at(F.array(*[F.lit(float(f)) for f in floors]), F.col("_size") + 1)
+    return sized.filter(F.col("per_byte").isNull() | (F.col("per_byte") >= floor)).drop("_size")

@@ -14,6 +14,8 @@ from .wordhash import column_bytes
 from .wordids import encoder
 
 CAPACITY = 2048
+PART = 1 << 16    # pieces in a part of the ids, and so at most in a window
+MOST_SLOTS = 1 << 17  # rows of a plan that are broadcast
 _PIECES = "doc_id {}, piece int, start long, length long, ids_crc32 long"
 
 
@@ -94,20 +96,19 @@ def best_fit_packing(docs: DataFrame, vocab: str, capacity: int = CAPACITY, end_
     over all parts. An empty table gives no rows; texts stay where they are read and are not shuffled.
     """
     spark = docs.sparkSession
-    parts = shuffle_width(spark)
-    table = staged(pieces(docs, vocab, capacity, end_id, id_col, text_col)
-                   .withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")), "pieces")
+    table = staged(pieces(docs, vocab, capacity, end_id, id_col, text_col), "pieces")
+    parts = max(shuffle_width(spark), -(-table.count() // PART))
+    table = table.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int"))
     totals = table.groupBy("length", "_part").agg(F.count(F.lit(1)).alias("_n"))
     counts = {r["length"]: r["n"] for r in totals.groupBy("length").agg(F.sum("_n").alias("n")).collect()}
-    plan = spark.createDataFrame(plan_slots(counts, capacity),
-                                 "_length long, _from long, _to long, _first long, _offset long")
+    slots = plan_slots(counts, capacity)
+    plan = spark.createDataFrame(slots, "_length long, _from long, _to long, _first long, _offset long")
     before = totals.select("length", "_part", F.coalesce(
         F.sum("_n").over(W.partitionBy("length").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     within = W.partitionBy("length", "_part").orderBy("doc_id", "piece", "ids_crc32")
     ranked = (table.withColumn("_rank", F.row_number().over(within) - 1).join(before, ["length", "_part"])
               .withColumn("_rank", F.col("_rank") + F.col("_before")))
-    # the plan is bounded by the capacity: every row splits at most one range of equal sequences
-    slots = F.broadcast(plan) if len(counts) <= capacity else plan
-    return (ranked.join(slots, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    plan = F.broadcast(plan) if len(slots) <= MOST_SLOTS else plan
+    return (ranked.join(plan, (F.col("length") == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
             .select("doc_id", "piece", "start", "length", "ids_crc32",
                     (F.col("_first") + F.col("_rank") - F.col("_from")).alias("sequence_id"), F.col("_offset").alias("offset")))

@@ -109,6 +109,15 @@ def _single(table: pa.Table, name: str) -> pa.Array:
     return pa.concat_arrays(column.chunks) if isinstance(column, pa.ChunkedArray) else column
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type without promises that nothing is null, which declared results do not make."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    if pa.types.is_list(kind):
+        return pa.list_(_nullable(kind.value_type))
+    return kind
+
+
 def _longs(table: pa.Table, name: str) -> np.ndarray:
     return _single(table, name).to_numpy(zero_copy_only=False).astype(np.int64).view(U64)
 
@@ -205,6 +214,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 total.append(int(y - x))
                 gone.append(n_out)
         own = _single(left, "own") if left.num_rows else pa.array([], left.schema.field("own").type)
+        own = own.cast(_nullable(own.type))
         return pa.table({"own": own, "text": pa.array(texts, pa.string()), "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(gone, pa.int64())})
 
     told = (dealt.groupBy("part").cogroup(shared.unionByName(refuted).groupBy("part"))

@@ -32,16 +32,18 @@ def dealt_width(spark: SparkSession, total_bytes: int, target: int = 16 << 20) -
     return max(shuffle_width(spark), -(-int(total_bytes or 0) // target))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, least: int = 1 << 16) -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, least: int = 1 << 16, counts: DataFrame | None = None) -> DataFrame:
     """Inner join of ``rows`` with ``facts``, which has few rows per key, on a key that may hold a third of all rows.
 
     Keys of more than ``least`` rows, and more than a HEAVY_KEYS-th of all, are dealt over salts in number with
     their rows; their facts are repeated for each salt. There are fewer than HEAVY_KEYS such keys, so that they
-    can be broadcast. ``rows`` should be a written table: it is read twice.
+    can be broadcast. ``counts`` (key, _n), where they are known, save counting ``rows``, which otherwise should be
+    a written table.
     """
     spark = rows.sparkSession
-    limit = max(least, -(-rows.count() // HEAVY_KEYS))
-    heavy = (rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit)
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")) if counts is None else counts
+    limit = max(least, -(-(counts.agg(F.sum("_n")).first()[0] or 0) // HEAVY_KEYS))
+    heavy = (counts.filter(F.col("_n") > limit)
              .select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_salts")).collect())
     if not heavy:
         return rows.join(facts, key)

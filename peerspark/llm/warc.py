@@ -237,18 +237,20 @@ class WarcReader(DataSourceReader):
             if window.get(at, 2) == b"\x1f\x8b":
                 start = window.get(at, 24)
                 sized = len(start) == 24 and start[3] & 4 and start[12:14] == b"WL"
-                following = at + struct.unpack("<Q", start[16:24])[0] if sized else None
+                if not sized:  # where such a member ends, and how many records it holds, is known when it is decoded
+                    data, at = _inflate(window, at, None)
+                    yield from self._member(data, tests)
+                    continue
+                following = at + struct.unpack("<Q", start[16:24])[0]
                 head, ended = _inflate(window, at, _HEAD, b"\r\n\r\n")
                 while b"\r\n\r\n" not in head and ended is None:
                     head, ended = _inflate(window, at, 2 * len(head), b"\r\n\r\n")
                 fields, n = _parse(head)
                 row = _columns(fields)
                 wanted = all(t(row) is True for t in tests)
-                following = following or ended
                 block = b""
-                if following is None or wanted and self.payload:
+                if wanted and self.payload:
                     head, ended = _inflate(window, at, None) if ended is None else (head, ended)
-                    following = following or ended
                     block = head[n:n + (row["content_length"] or 0)]
             else:
                 head = window.get(at, _HEAD)
@@ -261,12 +263,27 @@ class WarcReader(DataSourceReader):
                 block = window.get(at + n, length) if wanted and self.payload else b""
                 following = at + n + length + 4
             if wanted:
-                if (row["headers"].get("Content-Type") or "").startswith("application/http"):
-                    block = block.partition(b"\r\n\r\n")[2]
-                row["payload"] = block if self.payload and row["record_type"] != "revisit" else None
-                yield row
+                yield self._with_payload(row, block)
             at = following
 
+    def _member(self, data: bytes, tests: list) -> Iterator[dict]:
+        """The records of a decoded gzip member, one after the other."""
+        at = 0
+        while data[at:].strip(b"\r\n"):
+            fields, n = _parse(data[at:at + _HEAD] if b"\r\n\r\n" in data[at:at + _HEAD] else data[at:])
+            row = _columns(fields)
+            end = at + n + (row["content_length"] or 0)
+            if all(t(row) is True for t in tests):
+                yield self._with_payload(row, data[at + n:end])
+            at = end + 4
+
+    def _with_payload(self, row: dict, block: bytes) -> dict:
+        kind = next((v for k, v in row["headers"].items() if k.lower() == "content-type"), None) or ""
+        if kind.lower().startswith("application/http"):
+            block = block.partition(b"\r\n\r\n")[2]
+        row["payload"] = block if self.payload and row["record_type"] != "revisit" else None
+        return row
+
 
 _ARROW = pa.schema([*[(n, pa.string()) for n in _NAMES], ("payload_length", pa.int64()), ("content_length", pa.int64()),
                     ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())])
@@ -330,5 +347,10 @@ def archive_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 
 
 def archived_pages(pages: DataFrame) -> DataFrame:
-    """``archive_pages`` in a new folder of the shared space."""
-    return archive_pages(pages, shared_path(pages.sparkSession, "warc"))
+    """``archive_pages`` in a new folder of the shared space, read back by two loads: responses with their payloads, and
+    all other records by their headers alone."""
+    spark, path = pages.sparkSession, shared_path(pages.sparkSession, "warc")
+    archive_pages(pages, path)
+    whole = spark.read.format("warc").load(path).filter("record_type = 'response'")
+    told = spark.read.format("warc").option("payload", "false").load(path).filter("record_type = 'revisit'")
+    return whole.unionByName(told)

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import brute
 import numpy as np
@@ -19,25 +20,54 @@ SF = "/root/testdata/sf0.01"
 
 
 def all_segmentations(word, ids, probs):
-    """Sum over all segmentations by plain recursion, per segment of 32 bytes."""
-    total = 0.0
+    """Logarithm of the sum over all segmentations, by plain recursion with exact numbers of any size."""
     text = b" " + word
-    for at in range(0, len(text), langid.SEGMENT):
-        part = text[at:at + langid.SEGMENT]
-        alpha = [1.0] + [0.0] * len(part)
-        for i in range(len(part)):
-            for j in range(i + 1, len(part) + 1):
-                if part[i:j] in ids:
-                    alpha[j] += alpha[i] * probs[ids[part[i:j]]]
-        total += math.log(alpha[-1])
-    return total
+    alpha = [Fraction(1)] + [Fraction(0)] * len(text)
+    for i in range(len(text)):
+        for j in range(i + 1, min(len(text), i + 32) + 1):
+            if text[i:j] in ids:
+                alpha[j] += alpha[i] * Fraction(probs[ids[text[i:j]]])
+    return math.log(alpha[-1].numerator) - math.log(alpha[-1].denominator)
+
+
+@pytest.mark.parametrize("word", ["x" * 75, "日本語の文章" * 8, "q\x00" * 40, "straße" * 9])
+def test_long_words_are_summed_whole(word):
+    """No cut, and no sum that vanishes, also after 1e12 counts of other pieces."""
+    pieces = langid.vocabulary(VOCAB)
+    raw = word.encode()
+    text = np.frombuffer(b" " + raw, np.uint8)[None]
+    for unseen in (1e-6, 1e-13):
+        probs = np.full((pieces.size + 1, 1), unseen)
+        got = langid.log_probability(pieces, text, np.array([text.shape[1]]), probs)[0, 0]
+        assert got == pytest.approx(all_segmentations(raw, pieces.ids, probs[:, 0]), rel=1e-9)
+        shares = sum(float(s[:, 0].sum()) for _, ids, s in langid.expected(pieces, text, np.array([text.shape[1]]), probs) if len(ids))
+        assert 1 <= shares <= text.shape[1] + 1e-6
+    covered = np.zeros(text.shape[1])
+    probs = np.full((pieces.size + 1, 1), 1 / pieces.size)
+    back = {i: len(t) for t, i in pieces.ids.items()}
+    mass = sum(float((s[:, 0] * [back[i] for i in ids]).sum()) for _, ids, s in langid.expected(pieces, text, np.array([text.shape[1]]), probs))
+    assert mass == pytest.approx(len(covered))  # every byte is in exactly one piece of each segmentation
+
+
+def test_implausible_texts_are_rejected(spark):
+    """Noise and a language that was not learnt, against held-out documents of learnt ones."""
+    rnd = random.Random(2)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    noise = " ".join("".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(150))
+    foreign = "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。" * 12
+    planted = spark.createDataFrame([(10**9, noise, None), (10**9 + 1, foreign, None)], docs.schema)
+    langs, probs = langid.learn(docs.filter(~langid.held_out()), VOCAB)
+    told = langid.identify(docs.unionByName(planted), VOCAB, langs, probs, carry=("text", "lang"))
+    kept = {r["doc_id"] for r in langid.plausible(told, ~langid.held_out() & F.col("lang").isNotNull(), F.col("text")).collect()}
+    ids = {r["doc_id"] for r in docs.collect()}
+    assert not kept & {10**9, 10**9 + 1} and len(ids - kept) <= 0.005 * len(ids)
 
 
 def test_forward_sums_all_segmentations(spark):
     pieces = langid.vocabulary(VOCAB)
     rnd = np.random.default_rng(1)
     probs = np.vstack([rnd.dirichlet(np.ones(pieces.size), 2).T + 1e-9, np.zeros((1, 2))])
-    texts = ["the quick höher", "x" * 200 + " 中文 ßtraße", "one", "", None, "!!! 12 \x00 " + "é" * 40]
+    texts = ["the quick höher", "x" * 60 + " 中文 ßtraße", "one", "", None, "!!! 12 \x00 " + "é" * 40]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: r for r in langid.identify(docs, VOCAB, ["a", "b"], probs).collect()}
     for i, text in enumerate(texts):
@@ -46,7 +76,7 @@ def test_forward_sums_all_segmentations(spark):
             assert got[i]["lang_pred"] == "ab"[int(np.argmax(sums))]
             assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-abs(sums[0] - sums[1]))))
         else:
-            assert tuple(got[i])[1:] == ("und", 0.0)
+            assert tuple(got[i])[1:] == ("und", 0.0, None)
 
 
 def test_learning_counts_every_segmentation(spark):

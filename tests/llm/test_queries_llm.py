@@ -8,6 +8,7 @@ import brute
 import public_tokenizers
 import pytest
 from compare import compare, connect
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -79,6 +80,18 @@ def test_pipeline_against_plain_python(spark):
     assert corpus_pipeline.run is entry.queries()["pipeline"]
 
 
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES[:-1]])
+def test_stages_with_names_of_their_own_results(spark, stage):
+    """Columns named like anything that a stage works out come through."""
+    names = ["lang_pred", "score", "per_byte", "n_words", "n_removed", "doc", "kept", "keep_id", "group_size", "text_sha256",
+             "component_id", "n_shingles", "own", "part", "_size", "a.b"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    wide = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    got = stage(spark, wide, SF)
+    assert got.columns == wide.columns and got.count() > 0
+    assert tuple(got.first())[5:] == tuple(range(len(names)))
+
+
 def test_stages_keep_the_columns_of_documents(odd, spark):
     docs = odd
     for _, stage in corpus_pipeline.STAGES[:-1]:

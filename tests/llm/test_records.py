@@ -81,6 +81,19 @@ def test_foreign_archives_and_partitions(spark, tmp_path):
     assert one.count() == 3
 
 
+def test_one_gzip_member_with_several_records(spark, tmp_path):
+    """All records of a member are read, whatever the case of header names."""
+    record = lambda i, kind: (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:x:{i}>\r\ncontent-type: application/http\r\n"
+                              f"Content-Length: {len(f'HTTP/1.1 200 OK' + chr(13) + chr(10)) + 2 + 5 + len(str(i))}\r\n\r\nHTTP/1.1 200 OK\r\n\r\nbody {i}\r\n\r\n").encode()
+    data = b"".join(record(i, "response" if i % 2 else "resource") for i in range(5))
+    (tmp_path / "many.warc.gz").write_bytes(gzip.compress(data) + gzip.compress(record(5, "response")))
+    warc.register(spark)
+    rows = spark.read.format("warc").load(str(tmp_path)).collect()
+    assert {r["record_id"]: bytes(r["payload"]) for r in rows} == {f"<urn:x:{i}>": f"body {i}".encode() for i in range(6)}
+    only = spark.read.format("warc").load(str(tmp_path)).filter("record_type = 'resource'").collect()
+    assert sorted(r["record_id"] for r in only) == ["<urn:x:0>", "<urn:x:2>", "<urn:x:4>"]
+
+
 def test_empty_table_and_second_write(spark, tmp_path):
     path = str(tmp_path / "w")
     assert warc.archive_pages(pages(spark, []).limit(0), path).count() == 0
