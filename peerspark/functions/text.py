@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from html.parser import HTMLParser
 
@@ -40,16 +41,52 @@ def strip_html(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else html_to_text(h))
 
 
+# what a byte from 0x80 on is read as under the wrong code page; the five that the page leaves out stay control characters
+_READ_AS = {b: bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0x100)}
+_BYTE_OF = {c: b for b, c in _READ_AS.items()} | {chr(b): b for b in range(0x80, 0xA0)}
+_some = lambda a, b: "[" + "".join(sorted({re.escape(c) for c, x in _BYTE_OF.items() if a <= x <= b})) + "]"
+_LATER = _some(0x80, 0xBF)
+_DAMAGED = re.compile(f"(?:{_some(0xC2, 0xDF)}{_LATER}|{_some(0xE0, 0xEF)}{_LATER}{{2}}|{_some(0xF0, 0xF4)}{_LATER}{{3}})+")
+
+
+def _undone(run: re.Match) -> str:
+    """The run as it was before its UTF-8 bytes were read under the wrong code page, if that is more plausible."""
+    try:
+        was = bytes(_BYTE_OF[c] for c in run[0]).decode()
+    except UnicodeDecodeError:
+        return run[0]
+    # one character of two bytes may be an accent before a dash or a quote: believed only where it is a common one
+    plausible = len(was) > 1 or len(run[0]) > 2 or "\xa0" <= was < "\u0180"
+    return was if plausible and not any(unicodedata.category(c) in ("Cn", "Co", "Cs") or "\x80" <= c < "\xa0" and c not in _BYTE_OF for c in was) else run[0]
+
+
+def repair_encoding(text: str) -> str:
+    """Text whose UTF-8 bytes were read as a Western code page, once or several times, in whole or in parts. Each step
+    undoes one reading and makes damaged runs shorter; it ends when no run is left that gets more plausible."""
+    while True:
+        before, text = text, _DAMAGED.sub(_undone, text)
+        if text == before:
+            return text
+
+
+def cleaned(text: str) -> str:
+    return unicodedata.normalize("NFKC", repair_encoding(html_to_text(text)))
+
+
 @F.pandas_udf(StringType())
 def clean_text(text: pd.Series) -> pd.Series:
-    """Tags removed and compatibility characters normalised (NFKC)."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", html_to_text(t)))
+    """Tags removed, damaged encoding repaired, compatibility characters normalised (NFKC)."""
+    return text.map(lambda t: None if t is None else cleaned(t))
+
+
+@F.pandas_udf(StringType())
+def _clean_pair(title: pd.Series, body: pd.Series) -> pd.Series:
+    return pd.Series([None if t is None or b is None else f"{cleaned(t)}\n{cleaned(b)}" for t, b in zip(title, body)], dtype=object)
 
 
 def merge_title_body(title: Column, body: Column, dummy_prefix: str) -> Column:
     """Cleaned title and body in one text; an auto-generated body counts as empty."""
-    real = F.when(body.startswith(dummy_prefix), F.lit("")).otherwise(body)
-    return F.concat(clean_text(title), F.lit("\n"), clean_text(real))
+    return _clean_pair(title, F.when(body.startswith(dummy_prefix), F.lit("")).otherwise(body))
 
 
 def tokens(text: Column | str) -> Column:

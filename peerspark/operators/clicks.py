@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw
-from .prefix import (US_PER_DAY, US_PER_HOUR, content_bucket, first_k_per_key, prefix_aggregate, running_number,
-                     time_bucket)
+from .prefix import (DEPTH_ROWS, Depth, US_PER_DAY, US_PER_HOUR, content_bucket, first_k_per_key, prefix_aggregate,
+                     running_number, running_total, state_at, time_bucket)
 
 _N = lambda cond: F.sum(F.when(cond, 1).otherwise(0)).cast("long")
 _ONE = "*"
@@ -160,12 +160,14 @@ def initiation_share(inits: DataFrame, recs: DataFrame, start_us: int, end_us: i
 
 
 def pre_post(points: DataFrame, events: DataFrame, on: str, back_us: int, front_us: int) -> DataFrame:
-    """Events in [t - back, t] and [t, t + front] per point, both closed; 0 when none."""
-    e = events.select(on, F.col("us").alias("_e"))
-    gap = F.col("_e") - F.col("us")
-    hit = points.join(e, on).filter(gap.between(-back_us, front_us))
-    n = hit.groupBy(*points.columns).agg(_N(gap.between(-back_us, 0)).alias("n_pre"), _N(gap.between(0, front_us)).alias("n_post"))
-    return points.join(n, points.columns, "left").fillna(0, ["n_pre", "n_post"])
+    """Events in [t - back, t] and [t, t + front] per point, both closed; 0 when none. Points must be distinct.
+
+    Each end of a window is asked for the number of events before it; a window's count is a difference of two."""
+    t = F.col("us")
+    ends = F.array(*[F.struct(at.cast("long").alias("_at"), F.lit(pre).alias("_pre"), F.lit(post).alias("_post"))
+                     for at, pre, post in ((t + 1, 1, 0), (t - back_us, -1, 0), (t + front_us + 1, 0, 1), (t, 0, -1))])
+    run = state_at(points.select("*", F.inline(ends)), events, [on], {"_n": ("sum", F.lit(1).cast("long"))}, "_at", depth=DEPTH_ROWS)
+    return run.groupBy(*points.columns).agg(F.sum(F.col("_n") * F.col("_pre")).alias("n_pre"), F.sum(F.col("_n") * F.col("_post")).alias("n_post"))
 
 
 def directed_dyads(comments: DataFrame, recs: DataFrame, authors: DataFrame) -> DataFrame:
@@ -192,7 +194,10 @@ def undirected_dyads(dyads: DataFrame) -> DataFrame:
     per = dyads.groupBy(lo.alias("user_a"), hi.alias("user_b")).agg(
         _N(F.col("direction") == "to_author").alias("n_to_author"),
         _N(F.col("direction") == "to_participant").alias("n_to_participant"), F.count(_ONE).alias("n_comments"))
-    return running_number(per, [], F.floor(F.col("user_a") / 64).cast("long"), ["user_a", "user_b"], "dyad_id")
+    # a user's number of pairs is known before they are ordered, so that one of many pairs is no task of its own
+    users = running_total(per.groupBy("user_a").agg(F.count(_ONE).alias("_n")), [], Depth(F.col("user_a"), 64), ["user_a"], "_n", "_before")
+    own = running_number(per, ["user_a"], Depth(F.col("user_b"), 64), ["user_b"], "_rn")
+    return own.join(users.select("user_a", "_before"), "user_a").withColumn("dyad_id", F.coalesce("_before", F.lit(0)) + F.col("_rn")).drop("_before", "_rn")
 
 
 def role_labels(comments: DataFrame, authors: DataFrame, participants: DataFrame, rec_sites: DataFrame) -> DataFrame:

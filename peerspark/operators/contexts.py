@@ -8,7 +8,7 @@ from ..functions.draws import draw
 from .prefix import ACTIVE_WINDOW_US, bucket_width, running_number, state_at, time_bucket
 from .state import active_predicate, activity_days, first_update
 
-SALTS = 16
+BLOCK_SIDE = 2048  # contexts, and users, in a block of a day
 
 
 def contexts_from(inits: DataFrame, start_us: int) -> DataFrame:
@@ -62,46 +62,54 @@ def target_users(ctx: DataFrame, usps: DataFrame) -> DataFrame:
     return ctx.join(u, "target_site").filter(F.col("elig_us") < F.col("us")).drop("elig_us")
 
 
-def _salted(ctx: DataFrame, days: DataFrame, salts: int) -> DataFrame:
-    """Contexts joined to users that may be active on their day; a busy day is split by salt."""
-    c = ctx.withColumn("day", time_bucket("us")).withColumn("salt", F.pmod(F.xxhash64("metadata_id"), F.lit(salts)))
-    d = days.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    return c.join(d, ["day", "salt"])
+def _in_blocks(ctx: DataFrame, days: DataFrame, side: int) -> DataFrame:
+    """Contexts joined to users that may be active on their day. A day is a matrix of blocks, as many rows and columns
+    as its contexts and users need for ``side`` of each in a block; a block is one key of the join."""
+    c = ctx.withColumn("day", time_bucket("us"))
+    n = lambda df, name: df.groupBy("day").agg(F.ceil(F.count(F.lit(1)) / side).cast("int").alias(name))
+    shape = n(c, "_rows").join(n(days, "_cols"), "day")  # one row a day
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    own = lambda key, k: F.pmod(F.xxhash64(key), F.col(k)).cast("int")
+    left = c.join(shape, "day").withColumn("_row", own("metadata_id", "_rows")).withColumn("_col", each("_cols")).drop("_rows", "_cols")
+    right = days.join(shape, "day").withColumn("_col", own("user_id", "_cols")).withColumn("_row", each("_rows")).drop("_rows", "_cols")
+    return left.join(right, ["day", "_row", "_col"]).drop("_row", "_col")
 
 
-def active_eligible_users(ctx: DataFrame, usps: DataFrame, activity: DataFrame, salts: int = SALTS,
+def active_eligible_users(ctx: DataFrame, usps: DataFrame, activity: DataFrame, side: int = BLOCK_SIDE,
                           window_us: int = ACTIVE_WINDOW_US) -> DataFrame:
     """(context, user) for other users both eligible and active at the context's time."""
     el = usps.filter(F.col("elig_us").isNotNull()).groupBy("user_id").agg(F.min("elig_us").alias("elig_us"))
     days = activity_days(activity.join(el.select("user_id"), "user_id", "left_semi"), window_us).join(el, "user_id")
-    return (_salted(ctx, days, salts)
+    return (_in_blocks(ctx, days, side)
             .filter((F.col("user_id") != F.col("source")) & (F.col("elig_us") < F.col("us"))
                     & active_predicate(F.col("us"), window_us))
             .select(*ctx.columns, F.col("user_id").alias("cand_user")))
 
 
-def coauthor_times(usps: DataFrame) -> DataFrame:
-    """(user, user) pairs eligible on a common site, with the time both first were."""
+def coauthor_times(usps: DataFrame, sources: DataFrame | None = None) -> DataFrame:
+    """(user, user) pairs eligible on a common site, with the time both first were; only of the users in ``sources``
+    (source), where given."""
     e = usps.filter(F.col("elig_us").isNotNull())
     a = e.select("site_id", F.col("user_id").alias("source"), F.col("elig_us").alias("_a"))
+    a = a if sources is None else a.join(sources.select("source").distinct(), "source", "left_semi")
     b = e.select("site_id", F.col("user_id").alias("cand_user"), F.col("elig_us").alias("_b"))
     return (a.join(b, "site_id").filter(F.col("source") != F.col("cand_user"))
             .groupBy("source", "cand_user").agg(F.min(F.greatest("_a", "_b")).alias("coauthor_us")))
 
 
-def flag_candidates(pairs: DataFrame, usps: DataFrame, edge: DataFrame) -> DataFrame:
+def flag_candidates(pairs: DataFrame, usps: DataFrame, edge: DataFrame, sources: DataFrame | None = None) -> DataFrame:
     """Add the reasons a (context, user) pair is not a candidate: target author, co-author, connected."""
     tgt = usps.select(F.col("site_id").alias("target_site"), F.col("user_id").alias("cand_user"), F.col("elig_us").alias("_t"))
     ed = edge.select(F.col("src").alias("source"), F.col("dst").alias("cand_user"), F.col("edge_us").alias("_e"))
     before = lambda c: F.coalesce(F.col(c) < F.col("us"), F.lit(False))
     return (pairs.join(tgt, ["target_site", "cand_user"], "left")
-            .join(coauthor_times(usps), ["source", "cand_user"], "left").join(ed, ["source", "cand_user"], "left")
+            .join(coauthor_times(usps, sources), ["source", "cand_user"], "left").join(ed, ["source", "cand_user"], "left")
             .select(*pairs.columns, before("_t").alias("is_target_author"),
                     before("coauthor_us").alias("is_coauthor"), before("_e").alias("is_connected")))
 
 
 def candidate_users(ctx: DataFrame, usps: DataFrame, activity: DataFrame, edge: DataFrame) -> DataFrame:
-    flagged = flag_candidates(active_eligible_users(ctx, usps, activity), usps, edge)
+    flagged = flag_candidates(active_eligible_users(ctx, usps, activity), usps, edge, ctx)
     return flagged.filter(~F.col("is_target_author") & ~F.col("is_coauthor") & ~F.col("is_connected")).select(
         *ctx.columns, "cand_user")
 
@@ -164,14 +172,14 @@ def candidate_counts(ctx: DataFrame, usps: DataFrame, activity: DataFrame, edge:
     n_ed = state_at(n_el, edge.select(F.col("src").alias("source"), F.col("edge_us").alias("us")), ["source"], one
                     ).withColumnRenamed("_n", "n_existing_initiations")
     tgt = target_users(ctx, usps).select("metadata_id", F.col("target_user").alias("u"), F.lit(1).alias("t"), F.lit(0).alias("c"))
-    co = coauthor_times(usps)
+    co = coauthor_times(usps, ctx)
     co = ctx.join(co, "source").filter(F.col("coauthor_us") < F.col("us")).select(
         "metadata_id", F.col("cand_user").alias("u"), F.lit(0).alias("t"), F.lit(1).alias("c"))
     # a co-author who is also a target author counts only as target author
     excl = (tgt.unionByName(co).groupBy("metadata_id", "u").agg(F.max("t").alias("t"), F.max("c").alias("c"))
             .groupBy("metadata_id").agg(F.sum("t").alias("n_target_users"),
                                         F.sum(F.when(F.col("t") == 0, F.col("c")).otherwise(0)).alias("n_eligible_coauthors")))
-    fl = flag_candidates(active_eligible_users(ctx, usps, activity), usps, edge)
+    fl = flag_candidates(active_eligible_users(ctx, usps, activity), usps, edge, ctx)
     ok = ~F.col("is_target_author") & ~F.col("is_coauthor")
     act = fl.groupBy("metadata_id").agg(
         F.sum(ok.cast("long")).alias("_active_ok"),

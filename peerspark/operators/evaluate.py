@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .prefix import US_PER_DAY, content_bucket, first_k_per_key, grouped_quantiles
@@ -44,6 +46,14 @@ def segment_metrics(targets: DataFrame, segments: list[str]) -> DataFrame:
     return cube.select(*[F.coalesce(F.col(s).cast("long"), F.lit(-1)).alias(s) for s in segments], "mrr", "hr5", "n")
 
 
+def zero_degree_metrics(ranks: DataFrame, targets: DataFrame) -> DataFrame:
+    """Metrics per model of contexts with and without a target author whom nobody (in), or who nobody else (out), had
+    turned to: the least degrees of a context's target authors (metadata_id, indegree, outdegree) tell its segment."""
+    least = targets.groupBy("metadata_id").agg(*[(F.min(f"{side}degree") == 0).cast("long").alias(f"zero_{side}degree") for side in ("in", "out")])
+    return ranks.join(least, "metadata_id").groupBy("zero_indegree", "zero_outdegree", "model").agg(
+        F.count(F.lit(1)).alias("n"), F.avg(1.0 / F.col("target_rank")).alias("mrr"), _hit(5).alias("hr5"))
+
+
 def leaderboard(metrics: DataFrame, higher: list[str], lower: list[str], key: str = "model") -> DataFrame:
     """Average-tie integer rank of each model per metric and the mean of those ranks. One row per
     model goes in, so the windows are as small as the model list."""
@@ -62,14 +72,21 @@ def replicate_summary(runs: DataFrame, key: str, metric: str) -> DataFrame:
     return ends.join(grouped_quantiles(runs, [key], metric, {"median": 0.5}), key)
 
 
-def site_coverage(ranked: DataFrame, tops: tuple[int, ...] = (5, 100, 1000), sample: bool = False) -> DataFrame:
-    """Rank statistics per (model, site) in one mergeable aggregation."""
-    r = F.col("rnk")
-    return ranked.groupBy("model", "site_id").agg(
+def site_rank_stats(ranks: DataFrame, models: list[str], stats: Callable[[Column], list[Column]]) -> DataFrame:
+    """Statistics of the rank columns (``scoring.model_ranks``) per (model, site): all models in one mergeable
+    aggregation by site, a row for each model only after it."""
+    each = [F.struct(F.lit(m).alias("model"), *stats(F.col(f"rank_{m}"))).alias(m) for m in models]
+    wide = ranks.groupBy("site_id").agg(*each)
+    return wide.select("site_id", F.inline(F.array(*models)))
+
+
+def site_coverage(ranks: DataFrame, models: list[str], tops: tuple[int, ...] = (5, 100, 1000), sample: bool = False) -> DataFrame:
+    """Rank statistics per (model, site)."""
+    return site_rank_stats(ranks, models, lambda r: [
         F.count(F.lit(1)).alias("n"), F.avg(r).alias("mean"),
         (F.coalesce(F.var_samp(r), F.lit(0.0)) if sample else F.var_pop(r)).alias("var"),
         F.min(r).alias("best"), F.max(r).alias("worst"),
-        *[F.sum((r <= t).cast("long")).alias(f"n_top_{t}") for t in tops])
+        *[F.sum((r <= t).cast("long")).alias(f"n_top_{t}") for t in tops]])
 
 
 def coverage_curve(coverage: DataFrame, tops: tuple[int, ...] = (5, 100, 1000)) -> DataFrame:
@@ -137,9 +154,8 @@ def exposure_by_prior_initiation(recs: DataFrame, initiators: DataFrame, user: s
         F.sum((F.col("n_times") == 1).cast("long")).alias("n_sites_once"))
 
 
-def appearance_table(ranked: DataFrame, sites: DataFrame) -> DataFrame:
+def appearance_table(ranks: DataFrame, models: list[str], sites: DataFrame) -> DataFrame:
     """Top-1/5/10 appearances and mean rank per site with its visits."""
-    r = F.col("rnk")
-    per = ranked.groupBy("model", "site_id").agg(
-        *[F.sum((r <= t).cast("long")).alias(f"top{t}") for t in (1, 5, 10)], F.avg(r).alias("mean_rank"))
+    per = site_rank_stats(ranks, models, lambda r: [
+        *[F.sum((r <= t).cast("long")).alias(f"top{t}") for t in (1, 5, 10)], F.avg(r).alias("mean_rank")])
     return per.join(sites.select("site_id", "name", "visits"), "site_id")

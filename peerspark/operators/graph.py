@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
-from .prefix import bucket_width, running_number, state_at, time_bucket
+from .prefix import DEPTH_ROWS, bucket_width, running_number, state_at, time_bucket
 
 
 def edges(inits: DataFrame, usps: DataFrame, drop_self_edges: bool = False) -> DataFrame:
@@ -25,7 +25,7 @@ def degrees_at(points: DataFrame, edge: DataFrame, user: str = "user_id") -> Dat
             .unionByName(edge.select(F.col("src").alias(user), F.col("edge_us").alias("us"),
                                      F.lit(0).alias("i"), F.lit(1).alias("o"))))
     return state_at(points, both, [user], {"indegree": ("sum", F.col("i").cast("long")),
-                                           "outdegree": ("sum", F.col("o").cast("long"))})
+                                           "outdegree": ("sum", F.col("o").cast("long"))}, depth=DEPTH_ROWS)
 
 
 def components(edge: DataFrame, layer: list[str] | None = None) -> DataFrame:
@@ -150,20 +150,35 @@ def reciprocal(pairs: DataFrame, edge: DataFrame, source: str = "source", target
         "is_reciprocal", F.coalesce((F.col("_e") < F.col(at)).cast("long"), F.lit(0).cast("long"))).drop("_e")
 
 
-def two_hop_times(pairs: DataFrame, edge: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+def _through(want: DataFrame, near: DataFrame, far: DataFrame, end: str, other: str, degree: str, part: int) -> DataFrame:
+    """Paths of the wanted pairs over the edges of ``end``. A node's edges lie in parts of about ``part``, each of which
+    meets the node's pairs on its own."""
+    parts = F.ceil(F.col(degree) / part).cast("int")
+    sizes = near.groupBy(end).agg(F.count(F.lit(1)).alias(degree))
+    dealt = near.join(sizes, end).withColumn("_part", F.pmod(F.xxhash64("_mid"), parts).cast("int")).drop(degree)
+    asked = want.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return asked.join(dealt, [end, "_part"]).join(far, ["_mid", other]).select("src", "dst", F.greatest("_a", "_b").alias("path_us"))
+
+
+def two_hop_times(pairs: DataFrame, edge: DataFrame, source: str = "src", target: str = "dst", part: int = 4096) -> DataFrame:
     """Earliest time a 1- or 2-hop path source -> target is complete, for the given distinct pairs.
 
-    The pairs are joined to the source's edges first and to the exact edge (middle, target)
-    second, so only middles of wanted pairs appear; a hub is never squared.
+    A pair's middles are looked for among the edges of its end of lower degree, and confirmed by the exact
+    edge to the other end: it costs the smaller of the two degrees, and a hub on one side costs nothing. The
+    edges of a node that is heavy all the same are met in parts. Pairs with an end without edges have no path.
     """
-    want = pairs.select(source, target).distinct()
-    one = edge.select(F.col("src").alias(source), F.col("dst").alias(target), F.col("edge_us").alias("path_us"))
-    out = edge.select(F.col("src").alias(source), F.col("dst").alias("_mid"), F.col("edge_us").alias("_a"))
-    inn = edge.select(F.col("src").alias("_mid"), F.col("dst").alias(target), F.col("edge_us").alias("_b"))
-    two = (want.join(out, source).join(inn, ["_mid", target])
-           .groupBy(source, target).agg(F.min(F.greatest("_a", "_b")).alias("path_us")))
-    return (want.join(one, [source, target]).select(source, target, "path_us").unionByName(two)
-            .groupBy(source, target).agg(F.min("path_us").alias("path_us")))
+    want = pairs.select(F.col(source).alias("src"), F.col(target).alias("dst")).distinct()
+    n_out = edge.groupBy("src").agg(F.count(F.lit(1)).alias("_out"))
+    n_in = edge.groupBy("dst").agg(F.count(F.lit(1)).alias("_in"))
+    sized = want.join(n_out, "src").join(n_in, "dst")
+    out = edge.select("src", F.col("dst").alias("_mid"), F.col("edge_us").alias("_a"))
+    inn = edge.select(F.col("src").alias("_mid"), "dst", F.col("edge_us").alias("_b"))
+    lean = F.col("_out") <= F.col("_in")
+    two = _through(sized.filter(lean).drop("_in"), out, inn, "src", "dst", "_out", part).unionByName(
+        _through(sized.filter(~lean).drop("_out"), inn, out, "dst", "src", "_in", part))
+    one = want.join(edge.select("src", "dst", F.col("edge_us").alias("path_us")), ["src", "dst"])
+    return (one.unionByName(two).groupBy(F.col("src").alias(source), F.col("dst").alias(target))
+            .agg(F.min("path_us").alias("path_us")))
 
 
 def mutual_fof(pairs: DataFrame, edge: DataFrame, source: str = "source", target: str = "cand_user",

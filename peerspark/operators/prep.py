@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.draws import draw
-from .prefix import (US_PER_DAY, US_PER_HOUR, first_k_per_key, grouped_quantiles, running_number, state_at, time_bucket)
+from .prefix import (DEPTH_ROWS, US_PER_DAY, US_PER_HOUR, first_k_per_key, grouped_quantiles, running_number, state_at, time_bucket)
 
 
 def published_updates(journals: DataFrame, lo_us: int, hi_us: int) -> DataFrame:
@@ -108,7 +108,7 @@ def local_to_us(text: str, zone: str = "America/Chicago") -> tuple[Column, Colum
 
 def reaction_delays(reactions: DataFrame, journals: DataFrame) -> DataFrame:
     """Delay from the site's latest update to each reaction, never negative."""
-    seen = state_at(reactions, journals, ["site_id"], {"_last": ("max", F.col("us"))})
+    seen = state_at(reactions, journals, ["site_id"], {"_last": ("max", F.col("us"))}, depth=DEPTH_ROWS)
     return seen.filter(F.col("_last").isNotNull()).withColumn("delay_us", F.greatest(F.col("us") - F.col("_last"), F.lit(0))).drop("_last")
 
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import vectors as V
+from ..functions.draws import draw
 from .features import USER_FEATURES, vector
 from .prefix import ACTIVE_WINDOW_US, US_PER_HOUR, first_k_per_key, prefix_aggregate, value_bucket, window_state_at
 
@@ -51,7 +52,7 @@ def baseline_scores(cands: DataFrame, users: DataFrame, sites: DataFrame) -> Dat
 
 def random_score(seed: int, *keys: str) -> Column:
     """Seeded uniform score in [0, 1)."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    return draw(seed, *keys).cast("double") / F.lit(float(1 << 52))
 
 
 def cosine_scores(cands: DataFrame, users: DataFrame, cols: list[str] = USER_FEATURES) -> DataFrame:
@@ -95,6 +96,35 @@ def rank_worst_ties(scored: DataFrame, keys: list[str], score: str = "score", na
                             {name: ("sum", F.lit(1).cast("long"))}, ("range", 0))
 
 
+def model_ranks(sites: DataFrame, models: list[str], keys: list[str], heavy: int = 1 << 20) -> DataFrame:
+    """One column rank_<model> per model beside its score, ranked as by ``rank_worst_ties``, for all models at once.
+
+    Rows meet once by key and are ordered there for each model. Keys of more than ``heavy`` rows (few: each
+    holds that many) are ranked over score buckets instead, one model after the other.
+    """
+    hot = sites.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > heavy).drop("_n")
+    names = {m: f"rank_{m}" for m in models}
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        window = W.partitionBy(*keys)
+        return rows.select("*", *[F.count(F.lit(1)).over(window.orderBy(F.col(m).desc()).rangeBetween(W.unboundedPreceding, 0)).alias(n)
+                                  for m, n in names.items()])
+
+    if hot.isEmpty():
+        return ranked(sites)
+    rest = sites.join(hot, keys, "left_semi")
+    for m, n in names.items():
+        rest = rank_worst_ties(rest, keys, m, n)
+    return ranked(sites.join(hot, keys, "left_anti")).unionByName(rest)
+
+
+def by_model_ranked(ranks: DataFrame, models: list[str]) -> DataFrame:
+    """One row per model with its score and rank."""
+    gone = [*models, *[f"rank_{m}" for m in models]]
+    items = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score"), F.col(f"rank_{m}").alias("rnk")) for m in models])
+    return ranks.select(*[c for c in ranks.columns if c not in gone], F.inline(items))
+
+
 def target_metrics(ranked: DataFrame, keys: list[str]) -> DataFrame:
     hit = F.col("is_target") == 1
     return ranked.groupBy(*keys).agg(F.min(F.when(hit, F.col("rnk"))).alias("target_rank"),

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .prefix import (ACTIVE_WINDOW_US, US_PER_DAY, US_PER_HOUR, first_k_per_key, prefix_aggregate, running_number,
+from .prefix import (ACTIVE_WINDOW_US, DEPTH_ROWS, US_PER_DAY, US_PER_HOUR, first_k_per_key, prefix_aggregate, running_number,
                      state_at, time_bucket, window_state_at)
 
 ACTIVITY_TYPES = ("journal", "amp", "comment", "guestbook")
@@ -40,7 +40,7 @@ def rolling_activity(points: DataFrame, activity: DataFrame, on: list[str],
     return window_state_at(
         points, activity, on,
         {f"n_{a}": F.when(is_(a), 1).otherwise(0).cast("long") for a in ACTIVITY_TYPES},
-        {f"last_{a}_us": F.when(is_(a), F.col("us")) for a in ACTIVITY_TYPES}, window_us=window_us)
+        {f"last_{a}_us": F.when(is_(a), F.col("us")) for a in ACTIVITY_TYPES}, window_us=window_us, depth=DEPTH_ROWS)
 
 
 def active_ids(activity: DataFrame, at_us: int, key: str = "user_id", window_us: int = ACTIVE_WINDOW_US) -> DataFrame:
@@ -104,10 +104,11 @@ def last_k_updates(points: DataFrame, journals: DataFrame, k: int = 3, inclusive
         "pos", F.col("seq") - F.greatest(F.col("n_seen") - k, F.lit(0))).drop("seq")
 
 
-def merge_visible(interactions: DataFrame, journals: DataFrame, on: list[str]) -> DataFrame:
-    """For each interaction, the updates strictly before it: how many and the latest."""
+def merge_visible(interactions: DataFrame, journals: DataFrame, on: list[str], ties: str = "time") -> DataFrame:
+    """For each interaction, the updates strictly before it: how many and the latest. With ``ties`` = "sequence",
+    of updates at its own time those with a smaller event_id are before it."""
     return state_at(interactions, journals, on, {
-        "n_updates_before": ("sum", F.lit(1).cast("long")), "last_update_us": ("max", F.col("us"))})
+        "n_updates_before": ("sum", F.lit(1).cast("long")), "last_update_us": ("max", F.col("us"))}, depth=DEPTH_ROWS, ties=ties)
 
 
 def assign_period(df: DataFrame, start_us: int, test_us: int, split_us: int) -> DataFrame:

@@ -111,6 +111,17 @@ def _(spark, d):
         "vec_id", "n", F.floor(F.col("i") / 16).cast("long").alias("matrix_row")).agg(F.round(F.sum(F.col("x").cast("double")), 5).alias("row_sum"))
 
 
+@query("io5_point_lookup", "SELECT vec_id, label, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings, (SELECT max(vec_id) AS m FROM embeddings) WHERE vec_id IN (m, m // 2, 0)")
+def _(spark, d):
+    """Three vectors by id, out of a table bucketed by it."""
+    v = X.table(spark, d, "embeddings")
+    name = f"vectors_{uuid.uuid4().hex[:12]}"
+    sinks.write_lookup(v, name, _scratch(spark, "lookup"), "vec_id", 32)
+    most = spark.table(name).agg(F.max("vec_id")).first()[0]
+    return tables.lookup(spark, name, "vec_id", sorted({most, most // 2, 0})).select(
+        "vec_id", "label", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+
+
 @query("io6_append_with_ids", "SELECT row_number() OVER (ORDER BY CASE event_type WHEN 'view' THEN 0 ELSE 1 END, event_id) - 1 AS metadata_id, event_id FROM ev WHERE event_type IN ('view', 'error')")
 def _(spark, d):
     path = _scratch(spark, "io6")
@@ -136,6 +147,16 @@ def _(spark, d):
     return sinks.drop_orphans(c, v, ["a"], "click")[1].select("feature_id")
 
 
+@query("io8_overwrite_in_place", "SELECT event_type, event_id, CASE WHEN event_type = 'view' THEN value + 1 ELSE value END AS value FROM ev WHERE event_type <> 'error'")
+def _(spark, d):
+    """A table by event type: written, then one part recomputed from itself and one removed."""
+    e = X.events(spark, d).select("event_type", "event_id", "value")
+    kept = sinks.PartTable(spark, _scratch(spark, "parts"), "event_type")
+    kept.overwrite(e)
+    kept.overwrite(kept.read(e.schema).filter("event_type = 'view'").withColumn("value", F.col("value") + 1), drop=["error"])
+    return kept.read(e.schema)
+
+
 @query("io9_latest_wins", """WITH f AS (SELECT CASE WHEN k % 23 = 0 THEN NULL ELSE user_id * 100 + k END AS metadata_id, CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1 END AS file_seq, event_id, value FROM ev)
 SELECT metadata_id, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY metadata_id ORDER BY file_seq DESC, event_id DESC) AS rn FROM f WHERE metadata_id IS NOT NULL) WHERE rn = 1""")
 def _(spark, d):

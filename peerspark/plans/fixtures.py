@@ -68,7 +68,7 @@ def sites(spark: SparkSession, d: str) -> DataFrame:
         F.max(F.when(F.col("event_type").isin("signup", "purchase"), F.col("us"))).alias("last_update_us"),
     ).select(
         "*", F.concat(F.lit("name"), (s % 150).cast("string")).alias("name"),
-        F.when(s % 11 == 0, 1).otherwise(0).alias("is_spam"),
+        F.when(s % 41 == 0, 1).otherwise(0).alias("is_spam"),
         F.when(s % 13 == 0, "1").otherwise("0").alias("is_deleted"),
         F.when(s % 7 == 0, "high").otherwise("low").alias("privacy"),
         F.when(s % 17 == 0, "0").otherwise("1").alias("is_searchable"),
@@ -112,7 +112,7 @@ sites AS (SELECT site_id, count(*) AS visits,
           CAST(sum(CASE WHEN event_type IN ('signup','purchase') THEN 1 ELSE 0 END) AS BIGINT) AS num_journals,
           min(us) AS created_us, max(CASE WHEN event_type IN ('signup','purchase') THEN us END) AS last_update_us,
           'name' || CAST(site_id % 150 AS VARCHAR) AS name,
-          CASE WHEN site_id % 11 = 0 THEN 1 ELSE 0 END AS is_spam,
+          CASE WHEN site_id % 41 = 0 THEN 1 ELSE 0 END AS is_spam,
           CASE WHEN site_id % 13 = 0 THEN '1' ELSE '0' END AS is_deleted,
           CASE WHEN site_id % 7 = 0 THEN 'high' ELSE 'low' END AS privacy,
           CASE WHEN site_id % 17 = 0 THEN '0' ELSE '1' END AS is_searchable,

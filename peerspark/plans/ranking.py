@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql
 from ..operators import contexts as C, evaluate as E, features as FE, graph as G, scoring as SC, state as S
 from ..operators.prefix import US_PER_DAY, grouped_quantiles
 from ..session import cut_lineage
@@ -103,9 +104,10 @@ class Ranking(World):
     def scores(self):
         return SC.by_model(self.site_scores, SC.BASELINES)
 
-    @property
-    def ranked(self):
-        return SC.rank_worst_ties(self.scores, ["model", "metadata_id"])
+    @cached_property
+    def ranks(self):
+        """One row per (context, site) with the ranks of all models."""
+        return cut_lineage(SC.model_ranks(self.site_scores, SC.BASELINES, ["metadata_id"]))
 
     @cached_property
     def target_ranks(self):
@@ -207,11 +209,13 @@ for _k, _m in (("s9_closest_to_start", "ClosestToStart"), ("s10_most_initiated_w
     _baseline(_k, _m)
 
 
-@query("s15_random_baseline")
+@query("s15_random_baseline", f"""WITH r AS (SELECT metadata_id, cand_site AS site_id, max({draw_sql(3, "metadata_id", "cand_user", "cand_site")} / {float(1 << 52)}) AS score FROM cand GROUP BY 1, 2)
+SELECT 'Random' AS model, metadata_id, site_id, round(score, 9) AS score, count(*) OVER (PARTITION BY metadata_id ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rnk FROM r""")
 def _(spark, d):
     w = Ranking.of(spark, d)
     scored = w.candidates.withColumn("Random", SC.random_score(3, "metadata_id", "cand_user", "cand_site"))
-    return SC.rank_worst_ties(SC.by_model(SC.reduce_to_sites(scored, ["Random"]), ["Random"]), ["model", "metadata_id"])
+    ranks = SC.model_ranks(SC.reduce_to_sites(scored, ["Random"]), ["Random"], ["metadata_id"])
+    return SC.by_model_ranked(ranks, ["Random"]).withColumn("score", F.round("score", 9))
 
 
 @query("s1_s2_site_scores", f"WITH {_SCORES} SELECT model, metadata_id, site_id, is_target, round(score, 6) AS score FROM scores")
@@ -221,7 +225,7 @@ def _(spark, d):
 
 @query("s3_ranks", f"WITH {_RANKED} SELECT model, metadata_id, site_id, rnk FROM ranked")
 def _(spark, d):
-    return Ranking.of(spark, d).ranked.select("model", "metadata_id", "site_id", "rnk")
+    return SC.by_model_ranked(Ranking.of(spark, d).ranks, SC.BASELINES).select("model", "metadata_id", "site_id", "rnk")
 
 
 @query("s4_target_metrics", f"WITH {_RANKED} SELECT model, metadata_id, target_rank, round(target_score, 6) AS target_score FROM tr")
@@ -293,6 +297,15 @@ def _(spark, d):
     return out.select("user_in_train", "site_in_train", "first_initiation", *r6("mrr", "hr5"), "n")
 
 
+@query("e4_zero_degree_segments", f"""WITH {_RANKED}, t AS (SELECT t.metadata_id, min(f.indegree) AS i, min(f.outdegree) AS o FROM tgt_usps t JOIN feat f ON f.user_id = t.target_user AND f.us = t.us GROUP BY 1)
+SELECT CAST(i = 0 AS BIGINT) AS zero_indegree, CAST(o = 0 AS BIGINT) AS zero_outdegree, model, count(*) AS n, round(avg(1.0 / target_rank), 6) AS mrr, round(avg(CASE WHEN target_rank <= 5 THEN 100.0 ELSE 0 END), 6) AS hr5
+FROM tr JOIN t USING (metadata_id) GROUP BY 1, 2, 3""")
+def _(spark, d):
+    w = Ranking.of(spark, d)
+    degrees = w.users.select(F.col("user_id").alias("target_user"), "us", "indegree", "outdegree")
+    return E.zero_degree_metrics(w.target_ranks, w.targets.join(degrees, ["target_user", "us"])).withColumns({"mrr": F.round("mrr", 6), "hr5": F.round("hr5", 6)})
+
+
 _RK = lambda m, o: f"CAST(floor(rank() OVER (ORDER BY {m} {o}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2.0) AS BIGINT) AS {m}_ranking"
 
 
@@ -319,13 +332,13 @@ def _(spark, d):
  CAST(sum(CASE WHEN rnk <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS n_top_5, CAST(sum(CASE WHEN rnk <= 100 THEN 1 ELSE 0 END) AS BIGINT) AS n_top_100, CAST(sum(CASE WHEN rnk <= 1000 THEN 1 ELSE 0 END) AS BIGINT) AS n_top_1000
 FROM ranked GROUP BY 1, 2""")
 def _(spark, d):
-    return E.site_coverage(Ranking.of(spark, d).ranked).withColumns({"mean": F.round("mean", 6), "var": F.round(F.col("var") + 1e-7, 4)})
+    return E.site_coverage(Ranking.of(spark, d).ranks, SC.BASELINES).withColumns({"mean": F.round("mean", 6), "var": F.round(F.col("var") + 1e-7, 4)})
 
 
 @query("e8_coverage_curve", f"""WITH {_RANKED}, c AS (SELECT model, site_id, min(rnk) AS b FROM ranked GROUP BY 1, 2)
 SELECT model, count(*) AS n_sites, """ + ", ".join(f"CAST(sum(CASE WHEN b <= {t} THEN 1 ELSE 0 END) AS BIGINT) AS sites_top_{t}" for t in (5, 100, 1000)) + " FROM c GROUP BY 1")
 def _(spark, d):
-    return E.coverage_curve(E.site_coverage(Ranking.of(spark, d).ranked))
+    return E.coverage_curve(E.site_coverage(Ranking.of(spark, d).ranks, SC.BASELINES))
 
 
 @query("e9_top5_batches", f"WITH {_COV} SELECT model, metadata_id, site_id, pos FROM crecs")
@@ -392,6 +405,6 @@ def _(spark, d):
 SELECT t.*, s.name, s.visits, q.q25 FROM t JOIN sites s USING (site_id) JOIN (SELECT model, round(quantile_cont(visits, 0.25), 6) AS q25 FROM t JOIN sites USING (site_id) GROUP BY 1) q USING (model)""")
 def _(spark, d):
     w = Ranking.of(spark, d)
-    t = cut_lineage(E.appearance_table(w.ranked, X.sites(spark, d)))
+    t = cut_lineage(E.appearance_table(w.ranks, SC.BASELINES, X.sites(spark, d)))
     q = grouped_quantiles(t, ["model"], "visits", {"q25": 0.25}).withColumn("q25", F.round("q25", 6))
     return t.join(q, "model").withColumn("mean_rank", F.round("mean_rank", 6))

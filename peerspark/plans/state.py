@@ -6,6 +6,7 @@ from functools import cached_property
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import draw_sql
 from ..operators import contexts as C, graph as G, state as S
 from ..operators.prefix import US_PER_DAY
 from ..session import cut_lineage
@@ -278,16 +279,24 @@ def _(spark, d):
         "event_id", "user_id", "site_id", "period", "user_in_train", "site_in_train")
 
 
-@query("p19_negative_sampling")
+_TRIPLES = f"""prs AS (SELECT c.metadata_id, c.source, c.us, s.site_id AS source_site, t.target_user, t.target_site FROM ctx c JOIN usp_state s ON s.user_id = c.source AND s.elig_us < c.us JOIN tgt_usps t USING (metadata_id)),
+alt AS (SELECT metadata_id, cand_user AS alt_user, cand_site AS alt_site, row_number() OVER (PARTITION BY metadata_id ORDER BY cand_user, cand_site) AS i, count(*) OVER (PARTITION BY metadata_id) AS n FROM cand WHERE is_target = 0),
+trip AS (SELECT p.metadata_id, p.source, p.target_site, p.us, p.source_site, p.target_user, a.alt_user, a.alt_site FROM prs p JOIN alt a ON a.metadata_id = p.metadata_id
+ AND a.i = {draw_sql(7, "p.metadata_id", "p.source_site", "p.target_user", "p.target_site")} % a.n + 1)"""
+
+
+@query("p19_negative_sampling", f"WITH {_TRIPLES} SELECT * FROM trip")
 def _(spark, d):
     w = World.of(spark, d)
     return w.triples
 
 
-@query("p20_triples_from_test_contexts")
+@query("p20_triples_from_test_contexts", f"WITH {_TRIPLES} SELECT * FROM trip t WHERE us >= {X.TEST_START_US}" + "".join(
+    f" AND (SELECT count(*) FROM journals j WHERE j.user_id = t.{u} AND j.site_id = t.{s} AND j.us <= t.us) >= 3"
+    for u, s in (("source", "source_site"), ("target_user", "target_site"), ("alt_user", "alt_site"))))
 def _(spark, d):
-    w = World.of(spark, d)
     """Triples of the test period whose three pairs each have three updates before the context."""
+    w = World.of(spark, d)
     t = w.triples.filter(F.col("us") >= X.TEST_START_US)
     j = X.journals(spark, d)
     for u, s in (("source", "source_site"), ("target_user", "target_site"), ("alt_user", "alt_site")):
@@ -387,6 +396,16 @@ def _(spark, d):
         "event_id", "n_updates_before", F.coalesce("last_update_us", F.lit(-1)).alias("last_update_us"))
 
 
+@query("j2_visible_updates_by_sequence", f"""
+WITH a AS (SELECT event_id, site_id, us // {6 * HOUR} AS t, 1 AS point FROM ints UNION ALL SELECT event_id, site_id, us // {6 * HOUR}, 0 FROM journals)
+SELECT i.event_id, count(j.t) AS n_updates_before FROM a i LEFT JOIN a j ON j.site_id = i.site_id AND j.point = 0 AND (j.t < i.t OR (j.t = i.t AND j.event_id < i.event_id))
+WHERE i.point = 1 GROUP BY 1""")
+def _(spark, d):
+    """Times known to six hours only: what came before within them is told by the event number."""
+    coarse = lambda df: df.select("event_id", "site_id", F.floor(F.col("us") / (6 * HOUR)).cast("long").alias("us"))
+    return S.merge_visible(coarse(X.interactions(spark, d)), coarse(X.journals(spark, d)), ["site_id"], ties="sequence").select("event_id", "n_updates_before")
+
+
 @query("j4_candidates", "SELECT metadata_id, source, target_site, us, cand_user, cand_site, is_target FROM cand")
 def _(spark, d):
     w = World.of(spark, d)

@@ -309,6 +309,10 @@ SELECT CAST(w AS BIGINT) AS window_days, al.site_id, imp.was_clicked, round(coal
 def site_outcomes(spark, d, days, back=None):
     s = Study(spark, d)
     targets = cut_lineage(s.collapsed().filter("status <> 'unfilled'").select("site_id", F.col("first_click_us").alias("t0"), "was_clicked"))
+    return outcomes_of(s, targets, days, back)
+
+
+def outcomes_of(s, targets, days, back=None):
     pairs = s.recs.select(F.col("participant_id").alias("user_id"), "site_id")
     return O.site_outcomes(targets, s.journals, s.ints, s.visits, days, pairs, back)
 

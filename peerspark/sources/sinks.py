@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.prefix import running_number
 
@@ -26,6 +28,68 @@ def append_batch(df: DataFrame, path: str, order: str, id_col: str, batch_id: in
     with_ids(df, order, id_col, 0 if done is None else done + 1).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def write_lookup(df: DataFrame, name: str, path: str, key: str, buckets: int) -> None:
+    """A table for lookups by ``key``: bucketed and sorted by it, its files below ``path``."""
+    df.write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+
+
+class PartTable:
+    """A table of parts by a key column's value that is overwritten in place, part by part.
+
+    New parts are written beside the old ones, in folders of their own. The file ``current`` names the folder of
+    each part; it is replaced by one rename, so a reader finds the old parts or the new ones, and a run that
+    dies before the rename has changed nothing. A rerun then writes again; folders that no ``current`` names are
+    never read. The list holds a line per part. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+        self._jvm = spark._jvm.org.apache.hadoop.fs
+        self._conf = spark._jsc.hadoopConfiguration()
+
+    def _file(self, name: str):
+        return self._jvm.Path(f"{self.path}/{name}")
+
+    def parts(self) -> dict[str, str]:
+        """Folder by part, of the current state."""
+        files = self._file("current").getFileSystem(self._conf)
+        if not files.exists(self._file("current")):
+            return {}
+        rows = self.spark.read.text(f"{self.path}/current").collect()
+        return dict(r["value"].split("\t") for r in rows)
+
+    def write(self, df: DataFrame) -> dict[str, str]:
+        """Writes the parts that ``df`` has rows of, and returns their folders; nothing refers to them yet."""
+        folder = f"data-{uuid.uuid4().hex}"
+        df.withColumn("_part", F.hex(F.col(self.key).cast("string"))).write.partitionBy("_part").parquet(f"{self.path}/{folder}")
+        found = self._file(folder).getFileSystem(self._conf).listStatus(self._file(folder))
+        names = [f.getPath().getName() for f in found if f.isDirectory()]
+        return {n.removeprefix("_part="): f"{folder}/{n}" for n in names}
+
+    def swap(self, parts: dict[str, str]) -> None:
+        """Makes ``parts`` the current state, by one rename."""
+        draft = f"current-{uuid.uuid4().hex}"
+        files = self._file(draft).getFileSystem(self._conf)
+        out = files.create(self._file(draft))
+        out.write("".join(f"{k}\t{v}\n" for k, v in sorted(parts.items())).encode())
+        out.close()
+        context = self._jvm.FileContext.getFileContext(self._file(draft).getFileSystem(self._conf).getUri(), self._conf)
+        kind = self.spark._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename")
+        option = self.spark.sparkContext._gateway.new_array(getattr(self._jvm.Options, "Rename"), 1)
+        option[0] = self.spark._jvm.java.lang.Enum.valueOf(kind, "OVERWRITE")
+        context.rename(self._file(draft), self._file("current"), option)
+
+    def overwrite(self, df: DataFrame, drop: list[str] | None = None) -> None:
+        """Replaces the parts that ``df`` has rows of, and removes the parts in ``drop``; others stay."""
+        new = self.write(df)
+        gone = {v.encode().hex().upper() for v in drop or []}
+        self.swap({k: v for k, v in {**self.parts(), **new}.items() if k not in gone or k in new})
+
+    def read(self, schema) -> DataFrame:
+        folders = [f"{self.path}/{v}" for v in sorted(self.parts().values())]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+
 def dedup_vectors(vectors: DataFrame, key: str, vec: str) -> tuple[DataFrame, DataFrame]:
     """Dictionary of distinct vectors with dense ids in order of first appearance, and key -> id."""
     first = vectors.groupBy(vec).agg(F.min(key).alias("_first"), F.count("*").alias("n_uses"))

@@ -54,6 +54,11 @@ def check_vectors(df: DataFrame, sizes: dict[str, int]) -> DataFrame:
     return df
 
 
+def lookup(spark: SparkSession, name: str, key: str, ids: list) -> DataFrame:
+    """Rows of a lookup table with the given ids; only the buckets that can hold them are read."""
+    return spark.table(name).filter(F.col(key).isin(*ids))
+
+
 def latest_wins(files: DataFrame, key: str = "metadata_id") -> DataFrame:
     """Newest line of each id over several files (later file, then later line); id-less lines drop.
     ``max_by`` keeps one row per id and map task."""

@@ -29,8 +29,8 @@ def test_target_ranks_agree_with_full_ranking(spark):
 
 
 def test_coverage_of_one_ranking(spark):
-    df = spark.range(2000).select(F.lit("m").alias("model"), F.col("id").alias("site_id"), (F.col("id") + 1).alias("rnk"))
-    for x in EV.site_coverage(df).filter("site_id in (0, 4, 5, 1999)").collect():
+    df = spark.range(2000).select(F.col("id").alias("site_id"), (F.col("id") + 1).alias("rank_m"))
+    for x in EV.site_coverage(df, ["m"]).filter("site_id in (0, 4, 5, 1999)").collect():
         assert (x.n, x.mean, x.best, x.worst, x.var) == (1, x.site_id + 1, x.site_id + 1, x.site_id + 1, 0)
         assert x.n_top_5 == int(x.site_id < 5) and x.n_top_1000 == int(x.site_id < 1000)
 
