@@ -13,7 +13,6 @@ from .wordhash import U64, mix, word_slices
 UNKNOWN = "und"
 LONGEST = 32       # bytes of the longest piece
 CELLS = 4096 * 32  # of a byte matrix of words
-PLAIN = 16         # bytes up to which no sum of a word can vanish
 TINY = 1e-40       # sums below it are scaled up, their logarithm kept
 _STEP = U64(0x9E3779B97F4A7C55)
 _TURN = [U64(x) for x in (1, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
@@ -109,17 +108,22 @@ def _scaled(window: np.ndarray, offset: np.ndarray, rows: np.ndarray) -> None:
         offset += np.log(factor)
 
 
-def forward(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def plain_width(probs: np.ndarray) -> int:
+    """Bytes up to which no sum of a word can vanish, however improbable its pieces: every byte is one at least."""
+    return int(290 / max(1.0, -np.log10(probs[:-1].min()))) if probs[:-1].min() > 0 else 0
+
+
+def forward(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarray, plain: int = 0, arcs: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """alpha[position, row, model]: probability of the first bytes, summed over all segmentations, divided by the
     exponential of offset[position, row, model]. A word of any length is summed as a whole."""
     n, width = text.shape
-    alpha, offset = np.zeros((width + 1, n, probs.shape[1])), np.zeros((width + 1 if width > PLAIN else 1, n, probs.shape[1]))
+    alpha, offset = np.zeros((width + 1, n, probs.shape[1])), np.zeros((width + 1 if width > plain else 1, n, probs.shape[1]))
     alpha[0] = 1
     done = 0
-    for i, j, rows, ids in pieces.arcs(text, sizes):
+    for i, j, rows, ids in arcs or pieces.arcs(text, sizes):
         if i >= done + 8:  # every 8 positions: no piece is that improbable that sums vanish in between
             done = i
-            if width > PLAIN:
+            if width > plain:
                 _scaled(alpha[i:i + LONGEST + 1], moved := np.zeros(offset.shape[1:]), sizes >= i)
                 if moved.any():
                     offset[i:] += moved
@@ -127,35 +131,37 @@ def forward(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarr
     return alpha, offset
 
 
-def log_probability(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarray) -> np.ndarray:
+def log_probability(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarray, plain: int = 0) -> np.ndarray:
     """Of every word under every model, summed over all segmentations."""
-    alpha, offset = forward(pieces, text, sizes, probs)
+    alpha, offset = forward(pieces, text, sizes, probs, plain)
     own = np.arange(len(sizes))
     return np.log(alpha[sizes, own]) + offset[sizes if len(offset) > 1 else 0, own]
 
 
-def expected(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def expected(pieces: Pieces, text: np.ndarray, sizes: np.ndarray, probs: np.ndarray, plain: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(rows, ids, shares[arc, model]): how probable each piece of each word is, over all segmentations. Goes backwards in
     blocks of positions, so that a long word's pieces are never held all at once."""
     n, width = text.shape
-    alpha, before = forward(pieces, text, sizes, probs)
+    arcs = list(pieces.arcs(text, sizes)) if width <= plain else None
+    alpha, before = forward(pieces, text, sizes, probs, plain, arcs)
     own = np.arange(n)
     whole, out = alpha[sizes, own], before[sizes if len(before) > 1 else 0, own]
     beta, offset = np.zeros_like(alpha), np.zeros((n, probs.shape[1]))
     beta[sizes, own] = 1
+    if arcs is not None:
+        for i, j, rows, ids in reversed(arcs):
+            beta[i, rows] += beta[j, rows] * probs[ids]
+            yield rows, ids, alpha[i, rows] * probs[ids] * beta[j, rows] / whole[rows]
+        return
     for first in range((width - 1) // 8 * 8, -1, -8):
         block = list(pieces.arcs(text, sizes, first, first + 8))
         for i, j, rows, ids in reversed(block):
             beta[i, rows] += beta[j, rows] * probs[ids]
         for i, j, rows, ids in block:
-            if width <= PLAIN:
-                yield rows, ids, alpha[i, rows] * probs[ids] * beta[j, rows] / whole[rows]
-                continue
             with np.errstate(divide="ignore"):  # the logarithm of no probability
                 share = np.log(alpha[i, rows]) + np.log(probs[ids]) + np.log(beta[j, rows]) - np.log(whole[rows])
             yield rows, ids, np.exp(share + before[i, rows] + offset[rows] - out[rows])
-        if width > PLAIN:
-            _scaled(beta[first:first + LONGEST + 1], offset, sizes >= first)
+        _scaled(beta[first:first + LONGEST + 1], offset, sizes >= first)
 
 
 def _gathered(arcs: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 18) -> Iterator[list[np.ndarray]]:
@@ -222,6 +228,7 @@ def learn(docs: DataFrame, vocab: str, lang_col: str = "lang", text_col: str = "
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pieces, total = vocabulary(vocab), np.zeros((len(langs), size + 1))
             place, p = pa.array(langs), model.value
+            plain = plain_width(p)
             for batch in batches:
                 lang = pa.compute.index_in(batch.column(0), place).to_numpy(zero_copy_only=False)
                 for part in word_slices(batch.column(1)):
@@ -231,7 +238,7 @@ def learn(docs: DataFrame, vocab: str, lang_col: str = "lang", text_col: str = "
                     spoken = lang[part.first:part.last][part.row_of_word()]
                     times = np.bincount(nth * len(langs) + spoken, minlength=len(first) * len(langs)).reshape(-1, len(langs))
                     for word, matrix, sizes in _matrices(part, first):
-                        for who, which, share in _gathered(expected(pieces, matrix, sizes, p)):
+                        for who, which, share in _gathered(expected(pieces, matrix, sizes, p, plain)):
                             for k in range(len(langs)):
                                 total[k] += np.bincount(which, share[:, k if p.shape[1] > 1 else 0] * times[word[who], k], size + 1)
             for k, row in enumerate(total):
@@ -262,6 +269,7 @@ def identify(docs: DataFrame, vocab: str, langs: list[str], probs: np.ndarray, i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, p = vocabulary(vocab), model.value
+        plain = plain_width(p)
         for batch in batches:
             best, score, per_byte = [], [], []
             for part in word_slices(batch.column(1)):
@@ -270,7 +278,7 @@ def identify(docs: DataFrame, vocab: str, langs: list[str], probs: np.ndarray, i
                     _, first, nth = np.unique(part.hashes(), return_index=True, return_inverse=True)
                     each = np.zeros((len(first), p.shape[1]))
                     for word, matrix, sizes in _matrices(part, first):
-                        each[word] = log_probability(pieces, matrix, sizes, p)
+                        each[word] = log_probability(pieces, matrix, sizes, p, plain)
                     row = part.row_of_word()
                     for k in range(p.shape[1]):
                         sums[:, k] = np.bincount(row, each[nth, k], part.last - part.first)

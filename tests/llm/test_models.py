@@ -40,6 +40,7 @@ def test_long_words_are_summed_whole(word):
         probs = np.full((pieces.size + 1, 1), unseen)
         got = langid.log_probability(pieces, text, np.array([text.shape[1]]), probs)[0, 0]
         assert got == pytest.approx(all_segmentations(raw, pieces.ids, probs[:, 0]), rel=1e-9)
+        assert langid.log_probability(pieces, text, np.array([text.shape[1]]), probs, langid.plain_width(probs))[0, 0] == pytest.approx(got, rel=1e-9)
         shares = sum(float(s[:, 0].sum()) for _, ids, s in langid.expected(pieces, text, np.array([text.shape[1]]), probs) if len(ids))
         assert 1 <= shares <= text.shape[1] + 1e-6
     covered = np.zeros(text.shape[1])
