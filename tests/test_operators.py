@@ -247,7 +247,7 @@ def test_effect_table_has_every_outcome_covariate_and_replicate(spark, monkeypat
     monkeypatch.setattr(causal, "long_rows", lambda wide, outcomes: (wide, outcomes))
     monkeypatch.setattr(causal.E, "bootstrap_effects", lambda rows, groups, row_id, y, arm, covariates, replicates: asked.update({len(asked): (rows, covariates, replicates)}))
     for name in ("q11_bootstrap_intervals", "q12_effect_table"):
-        causal.query.__globals__["QUERIES"][name](spark, "")
+        causal.query.__globals__["QUERIES"][name](spark, "/root/testdata/sf0.001")  # windows follow from its events
     for (fronts, outcomes), covariates, replicates in asked.values():
         assert outcomes == causal.OUTCOMES and covariates == causal.COVARIATES and replicates == 1000
     assert asked[0][0][0] == [7] and asked[1][0][0] == [7, 14, 21, 28, 35]
