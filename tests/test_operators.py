@@ -101,7 +101,7 @@ def test_draft_equals_serial_picking(spark, seed):
     people, sites = 14, 9
     prefs = [(p, s, float(rnd.randrange(12))) for p in range(people) for s in range(sites) if rnd.random() < 0.8]
     df = spark.createDataFrame(prefs, "participant_id long, site_id long, score double")
-    got = B.draft(df, capacity=3, picks=2, seed=seed, turn_block=1 + 4 * seed).collect()
+    got = B.draft(df, capacity=3, picks=2, seed=seed).collect()
     order = {}
     for r in (1, 2):
         h = spark.range(people).select("id", draw(f"{seed}-{r}", "id").alias("h")).collect()
@@ -119,12 +119,12 @@ def test_draft_equals_serial_picking(spark, seed):
     assert {(x.participant_id, x["round"], x.site_id, round(x.incurred_loss, 9)) for x in got} == want
 
 
-def test_draft_of_equal_preferences_ends_after_its_blocks(spark):
+def test_draft_of_equal_preferences_fills_site_after_site(spark):
     """20 000 participants who all rank the sites alike: the first take the best site, and so on."""
     n, sites, room = 20_000, 25, 900
     df = spark.range(n).select(F.col("id").alias("participant_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(sites - 1).cast("long"))).alias("site_id"))
     limits = spark.createDataFrame([(s, room) for s in range(sites - 1)] + [(3, None)], "site_id long, capacity int").filter("site_id <> 3 or capacity is null")
-    got = B.draft(df.withColumn("score", -F.col("site_id").cast("double")), capacity=limits, picks=1, turn_block=8000).groupBy("site_id").count().collect()
+    got = B.draft(df.withColumn("score", -F.col("site_id").cast("double")), capacity=limits, picks=1).groupBy("site_id").count().collect()
     assert {r["site_id"]: r["count"] for r in got} == {0: room, 1: room, 2: room, 3: n - 3 * room}
 
 
