@@ -305,16 +305,10 @@ def _(spark, d):
     return t
 
 
-@query("p21_pointwise_rows", """
-WITH t AS (SELECT c.metadata_id, s.site_id AS source_site, t.target_user, t.target_site
-  FROM ctx c JOIN usp_state s ON s.user_id = c.source AND s.elig_us < c.us JOIN tgt_usps t USING (metadata_id)
-  WHERE EXISTS (SELECT 1 FROM cand q WHERE q.metadata_id = c.metadata_id AND q.is_target = 0))
-SELECT label, count(*) AS n_rows, count(DISTINCT metadata_id) AS n_contexts
-FROM t, (SELECT 1 AS label UNION ALL SELECT 0) GROUP BY 1""")
+@query("p21_pointwise_rows", f"""WITH {_TRIPLES} SELECT metadata_id, source, source_site, us, target_user AS user_id, target_site AS site_id, CAST(1 AS BIGINT) AS label FROM trip
+UNION ALL SELECT metadata_id, source, source_site, us, alt_user, alt_site, 0 FROM trip""")
 def _(spark, d):
-    w = World.of(spark, d)
-    return C.pointwise(w.triples).groupBy(F.col("label").cast("int").alias("label")).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.countDistinct("metadata_id").alias("n_contexts"))
+    return C.pointwise(World.of(spark, d).triples)
 
 
 @query("p22_recent_update_ids", f"""
@@ -336,7 +330,23 @@ def _(spark, d):
         F.concat_ws(",", at(3), at(2), at(1)).alias("recent_oids"))
 
 
-@query("p23_coverage_users")
+@query("p23_coverage_users", f"""
+WITH cu AS (SELECT DISTINCT user_id FROM usp_state u WHERE elig_us < {X.TEST_START_US} AND EXISTS (SELECT 1 FROM ev e WHERE e.user_id = u.user_id AND e.us >= {X.TEST_START_US - WEEK} AND e.us < {X.TEST_START_US})),
+cc AS (SELECT user_id AS source, {X.TEST_START_US + 12 * HOUR} AS us FROM cu ORDER BY {draw_sql(11, "user_id")}, user_id LIMIT 1000),
+el AS (SELECT user_id, min(elig_us) AS e FROM usp_state GROUP BY 1),
+pact AS (SELECT DISTINCT user_id FROM ev WHERE us >= {X.TEST_START_US + 12 * HOUR - WEEK} AND us < {X.TEST_START_US + 12 * HOUR}),
+co AS (SELECT DISTINCT c.source, o.user_id FROM cc c JOIN usp_state s ON s.user_id = c.source AND s.elig_us < c.us JOIN usp_state o ON o.site_id = s.site_id AND o.elig_us < c.us AND o.user_id <> c.source),
+cg AS (SELECT c.source, e.dst AS user_id FROM cc c JOIN edges e ON e.src = c.source AND e.edge_us < c.us),
+ok AS (SELECT c.source, c.us, el.user_id FROM cc c JOIN el ON el.e < c.us AND el.user_id <> c.source ANTI JOIN co ON co.source = c.source AND co.user_id = el.user_id),
+n1 AS (SELECT source, count(*) AS n_eligible_users, count(*) FILTER (user_id NOT IN (SELECT user_id FROM pact)) AS n_eligible_inactive_users FROM ok GROUP BY 1),
+cd AS (SELECT ok.* FROM ok SEMI JOIN pact USING (user_id) ANTI JOIN cg ON cg.source = ok.source AND cg.user_id = ok.user_id),
+n2 AS (SELECT source, count(*) AS n_candidate_users FROM cd GROUP BY 1),
+n3 AS (SELECT cd.source, count(*) AS n_candidate_usps FROM cd JOIN usp_state u ON u.user_id = cd.user_id AND u.elig_us < cd.us GROUP BY 1),
+n4 AS (SELECT co.source, count(*) AS n_eligible_coauthors FROM co GROUP BY 1),
+n5 AS (SELECT source, count(*) AS n_existing_initiations FROM cg GROUP BY 1)
+SELECT source AS metadata_id, source, -1 AS target_site, us, coalesce(n_existing_initiations, 0) AS n_existing_initiations, coalesce(n_eligible_coauthors, 0) AS n_eligible_coauthors,
+ coalesce(n_eligible_users, 0) AS n_eligible_users, coalesce(n_eligible_inactive_users, 0) AS n_eligible_inactive_users, coalesce(n_candidate_users, 0) AS n_candidate_users, coalesce(n_candidate_usps, 0) AS n_candidate_usps
+FROM cc LEFT JOIN n1 USING (source) LEFT JOIN n2 USING (source) LEFT JOIN n3 USING (source) LEFT JOIN n4 USING (source) LEFT JOIN n5 USING (source)""")
 def _(spark, d):
     w = World.of(spark, d)
     u, a = w.usps, X.activity(spark, d)
@@ -413,13 +423,11 @@ def _(spark, d):
 
 
 @query("j5_pair_frame", """
-SELECT c.metadata_id, count(*) AS n_pairs, count(DISTINCT s.site_id) AS n_source_usps, CAST(sum(c.is_target) AS BIGINT) AS n_target_pairs
-FROM cand c JOIN usp_state s ON s.user_id = c.source AND s.elig_us < c.us GROUP BY 1""")
+SELECT c.metadata_id, s.site_id AS source_site, c.cand_user, c.cand_site, CAST(c.is_target AS BIGINT) AS is_target
+FROM cand c JOIN usp_state s ON s.user_id = c.source AND s.elig_us < c.us""")
 def _(spark, d):
     w = World.of(spark, d)
-    p = C.context_pairs(w.candidates, w.eligible, w.usps)
-    return p.groupBy("metadata_id").agg(F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("source_site").alias("n_source_usps"),
-                                        F.sum("is_target").alias("n_target_pairs"))
+    return C.context_pairs(w.candidates, w.eligible, w.usps).select("metadata_id", "source_site", "cand_user", "cand_site", "is_target")
 
 
 @query("j7_required_texts", """
