@@ -102,3 +102,15 @@ def user_outcomes(targets: DataFrame, journals: DataFrame, interactions: DataFra
     t = t.withColumn("days_since_first_update", F.coalesce((F.col("t0") - F.col("_f")) / float(US_PER_DAY), F.lit(0.0))).drop("_f")
     return _assemble(t, days, "user_id", [(upd, ["n_updates"]), (ints, USER_MEASURES[1:7]), (fv, ["n_first_visits"]),
                                           (dv, ["n_days_visited"]), (rv, ["n_sites_repeat_visited"])])
+
+
+def arm_contrast(wide: DataFrame, arm: str, measures: list[str]) -> DataFrame:
+    """For each window and measure: users in both arms (``arm`` is 1 or 0), the difference of the arms' means after the index
+    time, before it, and the difference of the two; null where an arm has no users."""
+    rows = wide.select("window_days", arm, F.inline(F.array(*[
+        F.struct(F.lit(m).alias("outcome"), F.col(f"{m}_pre").alias("pre"), F.col(f"{m}_post").alias("post")) for m in measures])))
+    mean = lambda c, side: F.avg(F.when(F.col(arm) == side, F.col(c)))
+    diff = lambda c: mean(c, 1) - mean(c, 0)
+    return rows.groupBy("window_days", "outcome").agg(
+        F.count_if(F.col(arm) == 1).alias("n_arm"), F.count_if(F.col(arm) == 0).alias("n_other"),
+        diff("post").alias("diff_post"), diff("pre").alias("diff_pre")).withColumn("diff_in_diff", F.col("diff_post") - F.col("diff_pre"))

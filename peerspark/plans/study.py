@@ -334,19 +334,25 @@ _UM["n_sites_repeat_visited"] = "(SELECT count(DISTINCT a.site_id) FROM vx a JOI
 _T0 = X.DAY0_US + 2 * WEEK
 
 
-@query("k22_user_outcomes", f"""WITH {_VIS}, nr AS (SELECT participant_id, site_id FROM recs),
+_K22 = f"""WITH {_VIS}, nr AS (SELECT participant_id, site_id FROM recs),
 io AS (SELECT i.*, EXISTS (SELECT 1 FROM usp_state a WHERE a.user_id = i.user_id AND a.site_id = i.site_id) AS own FROM ints i WHERE NOT EXISTS (SELECT 1 FROM nr WHERE nr.participant_id = i.user_id AND nr.site_id = i.site_id)),
 vx AS (SELECT user_id, site_id, us FROM vis v WHERE NOT EXISTS (SELECT 1 FROM nr WHERE nr.participant_id = v.user_id AND nr.site_id = v.site_id)), fvx AS (SELECT user_id, site_id, min(us) AS us FROM vx GROUP BY 1, 2),
 g AS (SELECT DISTINCT user_id, side, lo, hi FROM ev, (SELECT 'pre' AS side, {_T0 - WEEK} AS lo, {_T0} AS hi UNION ALL SELECT 'post', {_T0}, {_T0 + WEEK})),
-m AS (SELECT user_id, side, {", ".join(f"{v} AS {k}" for k, v in _UM.items())} FROM g)
-SELECT 7 AS window_days, user_id, round(coalesce(({_T0} - (SELECT min(us) FROM journals j WHERE j.user_id = m.user_id)) / {float(US_PER_DAY)}, 0), 6) AS days_since_first_update,
- {", ".join(f"CAST(max(CASE WHEN side = '{s}' THEN {c} END) AS BIGINT) AS {c}_{s}" for c in _UM for s in ("pre", "post"))} FROM m GROUP BY user_id""")
-def _(spark, d):
+m AS (SELECT user_id, side, {", ".join(f"{v} AS {k}" for k, v in _UM.items())} FROM g)"""
+_K22_ROWS = f"""SELECT 7 AS window_days, user_id, round(coalesce(({_T0} - (SELECT min(us) FROM journals j WHERE j.user_id = m.user_id)) / {float(US_PER_DAY)}, 0), 6) AS days_since_first_update,
+ {", ".join(f"CAST(max(CASE WHEN side = '{s}' THEN {c} END) AS BIGINT) AS {c}_{s}" for c in _UM for s in ("pre", "post"))} FROM m GROUP BY user_id"""
+
+
+def user_outcomes(spark, d):
     s = Study(spark, d)
     targets = s.ev.select("user_id").distinct().withColumn("t0", F.lit(_T0))
     pairs = s.recs.select(F.col("participant_id").alias("user_id"), "site_id")
-    return O.user_outcomes(targets, s.journals, s.ints, s.visits, [7], pairs).drop("t0").withColumn(
-        "days_since_first_update", F.round("days_since_first_update", 6))
+    return O.user_outcomes(targets, s.journals, s.ints, s.visits, [7], pairs).drop("t0")
+
+
+@query("k22_user_outcomes", f"{_K22} {_K22_ROWS}")
+def _(spark, d):
+    return user_outcomes(spark, d).withColumn("days_since_first_update", F.round("days_since_first_update", 6))
 
 
 @query("k24_weekly_rates", f"""WITH {_VIS}, v AS (SELECT vis.user_id, vis.site_id, count(*) AS n FROM vis JOIN recs r ON r.participant_id = vis.user_id AND r.site_id = vis.site_id WHERE us >= sent_us GROUP BY 1, 2),
