@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from peerspark.operators import clicks as K, contexts as C, effects as E, graph as G, scoring as SC
+from peerspark.operators import clicks as K, contexts as C, effects as E, graph as G, outcomes as O, scoring as SC
 from peerspark.operators.prefix import US_PER_DAY, Depth, prefix_aggregate, state_at
 
 MINUTE = 60_000_000
@@ -118,3 +118,65 @@ def test_point_effects_equal_the_stepwise_ones(spark):
     for x, y in zip(a, b, strict=True):
         assert x["status"] == y["status"] == "ok" and [y[c] for c in ("n", "raw", "ols", "standardised", "ipw", "dr")] == pytest.approx(
             [x[c] for c in ("n", "raw", "ols", "standardised", "ipw", "dr")], rel=1e-6)
+
+
+def _plain_site_outcomes(targets, journals, ints, visits, ex, days, back):
+    """Outcomes by looking at every event of every window."""
+    authors = {(u, s) for u, s, _ in journals}
+    ints, visits = ([r for r in rows if (r[0], r[1]) not in ex] for rows in (ints, visits))
+    firsts = {}
+    for u, s, t in visits:
+        firsts[u, s] = min(t, firsts.get((u, s), t))
+    t0 = dict(targets)
+    out = {}
+    for d in days:
+        for side in ("pre", "post"):
+            reach = (lambda t: -(back or d) * US_PER_DAY <= t <= 0) if side == "pre" else (lambda t: 0 <= t <= d * US_PER_DAY)
+            held = lambda rows: [r for r in rows if t0.get(r[1]) and reach(r[2] - t0[r[1]])]
+            act, up, vis = held(ints), held(journals), held(visits)
+            per = {}
+            for u, s, _ in act:
+                per[u, s] = per.get((u, s), 0) + 1
+            for site in t0:
+                peers = {k: n for k, n in per.items() if k[1] == site and k not in authors}
+                mine = [u for u, s in authors if s == site]
+                wide = [n for (u, s), n in per.items() if u in mine and s != site]
+                twice = [u for u, s, _ in vis if s == site]
+                out[d, site, side] = [
+                    sum(s == site for _, s, _ in up), len({u for u, s, _ in up if s == site}), sum(peers.values()), len(peers), sum(wide), len(wide),
+                    sum(n for (u, s), n in per.items() if u in mine and s == site),
+                    sum(reach(t - t0[site]) for (_, s), t in firsts.items() if s == site and t0[site]),
+                    len({t // US_PER_DAY for _, s, t in vis if s == site}), len({u for u in twice if twice.count(u) > 1})]
+    return out
+
+
+@pytest.mark.parametrize("back", [None, 5])
+def test_outcomes_of_a_hot_site_without_a_key_join(spark, back):
+    """90 % of the events on one site in one minute: no part holds more than twice the wanted rows, and all counts hold."""
+    rnd = random.Random(5)
+    start = 200 * US_PER_DAY
+    when = lambda hot: start + (rnd.randrange(MINUTE) if hot else rnd.randrange(-9 * US_PER_DAY, 9 * US_PER_DAY))
+    def rows(n):  # noqa: E306
+        return [(rnd.randrange(12), 0 if (hot := rnd.random() < 0.9) else rnd.randrange(6), when(hot)) for _ in range(n)]
+    journals, ints, visits = rows(60), rows(900), rows(900)
+    journals = [(u % 4, s, t) for u, s, t in journals]
+    targets = [(0, start + MINUTE // 2), (1, start), (2, ints[0][2]), (4, None), (9, start)]
+    ints += [(3, 2, ints[0][2]), (3, 1, start), (3, 1, start + 7 * US_PER_DAY), (3, 1, start - 3 * US_PER_DAY)]  # edges count
+    ex = {(5, 0), (6, 1)}
+    frame = lambda r: spark.createDataFrame(r, "user_id long, site_id long, us long")
+    at = spark.createDataFrame(targets, "site_id long, t0 long")
+    pairs = spark.createDataFrame(sorted(ex), "user_id long, site_id long")
+    got = O.site_outcomes(at, frame(journals), frame(ints), frame(visits), [3, 7, 1], pairs, back, depth=50).collect()
+    want = _plain_site_outcomes(targets, journals, ints, visits, ex, [1, 3, 7], back)
+    assert len(got) == 15 and sorted({r["window_days"] for r in got}) == [1, 3, 7]
+    for r in got:
+        for side in ("pre", "post"):
+            assert [r[f"{m}_{side}"] for m in O.SITE_MEASURES] == want[r["window_days"], r["site_id"], side], r
+    near = O.around(at, frame(ints), "site_id", 9 * US_PER_DAY, 9 * US_PER_DAY, 50)
+    assert near.filter("site_id = 0").count() == sum(s == 0 and abs(t - targets[0][1]) <= 9 * US_PER_DAY for _, s, t in ints)
+    placed = Depth(F.col("us"), US_PER_DAY, 50).place(frame(ints), ["site_id"])
+    assert placed.groupBy("site_id", "_bucket").count().agg(F.max("count")).first()[0] <= 2 * 50
+    empty = O.site_outcomes(at.limit(0), frame(journals), frame([]), frame([]), [7])
+    assert empty.collect() == []
+    alone = O.site_outcomes(at, frame([]), frame([]), frame([]), [7]).collect()
+    assert len(alone) == 5 and all(r["n_updates_pre"] == r["n_days_visited_post"] == 0 for r in alone)
