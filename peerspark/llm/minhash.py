@@ -21,6 +21,7 @@ MISS = 1e-7
 PERCENT = 75
 WIDTH = 5
 BLOCK = 2048  # members of a bucket that are compared in one piece, on either side
+BLOCK_SHINGLES = 1 << 20  # shingles of a piece's members, all in all: their texts are held together when they are verified
 
 
 def _coefficients() -> tuple[np.ndarray, np.ndarray]:
@@ -147,22 +148,27 @@ def _exact(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> Data
     return both.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _blocks(mixed: DataFrame, classes: DataFrame, percent: int, miss: float) -> DataFrame:
+def _blocks(mixed: DataFrame, classes: DataFrame, percent: int, miss: float, block: int = BLOCK, shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Members of buckets with several components, in blocks, that have a plausible partner.
 
-    ``mixed`` has (bucket, band, cls, comp, main, n_x, n_y): every member, the bucket's largest component and the
-    numbers of members outside it and in all. Members outside are compared with all. Both sides are cut into
-    pieces of about BLOCK members, and a block of two pieces is one group whatever the bucket's size. A pair
-    is looked at in the first band that it shares. Rows: block, cls, comp and, for members that look for
-    partners, the partners that no signature batch ruled out.
+    ``mixed`` has (bucket, band, cls, comp, main): every member and the bucket's largest component. Members outside it
+    are compared with all. Both sides are cut into pieces of about ``block`` members, or fewer where these have more than
+    ``shingles`` shingles in all, and a block of two pieces is one group whatever the bucket's size; a text longer than
+    that weighs alone what it weighs. A pair is looked at in the first band that it shares. Rows: block, cls, comp and,
+    for members that look for partners, the partners that no signature batch ruled out.
     """
     need = least_matches(percent, miss)
-    pieces = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
-    own = lambda n: F.pmod(F.xxhash64("cls", "bucket"), pieces(n)).cast("int")
-    each = lambda n: F.explode(F.sequence(F.lit(0), pieces(n) - 1))
+    weighed = mixed.join(classes.select("cls", "n"), "cls")
+    outside = lambda of: F.sum(F.when(F.col("comp") != F.col("main"), of))
+    parts = lambda n, weight: F.greatest(F.ceil(n / block), F.ceil(weight / shingles)).cast("int")
+    one = F.lit(1)
+    cuts = weighed.groupBy("bucket").agg(parts(outside(one), outside(F.col("n"))).alias("p_x"), parts(F.sum(one), F.sum("n")).alias("p_y"))
+    mixed = mixed.join(cuts, "bucket")
+    own = lambda p: F.pmod(F.xxhash64("cls", "bucket"), F.col(p)).cast("int")
+    each = lambda p: F.explode(F.sequence(F.lit(0), F.col(p) - 1))
     head = ["bucket", "band", "cls", "comp", "main"]
-    sides = (mixed.filter("comp <> main").select(*head, F.lit(True).alias("asks"), own("n_x").alias("i"), each("n_y").alias("j"))
-             .unionByName(mixed.select(*head, F.lit(False).alias("asks"), each("n_x").alias("i"), own("n_y").alias("j"))))
+    sides = (mixed.filter("comp <> main").select(*head, F.lit(True).alias("asks"), own("p_x").alias("i"), each("p_y").alias("j"))
+             .unionByName(mixed.select(*head, F.lit(False).alias("asks"), each("p_x").alias("i"), own("p_y").alias("j"))))
     rows = sides.join(classes.select("cls", "n", "sig"), "cls")
     kind = rows.schema["cls"].dataType.simpleString()
 
@@ -274,7 +280,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
               .select("bucket", "band", "cls", F.coalesce("component", "cls").alias("comp")))
     mixed = (placed.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("k"))
              .groupBy("bucket").agg(F.max(F.struct("k", "comp")).alias("top"), F.sum("k").alias("n_y")).filter("n_y > top.k")
-             .select("bucket", F.col("top.comp").alias("main"), (F.col("n_y") - F.col("top.k")).alias("n_x"), "n_y"))
+             .select("bucket", F.col("top.comp").alias("main")))
     blocks = staged(_blocks(placed.join(mixed, "bucket"), signed, percent, miss), "blocks")
     more = staged(_linked(blocks, texts, percent, width), "block-links")
     if not more.isEmpty():
