@@ -12,6 +12,8 @@ from .staging import dealt_width, shuffle_width
 from .wordhash import U64, mix, spans_hash, word_slices
 
 FAR = 1 << 40
+REPORTED = 1 << 21    # symbols that a task holds before it reports them
+TASK_BYTES = 64 << 20  # text of a partition, which holds whole parts
 _ANCHOR, _FIRST, _SECOND = 0xD1342543DE82EF95, 0xDA942042E4DD58B5, 0xAF251AF3B0F025B5
 
 
@@ -123,7 +125,7 @@ def _longs(table: pa.Table, name: str) -> np.ndarray:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 35, rounds: int = 3,
-                   carry: Sequence[str] = (), rejoin: bool = True) -> DataFrame:
+                   carry: Sequence[str] = (), rejoin: bool = True, reported: int = REPORTED) -> DataFrame:
     """Take out every word covered by a window of ``width`` words whose sequence also starts anywhere else,
     same document included. One row per input row: ``id_col``, the ``carry`` columns, ``text_col`` (kept
     words joined by one space), n_words, n_removed. Without ``rejoin``, a text that loses nothing keeps its
@@ -132,9 +134,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Recompression names runs and pairs of symbols, round by round. A name is a fingerprint of what it
     stands for, so all tasks give equal content the same name and a round needs no exchange. Interior
     symbols of equal substrings agree. Documents are dealt to parts of bounded size. Each part reports its
-    distinct interior symbols once, whatever their number in it; symbols that are found twice in the corpus
+    distinct interior symbols once, whatever their number in it (again after every ``reported`` symbols, which bounds a task); symbols that are found twice in the corpus
     return to the parts that have them. A window can repeat only if no interior symbol in it is unique. Such
-    windows are counted by 96-bit fingerprints, again once per part, and those found once are sent back as
+    windows are counted by 95-bit fingerprints, again once per part, and those found once are sent back as
     refuted; all others are removed. A passage that a third of all documents share costs one row per part.
 
     Null and empty texts have no words. Rows with null or repeated ids are rows like others: two rows with
@@ -148,10 +150,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = docs.select(F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]).alias("own"), F.coalesce(text_col, F.lit("")).alias("text"),
                         F.pmod(F.xxhash64(id_col, F.length(text_col)), F.lit(parts)).cast("int").alias("part"))
     # every pass below reads all of ``dealt``, so that Spark reuses this one exchange of the texts
-    dealt = dealt.repartition(shuffle_width(spark), "part")
+    dealt = dealt.repartition(dealt_width(spark, size, TASK_BYTES), "part")
+
+    def counted_keys(found: dict[int, list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        for p, keys in found.items():
+            key, n = np.unique(np.concatenate(keys), return_counts=True)
+            for at in range(0, len(key), 1 << 16):
+                k = key[at:at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), p, np.int32)),
+                                                  pa.array(np.minimum(n[at:at + len(k)], 2).astype(np.int8))], names=["a", "part", "n"])
 
     def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list[np.ndarray]] = {}
+        held = 0
         for batch in batches:
             own = batch.column(2).to_numpy()
             for part in word_slices(batch.column(1)):
@@ -159,12 +170,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 of = own[part.first:part.last][row]
                 for p in np.unique(of):
                     found.setdefault(int(p), []).append(key[of == p])
-        for p, keys in found.items():
-            key, n = np.unique(np.concatenate(keys), return_counts=True)
-            for at in range(0, len(key), 1 << 16):
-                k = key[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(np.full(len(k), p, np.int32)),
-                                                  pa.array(np.minimum(n[at:at + len(k)], 2).astype(np.int8))], names=["a", "part", "n"])
+                held += len(key)
+                if held > reported:  # a part may report a symbol again: counts add up
+                    yield from counted_keys(found)
+                    found, held = {}, 0
+        yield from counted_keys(found)
 
     symbols = dealt.mapInArrow(report, "a long, part int, n tinyint")
     shared = (symbols.withColumn("all", F.sum("n").over(W.partitionBy("a"))).filter("all > 1")

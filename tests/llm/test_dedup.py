@@ -97,6 +97,21 @@ def test_members_compared_after_the_first_pass_are_linked(spark):
     assert got == brute.near_components(docs)
 
 
+def test_blocks_are_bounded_by_members_and_by_shingles(spark):
+    """A bucket of one component and many others: pieces follow whichever bound is reached first, and no pair of sides is lost."""
+    rnd = random.Random(8)
+    sets = {i: [rnd.randrange(1 << 62) for _ in range(20 if i % 10 else 400)] for i in range(300)}
+    same = minhash.signature(minhash.np.array(sets[0], minhash.U64)).tobytes()
+    classes = spark.createDataFrame([(i, len(s), bytearray(same)) for i, s in sets.items()], "cls long, n long, sig binary")
+    mixed = spark.createDataFrame([(7, 0, i, i if i < 200 else 999, 999) for i in sets], "bucket long, band int, cls long, comp long, main long")
+    for block, shingles, least in ((10**6, 10**9, 1), (50, 10**9, 24), (10**6, 4000, 15)):
+        rows = minhash._blocks(mixed, classes, 75, 1e-7, block, shingles).collect()
+        assert len({(r["i"], r["j"]) for r in rows}) >= least
+        found = {(r["cls"], p) for r in rows for p in r["partners"] or []}
+        fits = lambda a, b: 100 * min(len(sets[a]), len(sets[b])) >= 75 * max(len(sets[a]), len(sets[b]))
+        assert found == {(a, b) for a in range(200) for b in sets if (b >= 200 or a < b) and fits(a, b)}
+
+
 def test_bayesian_bounds():
     need = minhash.least_matches(75, 1e-7)
     assert list(need) == list(range(16, 129, 16))
@@ -127,5 +142,15 @@ def test_repeats_of_random_texts(spark):
         assert got == {i: (len(w), len(w) - len(k), " ".join(k)) for (i, _), (w, k) in zip(rows, cut)}
 
 
+def test_repeats_with_symbols_reported_bit_by_bit(spark):
+    rnd = random.Random(14)
+    pool = [prose(300 + k, 60, 200) for k in range(4)]
+    rows = [(i, " ".join([prose(400 + i, 30, 500), rnd.choice(pool), prose(500 + i, 30, 500)])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    bit, whole = ({tuple(r) for r in remove_repeats(docs, reported=n).collect()} for n in (5, 1 << 21))
+    want = {(i, " ".join(k), len(w), len(w) - len(k)) for (i, _), (w, k) in zip(rows, brute.repeated_windows([t for _, t in rows]))}
+    assert bit == whole == want
+
+
 def test_empty_tables(none):
     assert exact_dedup(none).count() == near_duplicates(none).count() == remove_repeats(none).count() == 0
