@@ -38,11 +38,13 @@ def context_type() -> Column:
             .when(test, "predict").when(target, "train").otherwise("other"))
 
 
-def attach_vectors(rows: DataFrame, features: DataFrame, refs: dict[str, str]) -> DataFrame:
-    """Resolve dictionary-encoded vectors: each ref column becomes an array column."""
+def attach_vectors(rows: DataFrame, features: DataFrame, refs: dict[str, str], pick: dict[str, Column] | None = None) -> DataFrame:
+    """Resolve dictionary-encoded vectors: each ref column becomes an array column. With ``pick`` (ref to an expression
+    over ``vec``) the column is what is needed of the vector; whole vectors then do not travel through the later joins."""
     out = rows
     for ref, name in refs.items():
-        out = out.join(features.select(F.col("feature_id").alias(ref), F.col("vec").alias(name)), ref, "left")
+        value = (pick or {}).get(ref, F.col("vec"))
+        out = out.join(features.select(F.col("feature_id").alias(ref), value.alias(name)), ref, "left")
     return out
 
 
