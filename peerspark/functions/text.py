@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import StringType
 
@@ -15,6 +17,16 @@ from pyspark.sql.types import StringType
 SPACE = "[\\t-\\r\\x1c-\\x20\\x85\\p{Z}]+"
 
 
+AT_ONCE = 64  # texts of a batch that are Python strings at a time
+
+
+def _each(f: Callable[..., str], *columns: pa.Array) -> pa.Array:
+    """``f`` of each row, null where a value is null. A batch stays Arrow but for a few rows at a time."""
+    parts = [pa.array([None if None in row else f(*row) for row in zip(*[c.slice(a, AT_ONCE).to_pylist() for c in columns])], pa.string())
+             for a in range(0, len(columns[0]), AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
 class _TextOnly(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -36,9 +48,9 @@ def html_to_text(html: str) -> str:
     return "".join(parser.out)
 
 
-@F.pandas_udf(StringType())
-def strip_html(html: pd.Series) -> pd.Series:
-    return html.map(lambda h: None if h is None else html_to_text(h))
+@F.arrow_udf(StringType())
+def strip_html(html: pa.Array) -> pa.Array:
+    return _each(html_to_text, html)
 
 
 # what a byte from 0x80 on is read as under the wrong code page; the five that the page leaves out stay control characters
@@ -73,15 +85,15 @@ def cleaned(text: str) -> str:
     return unicodedata.normalize("NFKC", repair_encoding(html_to_text(text)))
 
 
-@F.pandas_udf(StringType())
-def clean_text(text: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def clean_text(text: pa.Array) -> pa.Array:
     """Tags removed, damaged encoding repaired, compatibility characters normalised (NFKC)."""
-    return text.map(lambda t: None if t is None else cleaned(t))
+    return _each(cleaned, text)
 
 
-@F.pandas_udf(StringType())
-def _clean_pair(title: pd.Series, body: pd.Series) -> pd.Series:
-    return pd.Series([None if t is None or b is None else f"{cleaned(t)}\n{cleaned(b)}" for t, b in zip(title, body)], dtype=object)
+@F.arrow_udf(StringType())
+def _clean_pair(title: pa.Array, body: pa.Array) -> pa.Array:
+    return _each(lambda t, b: f"{cleaned(t)}\n{cleaned(b)}", title, body)
 
 
 def merge_title_body(title: Column, body: Column, dummy_prefix: str) -> Column:
