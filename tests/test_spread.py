@@ -109,6 +109,14 @@ def test_dyads_of_a_hub_are_numbered_in_order(spark):
     assert [r["dyad_id"] for r in sorted(got, key=lambda r: (r["user_a"], r["user_b"]))] == list(range(1, len(got) + 1))
 
 
+def test_dyads_are_counted_once(spark):
+    """Numbering reads counted pairs: the comments behind them are not derived again for each of its passes."""
+    read = spark.sparkContext.accumulator(0)
+    rows = spark.range(300).rdd.map(lambda r: read.add(1) or (r[0] % 30, 30 + r[0] % 7, "to_author", r[0]))
+    got = K.undirected_dyads(spark.createDataFrame(rows, "source long, target long, direction string, event_id long"))
+    assert got.agg(F.sum("n_comments")).first()[0] == 300 and read.value == 300
+
+
 def test_point_effects_equal_the_stepwise_ones(spark):
     rnd = random.Random(7)
     rows = [(g, i, rnd.gauss(0, 1), rnd.gauss(0, 1), int(rnd.random() < 0.4)) for g in ("a", "b") for i in range(200)]
