@@ -240,6 +240,17 @@ def test_replicates_equal_estimates_of_weighted_rows(spark):
     assert abs(big.mean() - 1) < 0.01 and abs(big.var() - 1) < 0.01 and abs(np.corrcoef(big[:, :40].T)[np.triu_indices(40, 1)]).max() < 0.25
 
 
+def test_replicate_weights_by_table_are_the_drawn_ones_and_only_those_asked_for():
+    seeds = np.arange(3000, dtype=np.int64) * 104729
+    z = seeds.astype(np.uint64)[:, None] + np.arange(1, 201, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    want = np.searchsorted(E._POISSON, ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53, "right")
+    assert (E.replicate_weights(seeds, 1, 200) == want).all()
+    on = np.arange(200) % 3 == 1
+    assert (E.replicate_weights(seeds, 1, 200, on) == want[:, on]).all() and (E.replicate_weights(seeds, 0, 2)[:, 0] == 1).all()
+
+
 def test_effect_table_has_every_outcome_covariate_and_replicate(spark, monkeypatch):
     from peerspark.plans import causal
     asked = {}
