@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import survival as V
+from ..operators import contexts as C, survival as V
 from ..operators.prefix import US_PER_DAY, grouped_quantiles, state_at
 from ..session import cut_lineage
 from . import fixtures as X
@@ -200,6 +200,5 @@ def _(spark, d):
 SELECT label, received, made, count(*) AS n, {_r("count(*) / sum(count(*)) OVER (PARTITION BY label)")} AS share FROM x GROUP BY 1, 2, 3""")
 def _(spark, d):
     w = Ranking.of(spark, d)
-    u = w.users.select(F.col("user_id").alias("cand_user"), "us", (F.col("indegree") > 0).cast("int").alias("received"), (F.col("outdegree") > 0).cast("int").alias("made"))
-    c = w.candidates.join(u, ["cand_user", "us"]).groupBy(F.col("is_target").alias("label"), "received", "made").agg(F.count("*").alias("n"))
+    c = C.label_counts(w.eligible, w.usps, w.targets, w.activity, w.edges)
     return V.share_within(c, ["label", "received", "made"], ["label"]).withColumn("share", F.round("share", 6))
