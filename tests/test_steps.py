@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from peerspark.operators import scoring as SC, steps as ST
+from peerspark.operators import contexts as C, graph as G, scoring as SC, state as S, steps as ST
 from peerspark.plans.ranking import Ranking
 
 DATA = "/root/testdata/sf0.001"
@@ -34,3 +34,45 @@ def test_baselines_in_steps_equal_those_of_candidate_rows(spark, world, model):
     want = world.wide.select("metadata_id", "cand_user", "cand_site", "is_target", model)
     assert rows(got) == rows(want) and want.count() > 50
     assert not QUADRATIC & set(fresh.__dict__)
+
+
+def test_label_counts_and_uses_of_updates_need_no_candidates(spark, world):
+    fresh = Ranking(spark, DATA)
+    got = C.label_counts(fresh.eligible, fresh.usps, fresh.targets, fresh.activity, fresh.edges)
+    u = world.users.select(F.col("user_id").alias("cand_user"), "us", (F.col("indegree") > 0).cast("int").alias("received"), (F.col("outdegree") > 0).cast("int").alias("made"))
+    want = world.candidates.join(u, ["cand_user", "us"]).groupBy(F.col("is_target").alias("label"), "received", "made").agg(F.count("*").alias("n"))
+    assert rows(got) == rows(want) and got.count() > 1
+    uses = C.uses_of_updates(fresh.eligible, fresh.usps, fresh.targets, fresh.activity, fresh.edges, fresh.journals)
+    pts = world.candidates.select("us", F.col("cand_user").alias("user_id"), F.col("cand_site").alias("site_id")).unionByName(
+        C.source_usps(world.eligible, world.usps).select("us", F.col("source").alias("user_id"), F.col("source_site").alias("site_id"))).distinct()
+    every = S.last_k_updates(pts, world.journals).groupBy("journal_oid").agg(F.count(F.lit(1)).alias("n_uses"))
+    assert rows(uses) == rows(every) and every.count() > 10
+    assert not QUADRATIC & set(fresh.__dict__)
+
+
+def test_flags_of_candidates_equal_those_of_pairs(spark, world):
+    fresh = Ranking(spark, DATA)
+    flags = ["is_reciprocal", "is_mutual_fof"]
+    want = G.reciprocal(G.mutual_fof(world.pairs, world.edges), world.edges).drop("us")
+    assert rows(fresh.flagged_pairs(*flags)) == rows(want) and want.count() > 30
+    assert not QUADRATIC & set(fresh.__dict__)
+
+
+def test_components_are_ranges_of_places_at_any_time(spark):
+    edges = [(5, 9, 1), (7, 8, 1), (8, 9, 3), (2, 3, 3), (1, 3, 5), (4, 4, 2), (3, 7, 9), (6, 1, 9), (20, 21, 4), (30, 31, 50)]
+    edge = spark.createDataFrame(edges, "src long, dst long, edge_us long")
+    times, people = (1, 2, 4, 6, 10), sorted({n for e in edges for n in e[:2]} | {99})
+    wanted = spark.createDataFrame([(n, t) for n in people for t in times], "node long, us long")
+    h = G.component_history(edge, wanted)
+    place = {r.node: (r.root, r.place) for r in h.places.collect()}
+    at = h.at.collect()
+    assert rows(h.at.select("node", "us", "component", "component_size")) == rows(G.components_at_times(edge, wanted)) and len(at) == len(people) * len(times)
+    label = {(r.node, r.us): r.component for r in at}
+    for r in at:
+        inside = {n for n in people if place.get(n, (n, 0))[0] == r.root and r.low <= place.get(n, (n, 0))[1] < r.high}
+        assert inside == {n for n in people if label[n, r.us] == r.component}
+    size = {(r.node, r.us): r.component_size for r in at}
+    grown = h.sizes().collect()
+    for n in people:
+        for t in times:
+            assert max([g.component_size for g in grown if g.node == n and g.us < t], default=1) == size[n, t]
