@@ -1,9 +1,11 @@
 """Candidates met by steps of state: equal to joins of a row for each candidate."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
-from peerspark.operators import contexts as C, graph as G, scoring as SC, state as S, steps as ST
+from peerspark.operators import contexts as C, features as FE, graph as G, scoring as SC, state as S, steps as ST
 from peerspark.plans.ranking import Ranking
 
 DATA = "/root/testdata/sf0.001"
@@ -76,3 +78,25 @@ def test_components_are_ranges_of_places_at_any_time(spark):
     for n in people:
         for t in times:
             assert max([g.component_size for g in grown if g.node == n and g.us < t], default=1) == size[n, t]
+
+
+def test_user_features_at_candidates_equal_those_of_points(spark, world):
+    fresh = Ranking(spark, DATA)
+    names = [f for f in FE.USER_FEATURES if f != "component_size"]
+    got = ST.features_at_candidates(fresh.eligible, fresh.targets, fresh.usps, fresh.activity, fresh.journals, fresh.edges, names)
+    assert rows(got) == rows(world.users.select("user_id", "us", *names)) and got.count() > 30
+    cols = [F.col("user_id").alias("cand_user"), "us", *names]
+    pairs = world.pairs.join(world.users.select(*cols), ["cand_user", "us"])
+    assert rows(fresh.candidate_features(names)) == rows(pairs)
+    assert not QUADRATIC & set(fresh.__dict__)
+
+
+def test_site_scores_ranks_and_sites_come_from_blocks(spark, world):
+    fresh = Ranking(spark, DATA)
+    assert rows(fresh.block_scores) == rows(world.site_scores)
+    small = replace(fresh.site_ranks, side=(20, 7), cells=900, at_once=6)
+    want = rows(SC.by_model_ranked(world.ranks, SC.BASELINES).select("model", "metadata_id", "site_id", "rnk"))
+    assert rows(fresh.site_ranks.ranks(SC.BASELINES)) == rows(small.ranks(SC.BASELINES)) == want
+    sites = ST.candidate_sites(fresh.eligible, fresh.usps, fresh.activity, fresh.edges).select("metadata_id", "cand_site")
+    assert rows(sites) == rows(world.candidates.filter("is_target = 0").select("metadata_id", "cand_site").distinct())
+    assert not QUADRATIC & set(fresh.__dict__)
