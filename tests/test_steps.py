@@ -5,7 +5,8 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from peerspark.operators import contexts as C, features as FE, graph as G, scoring as SC, state as S, steps as ST
+from peerspark.functions import vectors as VE
+from peerspark.operators import contexts as C, features as FE, graph as G, likeness as LI, scoring as SC, state as S, steps as ST
 from peerspark.plans.ranking import Ranking
 
 DATA = "/root/testdata/sf0.001"
@@ -100,3 +101,17 @@ def test_site_scores_ranks_and_sites_come_from_blocks(spark, world):
     sites = ST.candidate_sites(fresh.eligible, fresh.usps, fresh.activity, fresh.edges).select("metadata_id", "cand_site")
     assert rows(sites) == rows(world.candidates.filter("is_target = 0").select("metadata_id", "cand_site").distinct())
     assert not QUADRATIC & set(fresh.__dict__)
+
+
+@pytest.mark.parametrize("kind", ["cosine", "l2"])
+def test_similarity_in_blocks_equals_that_of_rows(spark, world, kind):
+    digits = lambda c: F.transform(F.split(c.cast("string"), ""), lambda x: F.coalesce(x.try_cast("double"), F.lit(0.0)))
+    vector = lambda c: F.slice(F.concat(digits(c), F.array_repeat(F.lit(0.0), 4)), 1, 4)
+    ctx = world.eligible.withColumn("_va", vector(F.col("source"))).withColumn("_la", VE.norm("_va"))
+    of_pair = world.usps.select("user_id", "site_id", vector(F.col("user_id") + F.col("site_id")).alias("_vb")).withColumn("_lb", VE.norm("_vb"))
+    cand = world.candidates.filter("is_target = 0").join(ctx.select("metadata_id", "_va"), "metadata_id").join(
+        of_pair.select(F.col("user_id").alias("cand_user"), F.col("site_id").alias("cand_site"), "_vb"), ["cand_user", "cand_site"])
+    want = rows(SC.similarity(cand, "_va", "_vb", kind).select("metadata_id", "cand_user", "cand_site", "score"))
+    for side, at_once in ((1024, 128), (7, 3)):
+        got = LI.candidate_similarity(ctx, of_pair, world.usps, world.activity, world.edges, kind, side, at_once)
+        assert rows(got) == want and len(want) > 20
